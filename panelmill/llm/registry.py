@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("secrets", "bpe")
+MODULES = ("secrets", "bpe", "urls", "quality")
 
 
 def queries() -> dict:
