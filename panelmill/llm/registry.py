@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("secrets", "bpe", "urls", "quality")
+MODULES = ("secrets", "bpe", "urls", "quality", "near_dedup")
 
 
 def queries() -> dict:
