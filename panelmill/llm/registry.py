@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("secrets", "bpe", "urls", "quality", "near_dedup")
+MODULES = ("secrets", "bpe", "urls", "quality", "near_dedup", "substring")
 
 
 def queries() -> dict:
