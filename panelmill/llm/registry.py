@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("secrets", "bpe", "urls", "quality", "near_dedup", "substring")
+MODULES = ("secrets", "bpe", "urls", "quality", "near_dedup", "substring", "decontaminate")
 
 
 def queries() -> dict:

@@ -11,6 +11,8 @@ import numpy as np
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All ASCII but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -42,14 +44,14 @@ class Words:
     """hashes: of all words of all texts in order; counts: words by text; offsets: count + 1 bounds.
     data, starts and ends locate the words' bytes."""
 
-    def __init__(self, texts: list[str], lower: bool = False):
+    def __init__(self, texts: list[str], lower: bool = False, separators: np.ndarray = _SPACE):
         encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
         self.data = b"\n".join(encoded) + b"\n"
         raw = np.frombuffer(self.data, np.uint8)
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) + 1
         self.bounds = np.concatenate(([0], np.cumsum(sizes)))
         self.raw = raw
-        self.space = space = _SPACE[raw]
+        self.space = space = separators[raw]
         body = ~space
         edge = np.diff(body.view(np.int8), prepend=np.int8(0))
         self.starts = starts = np.flatnonzero(edge == 1)
