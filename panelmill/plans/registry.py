@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from panelmill.plans import relational
+
 
 def queries() -> dict:
-    return {}
+    return dict(relational.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(relational.ORACLE_SQL)
