@@ -5,14 +5,15 @@ exponentially spaced scale and truncated. Registers of a union are the maxima of
 two registers are equal with a probability that grows with the Jaccard similarity. Steps:
 
 1. Equal sets collapse to their least doc_id, the representative.
-2. Bands of registers deal representatives into buckets. In every bucket each member meets a few
-   centres, so a bucket gives rows in proportion to its members.
+2. Bands of registers deal representatives into buckets. In every bucket each member meets the least
+   one; then, where they lie in different components, up to ``CENTRES`` others. So a bucket gives rows
+   in proportion to its members.
 3. A joint maximum-likelihood estimate of the similarity, from the counts of greater, smaller and
    equal registers and both set sizes, drops pairs five standard errors below the threshold.
 4. The other pairs are confirmed on full sets; components come from the confirmed links.
 5. Buckets whose members still lie in several components are gone through exactly: each member outside
-   the bucket's largest component meets all members, in blocks of ``BLOCK`` inside one task row group,
-   and only pairs that pass step 3 become rows for step 4.
+   the bucket's largest component meets all members, in a grid of ``BLOCK`` outsiders by ``MEMBERS``
+   members. Steps 3 and 4 run inside the block, which returns confirmed links only.
 
 With 24 bands of 5 registers a pair at similarity 0.85 shares no bucket with probability 7e-7.
 """
@@ -35,6 +36,7 @@ RATE = 20.0
 TOP = 2**16 - 2
 CENTRES = 6
 BLOCK = 64
+MEMBERS = 2_000
 SLICE = 250_000
 _MULT = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SKETCH = "doc_id long, n_shingles long, set_id string, bands array<long>, registers binary"
@@ -146,10 +148,8 @@ def _confirm(percent: int):
             keep = []
             for x, y in zip(pdf["set_a"], pdf["set_b"], strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
+                common = _common(x, y)
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
     return run
@@ -165,20 +165,40 @@ def _make_sets(width: int):
     return run
 
 
-def _leftover(threshold: float):
-    """Estimated pairs between a block of outsiders and all members of their bucket."""
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate((x, y))
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _leftover(threshold: float, percent: int):
+    """Confirmed links between a block of outsiders and a block of members of their bucket.
+
+    An outsider needs one link to each other component, so its likeliest partners go first.
+    """
     low = least_estimate(threshold)
 
     def run(key, pdf):
         x = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(-1, REGISTERS)
         n, rep, comp = (pdf[c].to_numpy() for c in ("n_shingles", "rep", "comp"))
+        sets = [np.frombuffer(v, np.uint64) for v in pdf["items"]]
+        outside = pdf["outside"].to_numpy()
+        members = np.flatnonzero(~outside)
         found = []
-        for i in np.flatnonzero(pdf["outside"].to_numpy()).tolist():
-            near = np.flatnonzero((comp != comp[i]) & (n >= threshold * n[i]) & (n * threshold <= n[i]))
-            if len(near):
-                y = x[near]
-                est = likelihood_similarity(np.full(len(near), float(n[i])), n[near].astype(float), (x[i] > y).sum(1), (x[i] < y).sum(1), (x[i] == y).sum(1))
-                found += [(min(rep[i], k), max(rep[i], k)) for k in rep[near[est >= low]]]
+        for i in np.flatnonzero(outside).tolist():
+            near = members[(comp[members] != comp[i]) & (n[members] >= threshold * n[i]) & (n[members] * threshold <= n[i])]
+            if not len(near):
+                continue
+            y = x[near]
+            est = likelihood_similarity(np.full(len(near), float(n[i])), n[near].astype(float), (x[i] > y).sum(1), (x[i] < y).sum(1), (x[i] == y).sum(1))
+            linked: set[int] = set()
+            for k in np.argsort(-est, kind="stable").tolist():
+                m = near[k]
+                if est[k] < low:
+                    break
+                if comp[m] not in linked and 100 * (c := _common(sets[i], sets[m])) >= percent * (len(sets[i]) + len(sets[m]) - c):
+                    linked.add(comp[m])
+                    found.append((min(rep[i], rep[m]), max(rep[i], rep[m])))
         return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
 
     return run
@@ -201,45 +221,53 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     keyed = reps.select("rep", F.explode("bands").alias("band"))
     slot = F.pmod(F.xxhash64("rep"), F.lit(CENTRES))
     chosen = [F.min(F.when(slot == i, F.col("rep"))) for i in range(CENTRES)]
-    buckets = keyed.groupBy("band").agg(F.count("*").alias("size"), F.array_compact(F.array(*chosen)).alias("centres")).where("size > 1")
-    members = written(keyed.join(buckets, "band").select("band", "rep", "size", "centres"), "buckets")
-    met = members.select("rep", F.explode("centres").alias("centre")).where("rep != centre")
-    pairs = met.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-
-    def links_of(pairs: DataFrame, estimate: bool) -> DataFrame:
-        if estimate:
-            side = reps.select("rep", "n_shingles", "registers")
-            pairs = pairs.join(side.toDF("a", "n_a", "regs_a"), "a").join(side.toDF("b", "n_b", "regs_b"), "b")
-            pairs = pairs.where((F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")))
-            pairs = pairs.mapInPandas(_estimates(threshold), "a long, b long")
-        pairs = written(pairs, "pairs")
-        named = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        held = named.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-        # a doc_id that repeats with other texts: only the text behind the representative's set counts
-        sets = held.mapInPandas(_make_sets(width), "rep long, items binary").dropDuplicates(["rep", "items"])
-        sets = written(sets.join(reps.select("rep", "n_shingles"), "rep").where(F.length("items") == 8 * F.col("n_shingles")).select("rep", "items"), "sets")
+    buckets = keyed.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("least"), F.array_compact(F.array(*chosen)).alias("centres")).where("size > 1")
+    members = written(keyed.join(buckets, "band").select("band", "rep", "least", "centres"), "buckets")
+    side = reps.select("rep", "n_shingles", "registers")
+    held = members.select("rep").distinct().join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    # a doc_id that repeats with other texts: only the text behind the representative's set counts
+    sets = held.mapInPandas(_make_sets(width), "rep long, items binary").join(reps.select("rep", "n_shingles"), "rep")
+    sets = written(sets.where(F.length("items") == 8 * F.col("n_shingles")).select("rep", "items").dropDuplicates(["rep"]), "sets")
+
+    def links_of(met: DataFrame) -> DataFrame:
+        """Confirmed links among candidate pairs (rep, centre)."""
+        pairs = met.where("rep != centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+        pairs = pairs.join(side.toDF("a", "n_a", "regs_a"), "a").join(side.toDF("b", "n_b", "regs_b"), "b")
+        pairs = pairs.where((F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")))
+        pairs = written(pairs.mapInPandas(_estimates(threshold), "a long, b long"), "pairs")
         full = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        return written(full.mapInPandas(_confirm(percent), "a long, b long").distinct(), "links")
-
-    links = links_of(pairs, True)
-    comps = components(links)
-    placed = members.join(comps.toDF("rep", "comp"), "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
+        return full.mapInPandas(_confirm(percent), "a long, b long")
+
+    def placed_in(comps: DataFrame) -> DataFrame:
+        return members.join(comps.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+    comps = components(links_of(members.select("rep", F.col("least").alias("centre"))))
+    # second round: a few more centres, only where they lie in another component
+    met = placed_in(comps).select("rep", "comp", F.explode("centres").alias("centre"))
+    met = met.join(comps.toDF("centre", "centre_comp"), "centre", "left").where(F.coalesce("centre_comp", "centre") != F.col("comp"))
+    more = written(links_of(met.select("rep", "centre")), "links")
+    if not more.isEmpty():
+        comps = components(comps.unionByName(more))
+    placed = placed_in(comps).select("band", "rep", "comp")
     split = placed.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
     split = split.where("comps > 1 and size > 2")
-    open_members = written(placed.join(split, "band").withColumn("outside", F.col("comp") != F.col("main")), "open-buckets")
-    if not open_members.isEmpty():
-        side = reps.select("rep", "n_shingles", "registers")
-        # buckets with the same members are gone through once
-        same = open_members.groupBy("band").agg(F.min("band").alias("one"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"))
-        distinct = same.groupBy("sum", "n").agg(F.min("one").alias("band")).select("band")
-        kept = open_members.join(distinct, "band")
-        outside = kept.where("outside").select("band", "rep", "comp", F.lit(True).alias("outside"))
-        counts = outside.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
-        own = outside.join(counts, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
-        others = kept.select("band", "rep", "comp", F.lit(False).alias("outside")).join(counts, "band").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        blocks = own.select("band", "rep", "comp", "outside", "block").unionByName(others).join(side, "rep")
-        more = blocks.groupBy("band", "block").applyInPandas(_leftover(threshold), "a long, b long").distinct()
-        extra = links_of(more, False)
+    kept = placed.join(split, "band").withColumn("outside", F.col("comp") != F.col("main"))
+    # buckets with the same members are gone through once
+    same = kept.groupBy("band").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"), F.sum(F.col("outside").cast("long")).alias("n_outside"))
+    once = same.groupBy("sum", "n").agg(F.min_by(F.struct("band", "n_outside"), "band").alias("one")).select("one.band", F.ceil(F.col("one.n_outside") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("cols"))
+    kept = written(kept.select("band", "rep", "comp", "outside").join(once, "band"), "open-buckets")
+    if not kept.isEmpty():
+        def each(n: str):
+            return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+        def one(n: str, salt: int):
+            return F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+
+        rows = kept.where("outside").withColumn("row", one("rows", 1)).withColumn("col", each("cols"))
+        cols = kept.withColumn("outside", F.lit(False)).withColumn("col", one("cols", 2)).withColumn("row", each("rows"))
+        blocks = rows.select("band", "row", "col", "rep", "comp", "outside").unionByName(cols.select("band", "row", "col", "rep", "comp", "outside"))
+        blocks = blocks.join(side, "rep").join(sets, "rep")
+        extra = written(blocks.groupBy("band", "row", "col").applyInPandas(_leftover(threshold, percent), "a long, b long"), "links")
         if not extra.isEmpty():
             comps = components(comps.unionByName(extra))
     return _labelled(sketches, reps, comps)
@@ -253,6 +281,12 @@ def _labelled(sketches: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFra
     return out.select("doc_id", "n_shingles", label.alias("component_id"), (F.col("doc_id") == label).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns kept, less those whose group has a lower doc_id."""
+    gone = written(near_duplicates(docs.select("doc_id", "text"), width, percent).where("not kept").select("doc_id").distinct(), "near-duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=3, percent=85)
 
