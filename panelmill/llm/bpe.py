@@ -291,8 +291,8 @@ class Encoder:
                 yield b"".join([packed[c] for c in codes]), b"".join([plain[c] for c in codes])
 
 
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (array of int) and n_tokens of every row of ``docs``.
+def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids, and digests of the ids and of the bytes decoded from them.
 
     A null or empty text has no ids. Repeated rows give repeated results; other columns are ignored.
     """
@@ -301,10 +301,10 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         encoder = Encoder(path)
         for pdf in batches:
-            ids = [np.frombuffer(p, "<u4").astype("int32") for p, _ in encoder.encode_many(list(pdf["text"]))]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "n_tokens": [len(i) for i in ids]})
+            rows = [(len(p) // 4, np.frombuffer(p, "<u4").astype(np.int32), sha_hex(p), sha_hex(d)) for p, d in encoder.encode_many(list(pdf["text"]))]
+            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])], axis=1)
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, ids array<int>, n_tokens long")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
