@@ -35,7 +35,7 @@ BASE = 1.001
 RATE = 20.0
 TOP = 2**16 - 2
 CENTRES = 6
-BLOCK = 64
+BLOCK = 128
 MEMBERS = 2_000
 SLICE = 250_000
 _MULT = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -226,8 +226,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     side = reps.select("rep", "n_shingles", "registers")
     held = members.select("rep").distinct().join(texts.withColumnRenamed("doc_id", "rep"), "rep")
     # a doc_id that repeats with other texts: only the text behind the representative's set counts
-    sets = held.mapInPandas(_make_sets(width), "rep long, items binary").join(reps.select("rep", "n_shingles"), "rep")
-    sets = written(sets.where(F.length("items") == 8 * F.col("n_shingles")).select("rep", "items").dropDuplicates(["rep"]), "sets")
+    profiles = held.mapInPandas(_make_sets(width), "rep long, items binary").join(side, "rep")
+    profiles = written(profiles.where(F.length("items") == 8 * F.col("n_shingles")).dropDuplicates(["rep"]), "profiles")
+    sets = profiles.select("rep", "items")
 
     def links_of(met: DataFrame) -> DataFrame:
         """Confirmed links among candidate pairs (rep, centre)."""
@@ -266,7 +267,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         rows = kept.where("outside").withColumn("row", one("rows", 1)).withColumn("col", each("cols"))
         cols = kept.withColumn("outside", F.lit(False)).withColumn("col", one("cols", 2)).withColumn("row", each("rows"))
         blocks = rows.select("band", "row", "col", "rep", "comp", "outside").unionByName(cols.select("band", "row", "col", "rep", "comp", "outside"))
-        blocks = blocks.join(side, "rep").join(sets, "rep")
+        blocks = blocks.join(profiles, "rep")
         extra = written(blocks.groupBy("band", "row", "col").applyInPandas(_leftover(threshold, percent), "a long, b long"), "links")
         if not extra.isEmpty():
             comps = components(comps.unionByName(extra))
