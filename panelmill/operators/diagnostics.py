@@ -7,14 +7,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_ORDER = Window.partitionBy("unit_ix").orderBy("t_ix")
+
+def _order():
+    return Window.partitionBy("unit_ix").orderBy("t_ix")
 
 
 def autocorrelations(panel: DataFrame, value: str, max_lag: int = 6) -> DataFrame:
     """Mean over units of sum r_t r_{t-k} / sum r_t^2, r centred by unit; zero where the unit is constant."""
     r = panel.withColumn("r", F.col(value) - F.avg(value).over(Window.partitionBy("unit_ix")))
     products = [F.sum(F.col("r") * F.coalesce(F.col(f"l{k}"), F.lit(0.0))).alias(f"p{k}") for k in range(1, max_lag + 1)]
-    lagged = r.select("*", *[F.lag("r", k).over(_ORDER).alias(f"l{k}") for k in range(1, max_lag + 1)])
+    lagged = r.select("*", *[F.lag("r", k).over(_order()).alias(f"l{k}") for k in range(1, max_lag + 1)])
     units = lagged.groupBy("unit_ix").agg(F.sum(F.col("r") * F.col("r")).alias("rr"), *products)
     means = units.agg(*[F.avg(F.when(F.col("rr") > 0, F.col(f"p{k}") / F.col("rr")).otherwise(0.0)).alias(f"a{k}") for k in range(1, max_lag + 1)])
     pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"a{k}").alias("autocorr")) for k in range(1, max_lag + 1)])
@@ -83,7 +85,7 @@ def persistence_window(panel: DataFrame, value: str, horizon: int) -> DataFrame:
     log = panel.withColumn("l", F.log(F.greatest(F.abs(F.col(value)), F.lit(1e-12))))
 
     def one(h: int) -> DataFrame:
-        frame = _ORDER.rowsBetween(-(h - 1), 0)
+        frame = _order().rowsBetween(-(h - 1), 0)
         full = log.select(F.avg("l").over(frame).alias("m"), F.count("l").over(frame).alias("k")).where(F.col("k") == h)
         return full.agg(F.exp(F.max("m")).alias("persistence")).select(F.lit(h).alias("h"), "persistence")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.functions.scalars import Z95
@@ -43,10 +43,15 @@ def aggregate(records: DataFrame) -> DataFrame:
     return out.select("*", F.col("q")[0].alias("t_q05"), F.col("q")[1].alias("t_q50"), F.col("q")[2].alias("t_q95")).drop("q")
 
 
-@F.pandas_udf("double")
-def normal_quantile(p: pd.Series) -> pd.Series:
-    inv = NormalDist().inv_cdf
-    return p.map(lambda x: inv(x) if 0 < x < 1 else None)
+def normal_quantile(p: Column) -> Column:
+    """Standard normal quantile, null outside (0, 1)."""
+
+    @F.pandas_udf("double")
+    def of(x: pd.Series) -> pd.Series:
+        inv = NormalDist().inv_cdf
+        return x.map(lambda v: inv(v) if 0 < v < 1 else None)
+
+    return of(p)
 
 
 def studentized_qq(records: DataFrame, step: int = 1) -> DataFrame:

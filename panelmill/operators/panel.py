@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_UNIT = Window.partitionBy("unit_ix")
-_BY_TIME = _UNIT.orderBy("t_ix")
+
+def _unit():
+    return Window.partitionBy("unit_ix")
+
+
+def _by_time():
+    return _unit().orderBy("t_ix")
 
 
 def full_grid(cells: DataFrame) -> DataFrame:
@@ -30,7 +35,7 @@ def without_sparse_units(grid: DataFrame, value: str, most_missing: int = 6) ->
 
 def interpolated_by_index(grid: DataFrame, value: str) -> DataFrame:
     """Linear by position between observations, flat at both ends; all-missing units unchanged."""
-    before, after = _BY_TIME.rowsBetween(Window.unboundedPreceding, 0), _BY_TIME.rowsBetween(0, Window.unboundedFollowing)
+    before, after = _by_time().rowsBetween(Window.unboundedPreceding, 0), _by_time().rowsBetween(0, Window.unboundedFollowing)
     seen = F.when(F.col(value).isNotNull(), F.struct(F.col("t_ix").alias("t"), F.col(value).alias("v")))
     out = grid.withColumn("_l", F.last(seen, ignorenulls=True).over(before)).withColumn("_n", F.first(seen, ignorenulls=True).over(after))
     between = F.col("_l.v") + (F.col("_n.v") - F.col("_l.v")) * F.try_divide(F.col("t_ix") - F.col("_l.t"), F.col("_n.t") - F.col("_l.t"))
@@ -45,7 +50,7 @@ def interpolated_by_days(annual: DataFrame, value: str) -> DataFrame:
     span = annual.groupBy("unit_ix").agg(F.min("year").alias("a"), F.max("year").alias("b"))
     months = span.select("unit_ix", F.explode(F.sequence(F.make_date("a", F.lit(1), F.lit(1)), F.make_date("b", F.lit(12), F.lit(1)), F.expr("interval 1 month"))).alias("d"))
     at = months.join(anchors, ["unit_ix", "d"], "left")
-    order = _UNIT.orderBy("d")
+    order = _unit().orderBy("d")
     seen = F.when(F.col("v").isNotNull(), F.struct("d", "v"))
     out = at.withColumn("_l", F.last(seen, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(seen, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
     part = F.try_divide(F.datediff("d", F.col("_l.d")), F.datediff(F.col("_n.d"), F.col("_l.d")))
@@ -61,13 +66,13 @@ def annual_to_monthly_step(annual: DataFrame, value: str) -> DataFrame:
 
 def deseasonalized(panel: DataFrame, value: str, month: Column) -> Column:
     by_month = Window.partitionBy("unit_ix", month)
-    return F.col(value) - (F.avg(value).over(by_month) - F.avg(value).over(_UNIT))
+    return F.col(value) - (F.avg(value).over(by_month) - F.avg(value).over(_unit()))
 
 
 def standardized(value: str) -> Column:
     """z-score within the unit, population standard deviation; a constant unit is only centred."""
-    sd = F.stddev_pop(value).over(_UNIT)
-    return (F.col(value) - F.avg(value).over(_UNIT)) / F.when(sd > 0, sd).otherwise(F.lit(1.0))
+    sd = F.stddev_pop(value).over(_unit())
+    return (F.col(value) - F.avg(value).over(_unit())) / F.when(sd > 0, sd).otherwise(F.lit(1.0))
 
 
 def winsorized_zscore(panel: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -87,11 +92,11 @@ def median_split(panel: DataFrame, value: str) -> DataFrame:
 
 def pct_change(value: str, k: int) -> Column:
     """Change over k rows of the unit."""
-    return F.try_divide(F.col(value), F.lag(value, k).over(_BY_TIME)) - 1
+    return F.try_divide(F.col(value), F.lag(value, k).over(_by_time())) - 1
 
 
 def lagged(value: str, k: int = 1) -> Column:
-    return F.lag(value, k).over(_BY_TIME)
+    return F.lag(value, k).over(_by_time())
 
 
 def last_wins(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
@@ -114,17 +119,17 @@ def stationarized(panel: DataFrame, value: str, unit_roots: DataFrame) -> DataFr
     """Units flagged in ``unit_roots`` (unit_ix, unit_root) become log differences if all positive, else
     differences; the others keep their level. Every unit loses its first period."""
     out = panel.join(unit_roots, "unit_ix")
-    positive = F.min(value).over(_UNIT) > 0
+    positive = F.min(value).over(_unit()) > 0
     last = lagged(value)
     log_step = F.log(F.greatest(F.col(value), F.lit(1e-300))) - F.log(F.greatest(last, F.lit(1e-300)))
     new = F.when(~F.col("unit_root"), F.col(value)).when(positive, log_step).otherwise(F.col(value) - last)
-    first = F.row_number().over(_BY_TIME)
+    first = F.row_number().over(_by_time())
     return out.withColumn("_first", first).withColumn("_v", new).where("_first > 1").drop(value, "_first", "unit_root").withColumnRenamed("_v", value)
 
 
 def with_ar_design(panel: DataFrame, value: str, lags: int, covariates: list[str] = ()) -> DataFrame:
     """y with its first ``lags`` lags and covariates lagged once; the first ``lags`` periods go."""
-    out = panel.select("unit_ix", "t_ix", F.col(value).alias("y"), *[lagged(value, k).alias(f"lag{k}") for k in range(1, lags + 1)], *[lagged(c).alias(c) for c in covariates], F.row_number().over(_BY_TIME).alias("_k"))
+    out = panel.select("unit_ix", "t_ix", F.col(value).alias("y"), *[lagged(value, k).alias(f"lag{k}") for k in range(1, lags + 1)], *[lagged(c).alias(c) for c in covariates], F.row_number().over(_by_time()).alias("_k"))
     return out.where(F.col("_k") > lags).drop("_k")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from panelmill.plans import relational
+from panelmill.plans import estimation, relational
 
 
 def queries() -> dict:
-    return dict(relational.QUERIES)
+    return relational.QUERIES | estimation.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
