@@ -81,8 +81,6 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             if not closing and not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
-            if name not in INLINE:
-                flush()
             continue
         if name in INLINE:
             if name == "a":

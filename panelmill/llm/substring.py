@@ -33,9 +33,11 @@ _BITS = np.uint64(46)
 
 
 def hash_ranges(docs: DataFrame) -> int:
-    """Number of hash ranges: in proportion to the input, at least the session's shuffle partitions."""
+    """Number of hash ranges: in proportion to the input, at least the session's shuffle partitions; those
+    alone where Spark does not know the input's size."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size, 1 << 60) // RANGE_BYTES, 1)
+    known = size if size < 1 << 55 else 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // RANGE_BYTES, 1)
 
 
 def _inside(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
