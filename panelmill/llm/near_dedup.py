@@ -293,3 +293,17 @@ def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_setsketch": op4_setsketch}
+
+ORACLE_SQL = {
+    "op4_setsketch": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+items AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[s : s + 2], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS s FROM w WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM items GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM items a JOIN items b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM sym UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a),
+least AS (SELECT a AS doc_id, least(a, min(b)) AS m FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(m, doc_id) AS BIGINT) AS component_id, coalesce(m, doc_id) = doc_id AS kept
+FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)""",
+}
