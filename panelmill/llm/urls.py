@@ -54,8 +54,8 @@ def labelled_urls() -> pd.DataFrame:
                 domain, path = _ENDS[(i + j) % len(_ENDS)]
                 rows.append((f"https://{prefix}{name}.{domain}{path.format(100 + 7 * i + j)}", blocked))
     # plain invented hosts, so that unknown names without bad parts are let through
-    for i in range(64):
-        name = "".join("aeioulnrst"[(i * 7 + k * 3 + i // 8) % 10] for k in range(7))
+    for i in range(120):
+        name = "".join("aeioulnrsth"[(i * 7 + k * 3 + i // 8) % 11] for k in range(5 + i % 5))
         domain, path = _ENDS[i % len(_ENDS)]
         rows.append((f"https://{_PREFIXES[i % 4]}{name}.{domain}{path.format(i * 13 % 1000)}", 0))
     return pd.DataFrame(rows, columns=["url", "blocked"])

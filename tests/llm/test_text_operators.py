@@ -174,10 +174,10 @@ def test_quality_base_equals_brute_force(spark, docs):
 
 
 def test_frequent_lines_deplete_documents(spark):
+    shared = "\n".join(f"shared notice {w} of all the people here" for w in ("alpha", "beta", "gamma", "delta"))
     own = "unique words number {0} stand here and more of them follow in this long enough line about topic {0} with text"
-    rows = [(k, "All rights reserved by the people\n" + own.format(k), "s") for k in range(60)]
-    rows += [(100 + k, f"All rights reserved by the people\nshort tail {k} " + "x " * 2, "s") for k in range(5)]
-    rows += [(200 + k, "All rights reserved by the people\n" * 4, "s") for k in range(1)]
+    rows = [(k, shared + "\n" + own.format(k), "s") for k in range(60)] + [(200, shared, "s"), (201, shared + "\ntail", "s"), (202, shared + "\nlonely", "other")]
     got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert not got[200].kept and got[200].n_common_words == 24
-    assert all(got[k].n_common_words == 6 for k in range(60))
+    assert got[200].n_common_words == 32 and not got[200].kept and not got[201].kept
+    assert got[202].n_common_words == 0 and got[202].kept
+    assert all(got[k].n_common_words == 32 and got[k].kept for k in range(60))
