@@ -97,8 +97,8 @@ def drop_sparse_units(spark, sf_dir):
 @query(
     _sql(
         f"""SELECT {_KEYS}, {_r('coalesce(y, lv + (nv - lv) * (t_ix - lt) / nullif(nt - lt, 0), lv, nv)')} AS y FROM (SELECT *,
-        last_value(CASE WHEN y IS NOT NULL THEN t_ix END IGNORE NULLS) OVER (a) AS lt, last_value(y IGNORE NULLS) OVER (a) AS lv,
-        first_value(CASE WHEN y IS NOT NULL THEN t_ix END IGNORE NULLS) OVER (b) AS nt, first_value(y IGNORE NULLS) OVER (b) AS nv FROM grid
+        last_value(CASE WHEN y IS NOT NULL THEN t_ix END IGNORE NULLS) OVER a AS lt, last_value(y IGNORE NULLS) OVER a AS lv,
+        first_value(CASE WHEN y IS NOT NULL THEN t_ix END IGNORE NULLS) OVER b AS nt, first_value(y IGNORE NULLS) OVER b AS nv FROM grid
         WINDOW a AS ({_BY_T} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS ({_BY_T} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""",
         "days",
     )
