@@ -23,7 +23,7 @@ RULES = (
 )
 BUCKETS = 1 << 14
 SIZES = (3, 4, 5)
-_BAD_NAMES = ("spam-farm", "cheap-pills", "free-casino", "win-prizes", "hot-singles", "fast-loans", "replica-watches", "lucky-poker")
+_BAD_NAMES = ("spam-farm", "cheap-pills", "free-casino", "win-prizes", "hot-singles", "fast-loans", "replica-watches", "free-bets")
 _GOOD_NAMES = ("city-library", "river-news", "open-science", "garden-notes", "music-school", "history-club", "travel-log", "daily-recipes")
 _PREFIXES = ("", "www.", "m.", "blog.")
 _ENDS = (("example.com", "/en/{}/"), ("example.net", "/de/{}.html"), ("example.org", "/fr/{}"))
