@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelmill.llm.common import sha_hex, slices, table, text_or_empty
 
-WORD_TABLE_ROWS = 1_000_000
+WORD_TABLE_ROWS = 250_000
+SLICE = 6_000_000
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -275,7 +276,7 @@ class Encoder:
 
     def encode_many(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, bytes decoded from them) of every text."""
-        for a, b in slices(texts, 32_000_000):
+        for a, b in slices(texts, SLICE):
             if len(self.codes) > WORD_TABLE_ROWS:
                 self._clear()
             number = self.codes.__getitem__
@@ -301,8 +302,12 @@ def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         encoder = Encoder(path)
         for pdf in batches:
-            rows = [(len(p) // 4, np.frombuffer(p, "<u4").astype(np.int32), sha_hex(p), sha_hex(d)) for p, d in encoder.encode_many(list(pdf["text"]))]
-            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])], axis=1)
+            doc_ids, texts = pdf["doc_id"].to_numpy(), list(pdf["text"])
+            for a, b in slices(texts, SLICE):
+                rows = [(len(p) // 4, np.frombuffer(p, "<u4").view(np.int32), sha_hex(p), sha_hex(d)) for p, d in encoder.encode_many(texts[a:b])]
+                out = pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+                out.insert(0, "doc_id", doc_ids[a:b])
+                yield out
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 

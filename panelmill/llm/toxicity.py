@@ -30,7 +30,7 @@ FOLDS = 5
 LEAST_DOCS = 3
 TOP = 3
 SMOOTH = 0.5
-WORD_TABLE_ROWS = 400_000
+WORD_TABLE_ROWS = 100_000
 #: Letters that a character may stand for, with channel costs in nats.
 CHANNEL = {
     "0": (("o", 1.0),),
