@@ -3,8 +3,7 @@
 Lines are normalised and hashed; for every host (``source``) the distinct documents that hold a
 line are counted. Lines above the limit are removed, and a document of which removal leaves less
 than ``LEAST_LEFT`` of the words is rejected as depleted. Copies of one text count as one document: a line is boilerplate if
-different documents repeat it. Lines of over ``MAX_LINE_WORDS`` words are paragraphs, whose repeats
-are for the deduplication operators, and are never removed here.
+different documents repeat it. Every line with a word is hashed and counted, whatever its length.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from panelmill.llm.wordhash import Words, mix, rolling
 
 MIN_DOCS = 20
 MAX_SHARE = 0.05
-MAX_LINE_WORDS = 40
+MAX_LINE_WORDS = 40  # of ORACLE_SQL only, which leaves longer lines out; the operator has no such limit
 LEAST_LEFT = 0.25
 SLICE = 250_000
 _SYMBOL = np.zeros(256, bool)
@@ -64,8 +63,7 @@ def _line_rows(lines: list[str]) -> tuple[int, dict[bytes, list[int]]]:
             dup += 1
         else:
             seen.add(line)
-        if len(words) <= MAX_LINE_WORDS:
-            rows.setdefault(b" ".join(words).lower(), [len(words), 0])[1] += 1
+        rows.setdefault(b" ".join(words).lower(), [len(words), 0])[1] += 1
     return dup, rows
 
 

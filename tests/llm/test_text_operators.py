@@ -181,3 +181,13 @@ def test_frequent_lines_deplete_documents(spark):
     assert got[200].n_common_words == 32 and not got[200].kept and not got[201].kept
     assert got[202].n_common_words == 0 and got[202].kept
     assert all(got[k].n_common_words == 32 and got[k].kept for k in range(60))
+
+
+def test_long_lines_deplete_documents(spark):
+    notice = " ".join(f"clause{k}" for k in range(120))
+    own = " ".join("only{0}x%d" % k for k in range(60))
+    rows = [(k, notice + "\n" + own.format(k), "s") for k in range(60)] + [(200, notice, "s"), (201, notice, "other")]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[200].n_common_words == 120 and not got[200].kept
+    assert got[201].n_common_words == 0 and got[201].kept
+    assert all(got[k].n_common_words == 120 and got[k].kept for k in range(60))
