@@ -2,9 +2,13 @@
 
 The CGK walk over a word sequence x copies x[i] at each step j and moves on if a random bit of
 (j, x[i]) is set; sequences at a small edit distance then agree in most steps (Hamming). A key samples a
-few steps; several independent walks and samples (``REPEATS``) reach the target recall. Windows are
-item-sized: an item of n words is looked for with the largest size 3 * 2^k up to n, anchored at its
-first and at its last words, which together cover it. Windows start at every word of every text.
+few steps, in several independent walks and samples (``REPEATS``). Windows are item-sized: an item of n
+words is looked for with the largest size 3 * 2^k up to n, anchored at its first and at its last words,
+which together cover it. Windows start at every word of every text.
+
+The walks alone miss edited items, so exact pieces finish the rest: an item that allows k edits is cut
+into k + 1 pieces, and k edits leave one of them whole. Every text is searched for all pieces, so the
+recall is 1 up to and at ``MAX_EDITS``.
 
 All windows of a size share their walks from (step, word) on, so keys of all starts come from one
 backward recursion over steps, vectorised over words:
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.llm.common import slices, table, text_or_empty
-from panelmill.llm.wordhash import PUNCTUATION, Words, mix
+from panelmill.llm.wordhash import PUNCTUATION, Words, mix, rolling
 
 MAX_EDITS = 0.2
 SAMPLES = 3
@@ -49,6 +53,12 @@ def window_size(n: int) -> int:
     return size
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """(first word, words) of the parts of an item of n words, one more than its edits."""
+    cut = [n * i // (int(MAX_EDITS * n) + 1) for i in range(int(MAX_EDITS * n) + 2)]
+    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+
+
 def walk_keys(hashes: np.ndarray, size: int, repeat: int) -> np.ndarray:
     """Key of the window that starts at each word (the walk may look at words past its end)."""
     steps = max(1, round(STRETCH * size))
@@ -99,9 +109,21 @@ class Items:
                 lut = np.zeros(1 << _LUT_BITS, bool)
                 lut[keys & np.uint32((1 << _LUT_BITS) - 1)] = True
                 self.tables.append((size, repeat, keys[by], [anchors[i] for i in by.tolist()], lut))
+        by_width: dict[int, list[tuple[int, int, int]]] = {}
+        for k, words in enumerate(self.words):
+            for o, width in pieces(len(words)) if len(words) else []:
+                by_width.setdefault(width, []).append((int(rolling(words[o : o + width], width)[0]), k, o))
+        self.pieces = []
+        for width, rows in sorted(by_width.items()):
+            rows.sort()
+            keys = np.array([h for h, _, _ in rows], np.uint64)
+            bits = max(_LUT_BITS, len(keys).bit_length() + 4)
+            lut = np.zeros(1 << bits, bool)
+            lut[keys & np.uint64((1 << bits) - 1)] = True
+            self.pieces.append((width, keys, [(k, o) for _, k, o in rows], lut))
 
     def hits(self, w: Words):
-        """(text, item, expected first word of the item) of every key match."""
+        """(text, item, expected first word of the item) of every key match and every whole piece."""
         out = set()
         for size, repeat, keys, anchors, lut in self.tables:
             if len(w.hashes) < 1:
@@ -112,6 +134,15 @@ class Items:
             for s, a, b in zip(near[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
                 for k, o in anchors[a:b]:
                     out.add((int(np.searchsorted(w.offsets, s, side="right")) - 1, k, s - o))
+        for width, keys, anchors, lut in self.pieces:
+            mine = rolling(w.hashes, width)
+            near = np.flatnonzero(lut[mine & np.uint64(len(lut) - 1)])
+            low, high = np.searchsorted(keys, mine[near]), np.searchsorted(keys, mine[near], side="right")
+            text = np.searchsorted(w.offsets, near, side="right") - 1
+            met = (high > low) & (near + width <= w.offsets[text + 1])
+            for t, s, a, b in zip(text[met].tolist(), near[met].tolist(), low[met].tolist(), high[met].tolist(), strict=True):
+                for k, o in anchors[a:b]:
+                    out.add((t, k, s - o))
         return out
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:

@@ -143,6 +143,20 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontaminate.leaks(df, items.limit(0)).count() == 0
 
 
+def test_every_item_within_the_edits_allowed_is_found():
+    rnd = random.Random(11)
+    items = [[f"v{rnd.randrange(400)}" for _ in range(n)] for n in range(1, 64) for _ in range(4)]
+    texts = []
+    for w in items:
+        w = list(w)
+        for _ in range(len(w) // 5):
+            kind, at = rnd.randrange(3), rnd.randrange(len(w))
+            w[at : at + (kind != 1)] = [] if kind == 0 else [f"z{rnd.randrange(10**6)}"]
+        texts.append(" ".join([f"f{rnd.randrange(500)}" for _ in range(20)] + w + [f"f{rnd.randrange(500)}" for _ in range(20)]))
+    found = {(t, k) for t, k, *_ in decontaminate.Items(list(range(len(items))), [" ".join(w) for w in items]).find(texts)}
+    assert all((k, k) in found for k in range(len(items)))
+
+
 def test_edit_distance_by_hand():
     item = np.array([1, 2, 3, 4, 5])
     assert decontaminate.edit_distance(item, np.array([9, 1, 2, 3, 4, 5, 9])) == (0, 6)
