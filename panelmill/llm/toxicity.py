@@ -1,9 +1,11 @@
 """Toxicity by noisy-channel deobfuscation and word evidence.
 
-Writers hide words by leetspeak, spacing, separators and repeated letters. Each suspicious token (or run
-of single letters) becomes a lattice: every character offers the letters it may stand for, with a
-channel cost, separators may vanish, and a run of one letter may shrink. Viterbi decoding under a
-character trigram model picks the restored word. The model's counts are taken over all documents, in
+Writers hide words by leetspeak, spacing, separators and repeated letters. Each token that is not plain
+letters (or run of single letters) becomes a lattice: every character offers the letters it may stand for,
+with a channel cost, separators may vanish, and a long run of one letter may shrink. Viterbi decoding under
+a character trigram model picks the restored word. Repeated letters of the outcome are read both once and
+twice, and a run of single letters also without its first or last one, and cut where its gaps are wider or
+where the model puts a word boundary. The model's counts are taken over all documents, in
 one pass that adds 27^3 cells, whatever the input's size.
 
 The score is a logistic function of the strongest word evidences (log odds of toxic against other
@@ -15,6 +17,7 @@ held out.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 
@@ -55,9 +58,12 @@ _SHRINK_COST = 0.5
 _FOLD = np.zeros(256, np.int64)
 _FOLD[97:123] = np.arange(1, 27)
 _FOLD[65:91] = np.arange(1, 27)
-_LETTER = re.compile(r"[a-z]")
-_ODD = re.compile(r"[0-9@$!|+*._~^-]|(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ ._*-]\S){2,}(?!\S)")
+#: What decoding may change: characters with a meaning anywhere, others but letters inside a token, runs of three.
+_ODD = re.compile(r"[0-9@$!|+*]|[^\W\d_][\W_]+[^\W_]|(.)\1\1")
+_TWICE = re.compile(r"([^\W\d_])\1+")
+_MOST_TWICE = 8
+_SPACED = re.compile(r"(?<!\S)\S(?:(?:[._*-]|\s+)\S){2,}(?!\S)")
+_WIDE = re.compile(r"\s{2,}|\n")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -114,45 +120,92 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a token: Viterbi over its lattice, states are the last two symbols."""
+def restore(token: str, model: list) -> str:
+    """The likeliest letters behind a token."""
+    return decode(lattice(token), model)
+
+
+def segment(parts: list[str], model: list) -> list[str]:
+    """The likeliest words behind a run of single characters, any gap of which may be a word boundary."""
+    steps = lattice(parts[0])
+    for part in parts[1:]:
+        steps += [[("", 0.0), (" ", 0.0)], *lattice(part)]
+    return decode(steps, model).split()
+
+
+def shrunk(word: str, model: list) -> set[str]:
+    """The word with each run of one letter read once or twice: every choice up to ``_MOST_TWICE`` runs,
+    beyond that once everywhere, or by the model."""
+    runs = list(_TWICE.finditer(word))
+    if not runs:
+        return {word}
+    if len(runs) == 1:
+        a, b, c = word[: runs[0].start()], word[runs[0].end() :], runs[0][1]
+        return {word, a + c + b, a + c + c + b}
+    between = [word[a:b] for a, b in zip([0, *(m.end() for m in runs)], [*(m.start() for m in runs), len(word)], strict=True)]
+    choices = [(m[1], m[1] * 2) for m in runs]
+    if len(runs) > _MOST_TWICE:
+        steps: list[list[tuple[str, float]]] = [[(c, 0.0)] for c in between[0]]
+        for (one, two), rest in zip(choices, between[1:], strict=True):
+            steps += [[(one, _SHRINK_COST), (two, 0.0)], *([(c, 0.0)] for c in rest)]
+        return {word, "".join(x for pair in zip(between, [c for c, _ in choices] + [""], strict=True) for x in pair), decode(steps, model)}
+    return {word} | {"".join(x for pair in zip(between, (*picked, ""), strict=True) for x in pair) for picked in itertools.product(*choices)}
+
+
+def decode(steps: list[list[tuple[str, float]]], model: list) -> str:
+    """Viterbi over a lattice, states are the last two symbols."""
     beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for step in lattice(token):
+    for step in steps:
         nxt: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, text) in beams.items():
             for emit, price in step:
                 x, y, total = a, b, cost + price
                 for c in emit:
                     z = ord(c) - 96 if "a" <= c <= "z" else 0
-                    total -= float(model[x, y, z])
+                    total -= model[x][y][z]
                     x, y = y, z
                 held = nxt.get((x, y))
                 if held is None or total < held[0]:
                     nxt[x, y] = (total, text + emit)
         beams = nxt
-    return min((cost - float(model[a, b, 0]), text) for (a, b), (cost, text) in beams.items())[1]
+    return min((cost - model[a][b][0], text) for (a, b), (cost, text) in beams.items())[1]
 
 
 class Restorer:
     """Distinct restored words of texts; a worker remembers the tokens it has restored."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model
+        # nested lists are read faster than single cells of an array
+        self.model = model.tolist()
         self.word = functools.lru_cache(maxsize=WORD_TABLE_ROWS)(self._word)
 
     def _word(self, token: str) -> tuple[str, ...]:
+        if token.isalpha() and not _TWICE.search(token):
+            return (token,)
         plain = _EDGE.sub("", token)
-        if _ODD.search(token) and _LETTER.search(token):
-            return tuple({plain, restore(token, self.model), restore(plain, self.model)} - {""})
-        return (plain,) if plain else ()
+        if _ODD.search(token):
+            out = {plain} | {restore(t, self.model) for t in {token, plain}}
+        elif _TWICE.search(plain):
+            out = {plain}
+        else:
+            return (plain,) if plain else ()
+        return tuple(set().union(*(shrunk(w, self.model) for w in out)) - {""})
+
+    def run(self, run: str) -> set[str]:
+        """Words behind a run of single letters."""
+        out = {"".join(r.split()) for r in _WIDE.split(run)}
+        for gap in (r"[\s._-]+", r"[\s._*-]+") if "*" in run else (r"[\s._-]+",):
+            if parts := [p for p in re.split(gap, run) if p]:
+                out |= {"".join(p) for p in (parts, parts[1:], parts[:-1], parts[1:-1])} | set(segment(parts, self.model))
+        return {w for token in out if token for w in self.word(token)}
 
     def words(self, text: str) -> set[str]:
         text = text.lower()
         out: set[str] = set()
         for token in set(text.split()):
             out.update(self.word(token))
-        for run in _SPACED.findall(text):
-            out.add(restore(run.replace(" ", ""), self.model))
+        for run in set(_SPACED.findall(text)):
+            out |= self.run(run)
         return out - {""}
 
 
@@ -168,18 +221,22 @@ class Scorer:
         self.of_token = functools.lru_cache(maxsize=WORD_TABLE_ROWS)(self._of_token)
 
     def of_word(self, word: str) -> float:
-        for f in word_features(word):
-            if (e := self.evidence.get(f)) is not None:
-                return e
-        return 0.0
+        # the order of word_features, made only as far as needed
+        e = self.evidence.get("w:" + word)
+        if e is None and len(word) >= 5:
+            e = self.evidence.get("5:" + word[:5])
+        if e is None and len(word) >= 4:
+            e = self.evidence.get("4:" + word[:4])
+        return 0.0 if e is None else e
 
     def _of_token(self, token: str) -> float:
-        return max(map(self.of_word, self.restorer.word(token)), default=0.0)
+        # of_token has its own memory
+        return max(map(self.of_word, self.restorer._word(token)), default=0.0)
 
     def features(self, text: str) -> tuple[float, float]:
         text = text.lower()
         found = [e for e in map(self.of_token, set(text.split())) if e > 0]
-        found += [e for run in _SPACED.findall(text) if (e := self.of_word(restore(run.replace(" ", ""), self.restorer.model))) > 0]
+        found += [e for run in set(_SPACED.findall(text)) if (e := max(map(self.of_word, self.restorer.run(run)), default=0.0)) > 0]
         top = sorted(found, reverse=True)[:TOP]
         return (top[0] if top else 0.0), sum(top)
 

@@ -197,6 +197,20 @@ def test_toxicity_separates_held_out_rows_and_hidden_words(spark):
     assert clean.columns == df.columns and {10_002, 900_001} <= {r.doc_id for r in clean.select("doc_id").collect()}
 
 
+@pytest.mark.parametrize(
+    ("hidden", "word"),
+    [("@$$", "ass"), ("455", "ass"), ("stuupid", "stupid"), ("iddiot", "idiot"), ("iddi0tt!", "idiot"), ("ssttuuppiidd", "stupid"), ("stu,pid", "stupid"), ("assh00le", "asshole"),
+     ("you are a s t u p i d head", "stupid"), ("s t u p i d i am", "stupid"), ("s  t  u  p  i  d", "stupid"), ("s\nt\nu\np\ni\nd", "stupid"), ("s t u p i d  f o o l", "fool"), ("a s t u u p 1 d", "stupid"), ("a.s.t.u.p.i.d", "stupid"), ("a*s*t*u*p*i*d", "stupid")],
+)
+def test_hidden_words_are_read(hidden, word):
+    text = "the stupid idiot asshole ass fool am in a mad class of people " * 50
+    counts = toxicity.trigram_counts([text]).reshape(27, 27, 27) + 0.1
+    model = np.log(counts / counts.sum(axis=2, keepdims=True)).astype(np.float32)
+    assert word in toxicity.Restorer(model).words(hidden)
+    scorer = toxicity.Scorer(model, {f"w:{word}": 5.0}, (-3.0, 1.0, 1.0))
+    assert scorer.score(hidden) > 0.5 and scorer.score("the people of class ball 12 off") < 0.5
+
+
 def test_toxicity_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     df, rows = frames.awkward(spark)
