@@ -233,7 +233,7 @@ def irf_coverage(tasks: DataFrame, horizons: tuple[int, ...] = (1, 2, 4)) -> Dat
     return tasks.repartition(8, "config", "rep").mapInPandas(run, "config string, rep long, quantity string, hit int")
 
 
-def rank_choices(tasks: DataFrame, caps: tuple[int, int, int] = (1, 1, 1), c: float = 0.03) -> DataFrame:
+def rank_choices(tasks: DataFrame, caps: tuple[int, int, int] = (2, 2, 2), c: float = 0.03) -> DataFrame:
     """(config, rep, ranks, hit): the candidate of the full box with the least penalised held-out error."""
     import itertools
 

@@ -126,7 +126,7 @@ def select_ranks(spark, sf_dir):
     df = ar_panel(spark, sf_dir)
     t, n = df.agg(F.countDistinct("t_ix"), F.countDistinct("unit_ix")).first()
     tuning = K.Tuning(q=1, folds=4, sweeps=15, restarts=1, levels=2)
-    return E.select_ranks(df, _candidates(spark, (1, 1, 1)), tuning, SEED, 0.03, int(t), int(n)).orderBy("criterion", "dimension", "ranks").limit(8)
+    return E.select_ranks(df, _candidates(spark, (2, 2, 2)), tuning, SEED, 0.03, int(t), int(n)).orderBy("criterion", "dimension", "ranks")
 
 
 @query
@@ -221,8 +221,8 @@ def debiasing_demo(spark, sf_dir):
 
 @query
 def rank_consistency(spark, sf_dir):
-    tasks = E.replication_tasks(spark, [{"t": 16, "n": 14, "q": 1, "folds": 3, "sweeps": 10, "restarts": 1, "levels": 2}], 2)
-    return E.rank_choices(tasks).groupBy("config").agg(F.avg("hit").alias("share"), F.count("*").alias("reps"))
+    tasks = E.replication_tasks(spark, [{"t": 16, "n": 14, "q": 1, "folds": 3, "sweeps": 10, "restarts": 1, "levels": 2}], 100)
+    return E.rank_choices(tasks, (2, 2, 2)).groupBy("config").agg(F.avg("hit").alias("share"), F.count("*").alias("reps"))
 
 
 @query

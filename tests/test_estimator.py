@@ -91,6 +91,16 @@ def test_distributed_half_sweeps_equal_the_kernel(spark, frame, simulated):
     assert np.allclose(sorted(v[0] for v in g.toPandas()["v"]), sorted(kg[:, 0]))
 
 
+def test_rank_choices_search_the_box_of_27(spark, sf):
+    from panelmill.plans import estimation
+
+    settings = {"t": 16, "n": 14, "q": 1, "folds": 3, "sweeps": 10, "restarts": 1, "levels": 2}
+    chosen = [r.ranks for r in E.rank_choices(E.replication_tasks(spark, [settings], 8)).collect()]
+    assert len(chosen) == 8 and any("2" in r for r in chosen)
+    assert len({tuple(r.ranks) for r in estimation.QUERIES["select_ranks"](spark, sf).collect()}) == 27
+    assert estimation.QUERIES["rank_consistency"](spark, sf).first().reps > 2
+
+
 def test_streaming_cells_equal_batch_cells(spark, sf, tmp_path):
     from panelmill.streaming.cells import batch_cells, streaming_cells
 
