@@ -90,9 +90,9 @@ def walk_keys(hashes: np.ndarray, size: int, repeat: int) -> np.ndarray:
 class Items:
     """Benchmark items by window size and repeat: sorted keys, and (item, anchor) behind them."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int | None], texts: list[str], times: list[int] | None = None):
         w = item_words(texts)
-        self.ids = ids
+        self.ids, self.times = ids, times or [1] * len(ids)
         self.words = [w.hashes[a:b] for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)]
         by_size: dict[int, list[tuple[int, int]]] = {}
         for k, words in enumerate(self.words):
@@ -185,16 +185,19 @@ def edit_distance(item: np.ndarray, part: np.ndarray) -> tuple[int, int]:
 
 
 def item_blocks(items: DataFrame):
-    """Items in blocks of a bounded number of rows, in item_id order."""
-    items = items.select("item_id", text_or_empty().alias("text")).where("item_id is not null")
+    """Items in blocks of a bounded number of rows, by item_id (nulls first) and text. Repeated rows are one, with their number."""
+    items = items.select("item_id", text_or_empty().alias("text")).groupBy("item_id", "text").agg(F.count("*").alias("times"))
     last = None
     while True:
-        part = items if last is None else items.where(F.col("item_id") > last)
-        rows = part.orderBy("item_id", "text").limit(ITEM_BLOCK).collect()
+        part = items
+        if last is not None:
+            same = F.col("item_id").eqNullSafe(F.lit(last[0])) & (F.col("text") > last[1])
+            part = items.where(same | (F.col("item_id").isNotNull() if last[0] is None else F.col("item_id") > last[0]))
+        rows = part.orderBy(F.col("item_id").asc_nulls_first(), "text").limit(ITEM_BLOCK).collect()
         if not rows:
             return
-        yield Items([r[0] for r in rows], [r[1] for r in rows])
-        last = rows[-1][0]
+        yield Items([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+        last = rows[-1][:2]
         if len(rows) < ITEM_BLOCK:
             return
 
@@ -203,7 +206,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, item_words, edits: one row for each item found in each row of ``docs``.
 
     Null and empty texts hold no item; items without words are never found; items of equal text are each
-    reported; repeated rows give repeated results. Extra columns are ignored.
+    reported, also those of null item_id; repeated rows give repeated results. Extra columns are ignored.
     """
     schema = "doc_id long, item_id long, first_word long, item_words long, edits long"
     texts = docs.select("doc_id", text_or_empty().alias("text"))
@@ -214,8 +217,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             for pdf in batches:
                 ids, all_texts = pdf["doc_id"].tolist(), list(pdf["text"])
                 for a, b in slices(all_texts, SLICE):
-                    rows = [(ids[a + t], block.ids[k], s, n, e) for t, k, s, n, e in block.find(all_texts[a:b])]
-                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "item_words", "edits"])
+                    rows = [(ids[a + t], block.ids[k], s, n, e) for t, k, s, n, e in block.find(all_texts[a:b]) for _ in range(block.times[k])]
+                    out = pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "item_words", "edits"])
+                    # nullable whole numbers, as a null would turn the others into floats
+                    yield out.assign(item_id=pd.array([r[1] for r in rows], dtype="Int64"))
 
         found = texts.mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)

@@ -143,6 +143,17 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontaminate.leaks(df, items.limit(0)).count() == 0
 
 
+def test_item_blocks_leave_no_row_out(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 2)
+    names = [f"alpha{k} beta{k} gamma{k} delta{k}" for k in range(9)]
+    ids = [None, None, None, 2**60 + 1, 5, 5, 5, 5, 6]
+    items = spark.createDataFrame([*zip(ids, names, strict=True), (5, names[4]), (7, None)], "item_id long, text string")
+    docs = spark.createDataFrame([*((k, f"one two {t} three") for k, t in enumerate(names)), (100, "plain words only")], "doc_id long, text string")
+    found = sorted(((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()), key=str)
+    assert found == sorted([*enumerate(ids), (4, 5)], key=str)
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, items).collect()] == [100]
+
+
 def test_every_item_within_the_edits_allowed_is_found():
     rnd = random.Random(11)
     items = [[f"v{rnd.randrange(400)}" for _ in range(n)] for n in range(1, 64) for _ in range(4)]
