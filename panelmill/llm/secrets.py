@@ -45,7 +45,7 @@ def _scan(batches):
 def update_ledger(paths: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """Scan the blobs of ``paths`` (path, text) that ``ledger`` lacks for this rule version.
 
-    Returns (new ledger rows, addressed paths). A null text counts as the empty blob. Paths that
+    Returns (new ledger rows, addressed paths). A null text counts as the empty blob, a null path is a path. Paths that
     occur twice keep both rows. Both tables are written to the shared folder.
     """
     addressed = written(paths.select("path", F.sha2(text_or_empty(), 256).alias("blob")), "blob-paths")
@@ -54,8 +54,11 @@ def update_ledger(paths: DataFrame, ledger: DataFrame | None = None, rule_versio
         seen = ledger.where(F.col("rule_version") == rule_version).select("blob")
         todo = todo.join(seen, "blob", "left_anti")
     texts = paths.select("path", text_or_empty().alias("text"))
-    chosen = todo.join(texts, "path").where(F.sha2("text", 256) == F.col("blob"))
-    fresh = chosen.select("blob", "text").mapInPandas(_scan, LEDGER)
+    chosen = todo.join(texts, "path").where(F.sha2("text", 256) == F.col("blob")).select("blob", "text")
+    # a blob that only rows of null path hold has a null path, which joins nothing: one text of it by blob
+    pathless = texts.where("path is null").groupBy(F.sha2("text", 256).alias("blob")).agg(F.first("text").alias("text"))
+    chosen = chosen.unionByName(todo.where("path is null").select("blob").join(pathless, "blob").select("blob", "text"))
+    fresh = chosen.mapInPandas(_scan, LEDGER)
     # a path may occur with several versions or twice: one ledger row for each blob
     return written(fresh, "blob-ledger").dropDuplicates(["blob", "rule_version"]), addressed
 

@@ -107,6 +107,13 @@ def naive_personal(text: str) -> list:
     return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c in "0123456789" for c in m[0]) <= 15]
 
 
+def test_a_secret_at_a_null_path_is_found(spark):
+    rows = [(None, "password = hunter2222"), (None, "plain"), (1, "also plain"), (None, None)]
+    found, ledger = secrets.scan_history(spark.createDataFrame(rows, "path long, text string"))
+    assert sorted(r.n_assign for r in found.collect()) == [0, 0, 0, 1]
+    assert ledger.count() == 4
+
+
 def test_base_personal_spans_equal_brute_force():
     rnd = random.Random(4)
     for _ in range(20_000):
