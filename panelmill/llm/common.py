@@ -1,16 +1,22 @@
-"""Shared plumbing of the corpus operators: table access, shared scratch tables, word splitting."""
+"""Shared plumbing of the corpus operators: table access, shared scratch tables, Arrow batches."""
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+#: Scratch folders that are not deleted yet, by application, in the order they were made.
+_MADE: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -20,44 +26,120 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
+    """The cluster's shared folder. Where the session names none, a temporary one if all tasks run inside the
+    driver's own process; else there is no folder that all executors share, which is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[key] = "file://" + tempfile.mkdtemp(prefix="panelmill-")
     return _LOCAL_SCRATCH[key]
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared folder, deleted at the session's end at the latest."""
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back: cuts the lineage and
     survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made(spark: SparkSession) -> int:
+    """How many scratch folders there are: a mark for ``drop_since``."""
+    return len(_MADE.get(spark.sparkContext.applicationId, []))
+
+
+def _delete(sc: SparkContext, paths: Iterable[str]) -> None:
+    own = _MADE.get(sc.applicationId, [])
+    for name in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        own.remove(name)
+
+
+def _path_of(df: DataFrame) -> set[str]:
+    own = _MADE.get(df.sparkSession.sparkContext.applicationId, [])
+    ends = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+    return {p for p in own if p.rpartition("/")[2] in ends}
+
+
 def drop_written(*frames: DataFrame) -> None:
     """Delete scratch tables whose last reader has finished."""
     for df in frames:
-        spark = df.sparkSession
-        root = scratch_dir(spark)
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if root.split(":")[-1].lstrip("/") in folder:
-                jvm = spark.sparkContext._jvm
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession.sparkContext, _path_of(df))
+
+
+def drop_since(spark: SparkSession, mark: int, *kept: DataFrame) -> None:
+    """Delete the scratch folders made since ``mark`` (see ``made``) but those that ``kept`` read."""
+    stay = set().union(*map(_path_of, kept))
+    _delete(spark.sparkContext, [p for p in _MADE.get(spark.sparkContext.applicationId, [])[mark:] if p not in stay])
 
 
-def text_or_empty(column: str = "text"):
+@atexit.register
+def _drop_all() -> None:
+    """What results still read at the end of the program goes then."""
+    sc = SparkContext._active_spark_context
+    if sc is not None and sc._jsc is not None and _MADE.get(sc.applicationId):
+        _delete(sc, list(_MADE[sc.applicationId]))
+    for folder in _LOCAL_SCRATCH.values():
+        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
+
+
+def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def words(text: str) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8 bytes; bytes.split() splits at exactly those six."""
-    return text.encode("utf-8", "surrogatepass").split()
+_TYPES = {
+    "long": pa.int64(),
+    "int": pa.int32(),
+    "double": pa.float64(),
+    "boolean": pa.bool_(),
+    "string": pa.string(),
+    "binary": pa.binary(),
+    "array<long>": pa.list_(pa.int64()),
+    "array<int>": pa.list_(pa.int32()),
+    "array<string>": pa.list_(pa.string()),
+    "array<array<int>>": pa.list_(pa.list_(pa.int32())),
+}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, _TYPES[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+def map_batches(df: DataFrame, rows: Callable[..., Iterable[tuple]], ddl: str, own: Callable | None = None) -> DataFrame:
+    """``df.mapInArrow``, where ``rows(batch)`` yields the columns of each output batch in the order of ``ddl``;
+    ``rows(batch, own())`` where a task makes something of its own first.
+
+    Columns that are handed on as Arrow arrays keep their nulls and all their bits, which pandas
+    would not grant: one null turns a whole batch of ids into floats.
+    """
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        state = () if own is None else (own(),)
+        for batch in batches:
+            for columns in rows(batch, *state):
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return df.mapInArrow(run, ddl)
+
+
+def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+    """The texts of a batch; null is empty."""
+    return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
 
 def sha_hex(data: bytes) -> str:

@@ -2,11 +2,13 @@
 
 A word is a run ``[^\\x20\\x09-\\x0D]+``. Its hash is a polynomial over its bytes modulo 2^64, mixed,
 so equal words have equal hashes in every task; different words collide with probability about
-2^-64.
+2^-64. ``Words.second`` gives a second hash of other polynomials, for 128 bits in all.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 _SPACE = np.zeros(256, bool)
@@ -29,6 +31,11 @@ def _powers(base: int) -> np.ndarray:
 
 _POW = _powers(_BASE)
 _POW_FAR = _powers(0xD6E8FEB86659FD93)
+_SECOND = 0xC2B2AE3D27D4EB4F
+_SECOND_FAR = 0x165667B19E3779F9
+
+
+_second_powers = functools.lru_cache(maxsize=2)(_powers)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -56,22 +63,29 @@ class Words:
         edge = np.diff(body.view(np.int8), prepend=np.int8(0))
         self.starts = starts = np.flatnonzero(edge == 1)
         self.ends = ends = np.flatnonzero(edge == -1)
-        if len(starts):
-            values = (_LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1)
-            lengths = ends - starts
-            inside = np.arange(len(raw))
-            first = np.repeat(starts, np.diff(np.append(starts, len(raw))))
-            inside[starts[0] :] -= first
-            if lengths.max() >= _POWERS:
-                values *= _POW_FAR[(inside >> 12) & (_POWERS - 1)]
-            values *= _POW[inside & (_POWERS - 1)]
-            values[space] = 0
-            self.hashes = mix(np.add.reduceat(values, starts))
-        else:
-            self.hashes = np.empty(0, np.uint64)
+        self.lower = lower
+        self.hashes = self._polynomials(_POW, _POW_FAR)
         self.offsets = np.searchsorted(starts, self.bounds)
         self.counts = np.diff(self.offsets)
 
+    def _polynomials(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        starts, raw = self.starts, self.raw
+        if not len(starts):
+            return np.empty(0, np.uint64)
+        values = (_LOWER[raw] if self.lower else raw).astype(np.uint64) + np.uint64(1)
+        inside = np.arange(len(raw))
+        first = np.repeat(starts, np.diff(np.append(starts, len(raw))))
+        inside[starts[0] :] -= first
+        if (self.ends - starts).max() >= _POWERS:
+            values *= far[(inside >> 12) & (_POWERS - 1)]
+        values *= near[inside & (_POWERS - 1)]
+        values[self.space] = 0
+        return mix(np.add.reduceat(values, starts))
+
+    def second(self) -> np.ndarray:
+        """Second hashes of all words, of other bases than ``hashes``."""
+        return self._polynomials(_second_powers(_SECOND), _second_powers(_SECOND_FAR))
+
     def word_bytes(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]]
 
