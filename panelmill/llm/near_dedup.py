@@ -4,7 +4,7 @@ Each document's shingle set is reduced to registers: the minimum of a hash over
 exponentially spaced scale and truncated. Registers of a union are the maxima of the registers, and
 two registers are equal with a probability that grows with the Jaccard similarity. Steps:
 
-1. Equal sets collapse to their least doc_id, the representative.
+1. Equal sets collapse to one representative, a number that is fixed once the sketches are written.
 2. Bands of registers deal representatives into buckets. In every bucket each member meets the least
    one; then, where they lie in different components, up to ``CENTRES`` others. So a bucket gives rows
    in proportion to its members.
@@ -12,20 +12,26 @@ two registers are equal with a probability that grows with the Jaccard similarit
    equal registers and both set sizes, drops pairs five standard errors below the threshold.
 4. The other pairs are confirmed on full sets; components come from the confirmed links.
 5. Buckets whose members still lie in several components are gone through exactly: each member outside
-   the bucket's largest component meets all members, in a grid of ``BLOCK`` outsiders by ``MEMBERS``
+   the bucket's largest component meets all members, in a grid of ``BLOCK`` outsiders by ``BLOCK``
    members. Steps 3 and 4 run inside the block, which returns confirmed links only.
+6. Before that, members of buckets with over ``HOT`` pairs to go through are thinned: shingles that no
+   other such member holds cannot be shared. A member with too few others left can have no link, and of
+   two linked sets the one that is not larger must share 2t / (1 + t) of its shingles. So variants of a
+   template, of which each has its own words, leave the grid without being compared.
 
 With 24 bands of 5 registers a pair at similarity 0.85 shares no bucket with probability 7e-7.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import slices, table, text_or_empty, written
+from panelmill.llm.common import drop_since, made, map_batches, slices, table, text_or_empty, texts_of, written
 from panelmill.llm.components import components
 from panelmill.llm.wordhash import Words, mix, rolling
 
@@ -35,11 +41,11 @@ BASE = 1.001
 RATE = 20.0
 TOP = 2**16 - 2
 CENTRES = 6
-BLOCK = 128
-MEMBERS = 2_000
+BLOCK = 256
+HOT = 16_000_000
 SLICE = 250_000
 _MULT = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_SKETCH = "doc_id long, n_shingles long, set_id string, bands array<long>, registers binary"
+_SKETCH = "doc_id long, text_id string, n_shingles long, set_id string, bands array<long>, registers binary"
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
@@ -93,27 +99,24 @@ def least_estimate(threshold: float) -> float:
 
 
 def _sketcher(width: int):
-    def run(batches):
-        import hashlib
-
-        for pdf in batches:
-            texts = list(pdf["text"])
-            for a, b in slices(texts, SLICE):
-                sets = shingle_sets(texts[a:b], width)
-                sizes = np.array([len(s) for s in sets])
-                full = np.flatnonzero(sizes)
-                bands: list = [None] * len(sets)
-                regs: list = [None] * len(sets)
-                ids = [None] * len(sets)
-                if len(full):
-                    flat = np.concatenate(sets)
-                    offsets = (np.cumsum(sizes) - sizes)[full]
-                    r = registers(flat, offsets)
-                    keyed = rolling_rows(r)
-                    for row, i in enumerate(full.tolist()):
-                        bands[i], regs[i] = keyed[row], r[row].tobytes()
-                        ids[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).hexdigest()
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[a:b], "n_shingles": sizes, "set_id": ids, "bands": bands, "registers": regs})
+    def run(batch):
+        texts = texts_of(batch)
+        for a, b in slices(texts, SLICE):
+            sets = shingle_sets(texts[a:b], width)
+            sizes = np.array([len(s) for s in sets])
+            full = np.flatnonzero(sizes)
+            bands: list = [None] * len(sets)
+            regs: list = [None] * len(sets)
+            ids = [None] * len(sets)
+            if len(full):
+                flat = np.concatenate(sets)
+                offsets = (np.cumsum(sizes) - sizes)[full]
+                r = registers(flat, offsets)
+                keyed = rolling_rows(r)
+                for row, i in enumerate(full.tolist()):
+                    bands[i], regs[i] = keyed[row], r[row].tobytes()
+                    ids[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).hexdigest()
+            yield batch.column("doc_id").slice(a, b - a), batch.column("text_id").slice(a, b - a), sizes, ids, bands, regs
 
     return run
 
@@ -156,15 +159,22 @@ def _confirm(percent: int):
 
 
 def _make_sets(width: int):
-    def run(batches):
-        for pdf in batches:
-            texts = list(pdf["text"])
-            for a, b in slices(texts, SLICE):
-                yield pd.DataFrame({"rep": pdf["rep"].to_numpy()[a:b], "items": [s.tobytes() for s in shingle_sets(texts[a:b], width)]})
+    def run(batch):
+        texts = texts_of(batch)
+        for a, b in slices(texts, SLICE):
+            yield batch.column("rep").slice(a, b - a), [s.tobytes() for s in shingle_sets(texts[a:b], width)]
 
     return run
 
 
+def _shingles_of(batch):
+    """(rep, shingle) of every set of a batch, some sets at a time."""
+    reps, sets = batch.column("rep").to_pylist(), batch.column("items").to_pylist()
+    for k in range(0, len(reps), 256):
+        flat = [np.frombuffer(v, np.int64) for v in sets[k : k + 256]]
+        yield np.repeat(reps[k : k + 256], [len(v) for v in flat]), np.concatenate(flat)
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     both = np.concatenate((x, y))
     both.sort()
@@ -182,11 +192,11 @@ def _leftover(threshold: float, percent: int):
         x = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(-1, REGISTERS)
         n, rep, comp = (pdf[c].to_numpy() for c in ("n_shingles", "rep", "comp"))
         sets = [np.frombuffer(v, np.uint64) for v in pdf["items"]]
-        outside = pdf["outside"].to_numpy()
+        outside, small = pdf["outside"].to_numpy(bool), pdf["small"].to_numpy(bool)
         members = np.flatnonzero(~outside)
         found = []
         for i in np.flatnonzero(outside).tolist():
-            near = members[(comp[members] != comp[i]) & (n[members] >= threshold * n[i]) & (n[members] * threshold <= n[i])]
+            near = members[(comp[members] != comp[i]) & (n[members] >= threshold * n[i]) & (n[members] * threshold <= n[i]) & np.where(n[members] == n[i], small[i] | small[members], np.where(n[members] > n[i], small[i], small[members]))]
             if not len(near):
                 continue
             y = x[near]
@@ -204,18 +214,34 @@ def _leftover(threshold: float, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+def _thinned(kept: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
+    """The open buckets' members that can have a link; ``small``: also to a set that is not smaller.
 
-    Links: 100 * intersection >= percent * union of the word-shingle sets. Null and empty texts have no
-    shingles and stay alone. Rows that repeat a doc_id are all returned, with equal components if their
-    texts link. Extra columns are ignored. An empty table gives an empty result.
+    Only members of hot buckets are looked at. A shingle is counted over all of them, so one that is met
+    once is shared with no other member of any hot bucket.
     """
+    size = F.col("n_outside") * F.col("n")
+    hot = kept.where(size > HOT).select("rep").distinct()
+    held = profiles.join(hot, "rep")
+    lone = map_batches(held.select("rep", "items"), _shingles_of, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("times"), F.min("rep").alias("rep")).where("times = 1").groupBy("rep").agg(F.count("*").alias("lone"))
+    shared = F.col("n_shingles") - F.coalesce("lone", F.lit(0))
+    # a little less than the bounds, as they are compared in floating point
+    able = held.select("rep", "n_shingles").join(lone, "rep", "left").where(shared >= (threshold - 1e-9) * F.col("n_shingles"))
+    able = able.select("rep", (shared >= (2 * threshold / (1 + threshold) - 1e-9) * F.col("n_shingles")).alias("small"))
+    thin = kept.where(size > HOT).join(able, "rep")
+    return kept.where(size <= HOT).withColumn("small", F.lit(True)).unionByName(thin.select(*kept.columns, "small"))
+
+
+def _winners(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Every row of ``docs`` with its text_id, n_shingles and its group's least (doc_id, text_id), null ids last."""
     threshold = percent / 100
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    sketches = written(texts.mapInPandas(_sketcher(width), _SKETCH), "sketches")
+    spark = docs.sparkSession
+    mark = made(spark)
+    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_id", F.md5("text"))
+    sketches = written(map_batches(texts, _sketcher(width), _SKETCH).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id")
     reps = written(
-        sketches.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")),
+        sketches.where("n_shingles > 0").groupBy("set_id").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min(first).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")),
         "representatives",
     )
     keyed = reps.select("rep", F.explode("bands").alias("band"))
@@ -224,10 +250,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets = keyed.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("least"), F.array_compact(F.array(*chosen)).alias("centres")).where("size > 1")
     members = written(keyed.join(buckets, "band").select("band", "rep", "least", "centres"), "buckets")
     side = reps.select("rep", "n_shingles", "registers")
-    held = members.select("rep").distinct().join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    # a doc_id that repeats with other texts: only the text behind the representative's set counts
-    profiles = held.mapInPandas(_make_sets(width), "rep long, items binary").join(side, "rep")
-    profiles = written(profiles.where(F.length("items") == 8 * F.col("n_shingles")).dropDuplicates(["rep"]), "profiles")
+    # the text of a set is one of its least (doc_id, text_id)
+    held = members.select("rep").distinct().join(reps.select("rep", "first.*"), "rep").alias("r")
+    held = held.join(texts.alias("t"), F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.text_id") == F.col("t.text_id"))).select("r.rep", "t.text")
+    profiles = written(map_batches(held, _make_sets(width), "rep long, items binary").dropDuplicates(["rep"]).join(side, "rep"), "profiles")
     sets = profiles.select("rep", "items")
 
     def links_of(met: DataFrame) -> DataFrame:
@@ -255,37 +281,70 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     kept = placed.join(split, "band").withColumn("outside", F.col("comp") != F.col("main"))
     # buckets with the same members are gone through once
     same = kept.groupBy("band").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"), F.sum(F.col("outside").cast("long")).alias("n_outside"))
-    once = same.groupBy("sum", "n").agg(F.min_by(F.struct("band", "n_outside"), "band").alias("one")).select("one.band", F.ceil(F.col("one.n_outside") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("cols"))
+    once = same.groupBy("sum", "n").agg(F.min_by(F.struct("band", "n_outside"), "band").alias("one")).select("one.band", "one.n_outside", "n")
     kept = written(kept.select("band", "rep", "comp", "outside").join(once, "band"), "open-buckets")
+    if not kept.where(F.col("n_outside") * F.col("n") > HOT).isEmpty():
+        kept = _thinned(kept, profiles, threshold).drop("n", "n_outside")
+        sizes = kept.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.col("outside").cast("long")).alias("n_outside"), F.max("small").alias("any_small")).where("any_small and n_outside > 0")
+        kept = written(kept.join(sizes.drop("any_small"), "band"), "thinned-buckets")
+    else:
+        kept = kept.withColumn("small", F.lit(True))
     if not kept.isEmpty():
-        def each(n: str):
-            return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        rows, cols = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_outside", "n"))
 
-        def one(n: str, salt: int):
-            return F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+        def each(n):
+            return F.explode(F.sequence(F.lit(0), n - 1))
 
-        rows = kept.where("outside").withColumn("row", one("rows", 1)).withColumn("col", each("cols"))
-        cols = kept.withColumn("outside", F.lit(False)).withColumn("col", one("cols", 2)).withColumn("row", each("rows"))
-        blocks = rows.select("band", "row", "col", "rep", "comp", "outside").unionByName(cols.select("band", "row", "col", "rep", "comp", "outside"))
-        blocks = blocks.join(profiles, "rep")
+        def one(n, salt: int):
+            return F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
+
+        take = ("band", "row", "col", "rep", "comp", "outside", "small")
+        down = kept.where("outside").withColumn("row", one(rows, 1)).withColumn("col", each(cols)).select(*take)
+        across = kept.withColumn("outside", F.lit(False)).withColumn("col", one(cols, 2)).withColumn("row", each(rows)).select(*take)
+        blocks = down.unionByName(across).join(profiles, "rep")
         extra = written(blocks.groupBy("band", "row", "col").applyInPandas(_leftover(threshold, percent), "a long, b long"), "links")
         if not extra.isEmpty():
             comps = components(comps.unionByName(extra))
-    return _labelled(sketches, reps, comps)
+    # the least document of every group, over sets first; only sets with copies or links travel
+    named = reps.join(comps.toDF("rep", "comp"), "rep", "left").select("set_id", "first", "copies", F.coalesce("comp", "rep").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("first").alias("winner"), F.sum("copies").alias("rows")).where("rows > 1")
+    named = written(named.select("set_id", "comp").join(least, "comp").select("set_id", "winner"), "groups")
+    drop_since(spark, mark, sketches, named)
+    return sketches.select("doc_id", "text_id", "n_shingles", "set_id").join(named, "set_id", "left").drop("set_id")
+
 
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
-def _labelled(sketches: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """Component of every document; only sets with copies or links travel."""
-    named = reps.join(comps.toDF("rep", "comp"), "rep", "left").where("copies > 1 or comp is not null").select("set_id", F.coalesce("comp", "rep").alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-    label = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", label.alias("component_id"), (F.col("doc_id") == label).alias("kept"))
+    Links: 100 * intersection >= percent * union of the word-shingle sets. Null and empty texts have no
+    shingles and stay alone. component_id is the least doc_id of the group that is not null, null where
+    the group has none; a row is kept if its doc_id equals it, null for null. Rows that repeat a doc_id are
+    all returned, with equal components if their texts link. Extra columns are ignored. An empty table
+    gives an empty result.
+    """
+    out = _winners(docs, width, percent)
+    label = F.when(F.col("winner").isNull(), F.col("doc_id")).otherwise(F.col("winner.doc_id"))
+    return out.select("doc_id", "n_shingles", label.alias("component_id"), F.col("doc_id").eqNullSafe(label).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns kept, less those whose group has a lower doc_id."""
-    gone = written(near_duplicates(docs.select("doc_id", "text"), width, percent).where("not kept").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of ``docs``, all columns kept: the one of the least doc_id (null ids last), of
+    several texts under that id the one of the least MD5, of rows that repeat both any one. Rows without
+    words stay."""
+    spark = docs.sparkSession
+    mark = made(spark)
+    out = _winners(docs.select("doc_id", "text"), width, percent).where("winner is not null")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id")
+    out = written(out.groupBy("doc_id", "text_id").agg(F.count("*").alias("rows"), F.min(first == F.col("winner")).alias("stays")).where("rows > 1 or not stays"), "near-duplicates")
+    drop_since(spark, mark, out)
+    keyed = docs.withColumn("_text", F.md5(text_or_empty()))
+    marked = out.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_met"), "stays")
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_met"))
+    alone = keyed.join(marked, on, "left_anti").select(docs.columns)
+    repeated = marked.where("stays")
+    if repeated.isEmpty():
+        return alone
+    return alone.unionByName(keyed.join(repeated, on, "left_semi").dropDuplicates(["doc_id", "_text"]).select(docs.columns))
 
 
 def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
