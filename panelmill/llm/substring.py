@@ -4,11 +4,15 @@ A repeat of ``WINDOW`` words holds at least one of the non-overlapping ``BLOCK``
 document (2 * BLOCK - 1 <= WINDOW). So:
 
 1. Every rolling BLOCK-word window of every document probes the index of blocks. Windows and blocks
-   travel as sorted hashes, delta-coded, one blob for each (batch, hash range); equal hashes of a
-   batch are merged before. A block is hot if its hash has a second occurrence at any offset.
+   travel as sorted 62-bit hashes, delta-coded, one blob for each (gathered windows, hash range); equal
+   hashes are merged before. Over ``FAN`` ranges the blobs are dealt twice, first by groups of ranges, so
+   that they stay long however many ranges the input needs. A block is hot if its hash has a second
+   occurrence at any offset; a chance collision makes a block hot without need and does no harm.
 2. Documents with hot blocks are extended from them: each start whose window holds the hot block sends
-   the hash of its whole window, again in blobs by hash range. The reply is a bit for each hash: does the
-   window start anywhere else. Runs of such windows are the maximal exact repeats.
+   the 128-bit hash of its whole window, again in blobs by hash range. The reply is a bit for each hash:
+   does the window start anywhere else. Runs of such windows are the maximal exact repeats. The two
+   halves of the hash come from unlike hashes of the words, so no chance collision is to be expected
+   among 10^14 windows.
 3. Covered words go.
 
 No pairs of occurrences are made, so a passage in n documents costs n rows at most.
@@ -16,20 +20,29 @@ No pairs of occurrences are made, so a passage in n documents costs n rows at mo
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import sha_hex, slices, table, text_or_empty, written
+from panelmill.llm.common import arrow_schema, drop_since, made, map_batches, sha_hex, slices, table, text_or_empty, texts_of, written
 from panelmill.llm.wordhash import Words, rolling
 
 WINDOW = 35
 BLOCK = 18
 SLICE = 250_000
-RANGE_BYTES = 12_000_000  # input bytes for each hash range
-CHUNK_CHARS = 6_000_000
-_BITS = np.uint64(46)
+RANGE_BYTES = 32_000_000  # input bytes for each range of block hashes
+RANGE_WINDOWS = 4_000_000  # whole windows for each range of their hashes
+FAN = 4_096
+GATHER = 2_000_000  # windows that a task holds before it sends them
+CHUNK_CHARS = 2_000_000
+_TWO = np.uint64(2)
+_BLOB = "range long, blob binary"
+_CHUNK = "chunk long, ids array<long>, texts array<string>, hot array<array<int>>"
 
 
 def hash_ranges(docs: DataFrame) -> int:
@@ -49,81 +62,118 @@ def _inside(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(sorted_values: np.ndarray) -> bytes:
-    """4 bytes for each gap, or 8 for each value where a gap is too wide."""
+    """6 bytes for each gap, or 8 for each value where a gap is too wide."""
     gaps = np.diff(sorted_values, prepend=sorted_values[:1])
-    if len(gaps) and gaps.max() < 2**32:
-        return b"d" + sorted_values[:1].tobytes() + gaps.astype(np.uint32).tobytes()
+    if len(gaps) and gaps.max() < 2**48:
+        return b"d" + sorted_values[:1].tobytes() + (gaps >> np.uint64(32)).astype(np.uint16).tobytes() + gaps.astype(np.uint32).tobytes()
     return b"r" + sorted_values.tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
     if blob[:1] == b"r":
         return np.frombuffer(blob[1:], np.uint64)
-    return np.cumsum(np.frombuffer(blob[9:], np.uint32).astype(np.uint64), dtype=np.uint64) + np.frombuffer(blob[1:9], np.uint64)
-
-
-def _probes(ranges: int):
-    """Distinct 46-bit hashes of all rolling windows of a batch; low bits: is a block, occurs again."""
-
-    def run(batches):
-        for pdf in batches:
-            texts, parts = list(pdf["text"]), []
+    n = (len(blob) - 9) // 6
+    gaps = np.frombuffer(blob[9 : 9 + 2 * n], np.uint16).astype(np.uint64) << np.uint64(32)
+    gaps += np.frombuffer(blob[9 + 2 * n :], np.uint32)
+    return np.cumsum(gaps, dtype=np.uint64) + np.frombuffer(blob[1:9], np.uint64)
+
+
+def merged(values: np.ndarray) -> np.ndarray:
+    """Sorted values of distinct hashes; the low bits of equal ones are joined, and the lowest set: it occurs again."""
+    values = np.sort(values)
+    runs = np.flatnonzero(np.concatenate(([True], (values[1:] >> _TWO) != (values[:-1] >> _TWO))))
+    many = np.diff(np.append(runs, len(values))) > 1
+    return np.bitwise_or.reduceat(values, runs) | many.astype(np.uint64)
+
+
+def _sent(parts: list[np.ndarray], ranges: int, per: int = 1) -> pa.RecordBatch:
+    """One blob for each range that the parts meet; ``per`` consecutive ones of ``ranges`` go together."""
+    values = merged(np.concatenate(parts))
+    span = np.uint64((1 << 62) // ranges + 1)
+    where = (values >> _TWO) // span // np.uint64(per)
+    cuts = np.flatnonzero(where[1:] != where[:-1]) + 1
+    bounds = [0, *cuts.tolist(), len(values)]
+    blobs = [pack(values[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(where[np.array(bounds[:-1])].astype(np.int64)), pa.array(blobs, pa.binary())], schema=arrow_schema(_BLOB))
+
+
+def _gathered(arrays, send):
+    """``send`` of as many arrays at a time as hold about ``GATHER`` values."""
+    parts, held = [], 0
+    for values in arrays:
+        parts.append(values)
+        held += len(values)
+        if held >= GATHER:
+            yield send(parts)
+            parts, held = [], 0
+    if held:
+        yield send(parts)
+
+
+def _probes(ranges: int, per: int):
+    """Distinct hashes of all rolling windows; low bits: is a block, occurs again."""
+
+    def arrays(batches):
+        for batch in batches:
+            texts = texts_of(batch)
             for a, b in slices(texts, SLICE):
                 w = Words(texts[a:b])
                 at, h = _inside(w, BLOCK)
                 first = np.repeat(w.offsets[:-1], w.counts)[at]
                 block = (at - first) % BLOCK == 0
-                parts.append(((h >> np.uint64(64) - _BITS) << np.uint64(2)) | (block.astype(np.uint64) << np.uint64(1)))
-            values = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
-            if not len(values):
-                continue
-            runs = np.flatnonzero(np.concatenate(([True], (values[1:] >> np.uint64(2)) != (values[:-1] >> np.uint64(2)))))
-            many = np.diff(np.append(runs, len(values))) > 1
-            merged = np.bitwise_or.reduceat(values, runs) | many.astype(np.uint64)
-            span = (1 << int(_BITS)) // ranges + 1
-            cuts = np.searchsorted(merged, (np.arange(1, ranges, dtype=np.uint64) * np.uint64(span)) << np.uint64(2))
-            bounds = [0, *cuts.tolist(), len(merged)]
-            rows = [(r, pack(merged[a:b])) for r, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
-            yield pd.DataFrame(rows, columns=["range", "blob"])
+                yield ((h >> _TWO) << _TWO) | (block.astype(np.uint64) << np.uint64(1))
 
-    return run
+    return lambda batches: _gathered(arrays(batches), lambda parts: _sent(parts, ranges, per))
+
+
+def _dealt_again(ranges: int):
+    """Blobs of groups of ranges, cut into single ranges. A task holds one group or a few at a time."""
+
+    def arrays(batches):
+        for batch in batches:
+            for blob in batch.column("blob"):
+                yield unpack(blob.as_py())
+
+    return lambda batches: _gathered(arrays(batches), lambda parts: _sent(parts, ranges))
 
 
 def _hot_blocks(key, pdf):
     """Hashes of a range that are a block somewhere and occur twice or more in all."""
-    values = np.sort(np.concatenate([unpack(b) for b in pdf["blob"]]))
-    hashes = values >> np.uint64(2)
-    runs = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-    flags = np.bitwise_or.reduceat(values, runs)
-    again = (np.diff(np.append(runs, len(values))) > 1) | ((flags & np.uint64(1)) > 0)
-    hot = hashes[runs][again & ((flags & np.uint64(2)) > 0)]
-    return pd.DataFrame({"hash": hot.astype(np.int64)})
+    values = merged(np.concatenate([unpack(b) for b in pdf["blob"]]))
+    return pd.DataFrame({"hash": (values[(values & np.uint64(3)) == np.uint64(3)] >> _TWO).astype(np.int64)})
+
+
+def hot_blocks(texts: DataFrame, ranges: int) -> DataFrame:
+    per = -(-ranges // FAN)
+    blobs = texts.select("text").mapInArrow(_probes(ranges, per), _BLOB)
+    if per > 1:
+        blobs = blobs.repartition("range").mapInArrow(_dealt_again(ranges), _BLOB)
+    return blobs.groupBy("range").applyInPandas(_hot_blocks, "hash long")
 
 
-def _doc_blocks(batches):
+def _doc_blocks(batch):
     """Every document with its word count, the hash of all its words, and its block hashes in order."""
-    for pdf in batches:
-        texts = list(pdf["text"])
-        for a, b in slices(texts, SLICE):
-            w = Words(texts[a:b])
-            h = rolling(w.hashes, BLOCK) >> np.uint64(64) - _BITS
-            blocks = [h[s : s + n - BLOCK + 1 : BLOCK].astype(np.int64) if n >= WINDOW else [] for s, n in zip(w.offsets[:-1].tolist(), w.counts.tolist(), strict=True)]
-            shas = [sha_hex(b" ".join(t.encode("utf-8", "surrogatepass").split())) for t in texts[a:b]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[a:b], "n_words": w.counts, "sha": shas, "blocks": blocks})
+    texts = texts_of(batch)
+    for a, b in slices(texts, SLICE):
+        w = Words(texts[a:b])
+        h = (rolling(w.hashes, BLOCK) >> _TWO).astype(np.int64)
+        blocks = [h[s : s + n - BLOCK + 1 : BLOCK] if n >= WINDOW else [] for s, n in zip(w.offsets[:-1].tolist(), w.counts.tolist(), strict=True)]
+        shas = [sha_hex(b" ".join(t.encode("utf-8", "surrogatepass").split())) for t in texts[a:b]]
+        yield batch.column("key").slice(a, b - a), batch.column("doc_id").slice(a, b - a), w.counts, shas, blocks
 
 
 def _chunked(batches):
     """Gather documents with hot blocks into chunk rows of bounded size."""
-    import uuid
-
-    for pdf in batches:
-        texts = list(pdf["text"])
+    number = itertools.count(TaskContext.get().partitionId() << 32)
+    for batch in batches:
+        texts = texts_of(batch)
         for a, b in slices(texts, CHUNK_CHARS):
-            yield pd.DataFrame({"chunk": [uuid.uuid4().hex], "ids": [pdf["doc_id"].to_numpy()[a:b]], "texts": [texts[a:b]], "hot": [[list(x) for x in pdf["hot"].iloc[a:b]]]})
+            cells = ([next(number)], [batch.column("doc_id").slice(a, b - a).to_pylist()], [texts[a:b]], [batch.column("hot").slice(a, b - a).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, arrow_schema(_CHUNK), strict=True)], schema=arrow_schema(_CHUNK))
 
 
-def _candidates(texts: list[str], hot: list) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words, starts and hashes of the windows that hold a hot block."""
+def _candidates(texts: list[str], hot: list) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, starts and both hashes of the windows that hold a hot block."""
     w = Words(texts)
     at, h = _inside(w, WINDOW)
     near = np.zeros(len(w.hashes) + 1, np.int64)
@@ -133,81 +183,95 @@ def _candidates(texts: list[str], hot: list) -> tuple[Words, np.ndarray, np.ndar
         np.add.at(near, s + np.maximum(q - BLOCK + 1, 0), 1)
         np.add.at(near, s + q + 1, -1)
     keep = np.cumsum(near)[:-1][at] > 0
-    return w, at[keep], h[keep]
+    at = at[keep]
+    return w, at, h[keep], rolling(w.second(), WINDOW)[at]
+
+
+def _distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by both hashes, where each distinct pair begins in it, which distinct pair each place holds)."""
+    by = np.lexsort((g, h))
+    new = np.ones(len(by), bool)
+    new[1:] = (h[by][1:] != h[by][:-1]) | (g[by][1:] != g[by][:-1])
+    return by, np.flatnonzero(new), np.cumsum(new) - 1
 
 
 def _window_hashes(ranges: int):
     span = np.uint64((1 << 64) // ranges + 1 if ranges > 1 else 2**64 - 1)
 
-    def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples():
-                _, _, h = _candidates(list(row.texts), list(row.hot))
-                values, times = np.unique(h, return_counts=True)
-                if not len(values):
-                    continue
-                part = (values // span).astype(np.int64)
-                cuts = np.flatnonzero(np.diff(part)) + 1
-                bounds = [0, *cuts.tolist(), len(values)]
-                yield pd.DataFrame([(row.chunk, int(part[a]), values[a:b].tobytes(), np.packbits(times[a:b] > 1).tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)], columns=["chunk", "range", "hashes", "again"])
+    def run(batch):
+        for chunk, texts, hot in zip(*(batch.column(c) for c in ("chunk", "texts", "hot")), strict=True):
+            _, _, h, g = _candidates(texts.as_py(), hot.as_py())
+            if not len(h):
+                continue
+            by, first, _ = _distinct(h, g)
+            again = np.diff(np.append(first, len(by))) > 1
+            h, g = h[by][first], g[by][first]
+            part = (h // span).astype(np.int64)
+            bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(h)]
+            cells = [(part[a], h[a:b].tobytes() + g[a:b].tobytes(), np.packbits(again[a:b]).tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]
+            yield [chunk.as_py()] * len(cells), *zip(*cells, strict=True)
 
     return run
 
 
 def _replies(key, pdf):
     """For each chunk's hashes of the range: one bit, set if the window starts anywhere else."""
-    parts = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
-    again = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(pdf["again"], parts, strict=True)])
-    flat = np.concatenate(parts)
-    by = np.argsort(flat, kind="stable")
-    same = flat[by][1:] == flat[by][:-1]
-    twice = again.copy()
-    twice[by[1:][same]] = True
-    twice[by[:-1][same]] = True
-    bounds = np.cumsum([0, *map(len, parts)]).tolist()
-    return pd.DataFrame({"chunk": pdf["chunk"], "range": pdf["range"], "bits": [np.packbits(twice[a:b]).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], "n": [len(p) for p in parts]})
-
-
-def _without_repeats(batches):
+    sizes = [len(x) // 16 for x in pdf["hashes"]]
+    again = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(pdf["again"], sizes, strict=True)])
+    h = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(pdf["hashes"], sizes, strict=True)])
+    g = np.concatenate([np.frombuffer(x, np.uint64, n, 8 * n) for x, n in zip(pdf["hashes"], sizes, strict=True)])
+    by, first, which = _distinct(h, g)
+    many = np.diff(np.append(first, len(by))) > 1
+    twice = again
+    twice[by] |= many[which]
+    bounds = np.cumsum([0, *sizes]).tolist()
+    return pd.DataFrame({"chunk": pdf["chunk"], "range": pdf["range"], "bits": [np.packbits(twice[a:b]).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], "n": sizes})
+
+
+def _without_repeats(batch):
     """Drop covered words of every document of a chunk."""
-    for pdf in batches:
-        for row in pdf.itertuples():
-            w, at, h = _candidates(list(row.texts), list(row.hot))
-            values, which = np.unique(h, return_inverse=True)
-            replies = sorted(row.replies, key=lambda r: r["range"]) if row.replies is not None else []
-            bits = [np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]) for r in replies]
-            twice = np.concatenate(bits).astype(bool)[which] if bits else np.zeros(len(at), bool)
-            cover = np.zeros(len(w.hashes) + 1, np.int64)
-            np.add.at(cover, at[twice], 1)
-            np.add.at(cover, at[twice] + WINDOW, -1)
-            gone = np.cumsum(cover)[:-1] > 0
-            rows = []
-            for i, doc_id in enumerate(row.ids):
-                a, b = int(w.offsets[i]), int(w.offsets[i + 1])
-                kept = b" ".join([w.word_bytes(k) for k in (np.flatnonzero(~gone[a:b]) + a).tolist()])
-                rows.append((doc_id, b - a, int(gone[a:b].sum()), sha_hex(kept), kept.decode("utf-8", "surrogatepass")))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+    for ids, texts, hot, replies in zip(*(batch.column(c) for c in ("ids", "texts", "hot", "replies")), strict=True):
+        w, at, h, g = _candidates(texts.as_py(), hot.as_py())
+        replies = sorted(replies.as_py() or [], key=lambda r: r["range"])
+        cover = np.zeros(len(w.hashes) + 1, np.int64)
+        if replies:
+            bits = np.concatenate([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]) for r in replies]).astype(bool)
+            by, _, which = _distinct(h, g)
+            starts = at[by[bits[which]]]
+            np.add.at(cover, starts, 1)
+            np.add.at(cover, starts + WINDOW, -1)
+        gone = np.cumsum(cover)[:-1] > 0
+        removed, kept = [], []
+        for a, b in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True):
+            removed.append(int(gone[a:b].sum()))
+            kept.append(b" ".join([w.word_bytes(k) for k in (np.flatnonzero(~gone[a:b]) + a).tolist()]))
+        yield ids.values, w.counts, removed, [sha_hex(k) for k in kept], [k.decode("utf-8", "surrogatepass") for k in kept]
 
 
 def without_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text where words went, else null) for every row.
 
-    Null and empty texts have no words; texts under 35 words lose none. Rows that repeat a doc_id are
-    all returned; their equal passages are repeats of each other. Extra columns are ignored.
+    Null and empty texts have no words; texts under 35 words lose none. Rows that repeat a doc_id, null
+    included, are all returned; their equal passages are repeats of each other. Extra columns are ignored.
     """
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    ranges = hash_ranges(docs)
-    hot = texts.mapInPandas(_probes(ranges), "range long, blob binary").groupBy("range").applyInPandas(_hot_blocks, "hash long")
-    hot = written(hot, "hot-blocks")
-    listed = written(texts.mapInPandas(_doc_blocks, "doc_id long, n_words long, sha string, blocks array<long>"), "doc-blocks")
-    blocks = listed.select("doc_id", F.posexplode("blocks").alias("number", "hash"))
-    marked = blocks.join(hot, "hash").groupBy("doc_id").agg(F.collect_set("number").alias("hot"))
-    marked = written(marked, "hot-docs")
-    chunks = written(marked.join(texts, "doc_id").select("doc_id", "text", "hot").mapInPandas(_chunked, "chunk string, ids array<long>, texts array<string>, hot array<array<int>>"), "repeat-chunks")
-    replies = chunks.mapInPandas(_window_hashes(ranges), "chunk string, range long, hashes binary, again binary").groupBy("range").applyInPandas(_replies, "chunk string, range long, bits binary, n long")
-    replies = replies.groupBy("chunk").agg(F.collect_list(F.struct("range", "bits", "n")).alias("replies"))
-    cut = chunks.join(replies, "chunk", "left").mapInPandas(_without_repeats, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    whole = listed.join(marked.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
+    spark = docs.sparkSession
+    mark = made(spark)
+    # a null id is replaced by the text's hash, so that its rows meet their own blocks
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(text_or_empty()))).alias("key")
+    texts = docs.select(key, "doc_id", text_or_empty().alias("text"))
+    hot = written(hot_blocks(texts, hash_ranges(docs)), "hot-blocks")
+    listed = written(map_batches(texts, _doc_blocks, "key string, doc_id long, n_words long, sha string, blocks array<long>"), "doc-blocks")
+    blocks = listed.select("key", F.posexplode("blocks").alias("number", "hash"))
+    marked = written(blocks.join(hot, "hash").groupBy("key").agg(F.collect_set("number").alias("hot")), "hot-docs")
+    held = listed.join(marked, "key", "left_semi").agg(F.sum("n_words")).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), held // RANGE_WINDOWS)
+    chunks = written(marked.join(texts, "key").select("doc_id", "text", "hot").mapInArrow(_chunked, _CHUNK), "repeat-chunks")
+    windows = map_batches(chunks.select("chunk", "texts", "hot"), _window_hashes(ranges), "chunk long, range long, hashes binary, again binary")
+    replies = windows.groupBy("range").applyInPandas(_replies, "chunk long, range long, bits binary, n long")
+    replies = written(replies.groupBy("chunk").agg(F.collect_list(F.struct("range", "bits", "n")).alias("replies")), "repeat-replies")
+    drop_since(spark, mark, listed, marked, chunks, replies)
+    cut = map_batches(chunks.join(replies, "chunk", "left"), _without_repeats, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    whole = listed.join(marked.select("key"), "key", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
     out = whole.unionByName(cut)
     return out if keep_text else out.drop("kept_text")
 
