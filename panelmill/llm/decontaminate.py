@@ -3,12 +3,12 @@
 The CGK walk over a word sequence x copies x[i] at each step j and moves on if a random bit of
 (j, x[i]) is set; sequences at a small edit distance then agree in most steps (Hamming). A key samples a
 few steps, in several independent walks and samples (``REPEATS``). Windows are item-sized: an item of n
-words is looked for with the largest size 3 * 2^k up to n, anchored at its first and at its last words,
-which together cover it. Windows start at every word of every text.
+words is looked for with the largest size 3 * 2^k up to ``PART`` of n, anchored at every word where such a
+window fits: each anchor is a draw of its own against the edits, at no cost to the texts, whose windows
+start at every word anyway. The walks reach ``TARGET`` recall at ``MAX_EDITS``.
 
-The walks alone miss edited items, so exact pieces finish the rest: an item that allows k edits is cut
-into k + 1 pieces, and k edits leave one of them whole. Every text is searched for all pieces, so the
-recall is 1 up to and at ``MAX_EDITS``.
+Exact pieces finish the rest: an item that allows k edits is cut into k + 1 pieces, and k edits leave one
+of them whole. Every text is searched for all pieces, so the recall is 1 up to and at ``MAX_EDITS``.
 
 All windows of a size share their walks from (step, word) on, so keys of all starts come from one
 backward recursion over steps, vectorised over words:
@@ -22,15 +22,17 @@ all texts.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import slices, table, text_or_empty
+from panelmill.llm.common import map_batches, slices, table, text_or_empty, texts_of
 from panelmill.llm.wordhash import PUNCTUATION, Words, mix, rolling
 
 MAX_EDITS = 0.2
-SAMPLES = 3
+TARGET = 0.95
+PART = 0.75
+SAMPLES = 4
 REPEATS = 3
 STRETCH = 1.4
 ITEM_BLOCK = 20_000
@@ -44,13 +46,11 @@ def item_words(texts: list[str]) -> Words:
 
 
 def window_size(n: int) -> int:
-    """Largest 3 * 2^k up to n words; n itself below 3."""
-    if n < 3:
-        return n
+    """Largest 3 * 2^k up to ``PART`` of n words; 3 where there is none, n itself below 3."""
     size = 3
-    while 2 * size <= n:
+    while 2 * size <= PART * n:
         size *= 2
-    return size
+    return min(size, n)
 
 
 def pieces(n: int) -> list[tuple[int, int]]:
@@ -99,12 +99,13 @@ class Items:
             n = len(words)
             if n:
                 size = window_size(n)
-                by_size.setdefault(size, []).extend((k, o) for o in sorted({0, n - size}))
+                by_size.setdefault(size, []).extend((k, o) for o in range(n - size + 1))
         self.tables = []
         pad = mix(np.arange(1, 400, dtype=np.uint64))
         for size, anchors in sorted(by_size.items()):
             for repeat in range(REPEATS):
-                keys = np.array([walk_keys(np.concatenate((self.words[k][o:], pad[: 2 * size])), size, repeat)[0] for k, o in anchors], np.uint32)
+                of = {k: walk_keys(np.concatenate((self.words[k], pad[: 2 * size])), size, repeat) for k in {k for k, _ in anchors}}
+                keys = np.array([of[k][o] for k, o in anchors], np.uint32)
                 by = np.argsort(keys, kind="stable")
                 lut = np.zeros(1 << _LUT_BITS, bool)
                 lut[keys & np.uint32((1 << _LUT_BITS) - 1)] = True
@@ -206,41 +207,42 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, item_words, edits: one row for each item found in each row of ``docs``.
 
     Null and empty texts hold no item; items without words are never found; items of equal text are each
-    reported, also those of null item_id; repeated rows give repeated results. Extra columns are ignored.
+    reported. Null doc_ids and item_ids are searched like others and reported as null; repeated rows give
+    repeated results. Extra columns are ignored.
     """
     schema = "doc_id long, item_id long, first_word long, item_words long, edits long"
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     out = None
     for block in item_blocks(items):
 
-        def run(batches, block=block):
-            for pdf in batches:
-                ids, all_texts = pdf["doc_id"].tolist(), list(pdf["text"])
-                for a, b in slices(all_texts, SLICE):
-                    rows = [(ids[a + t], block.ids[k], s, n, e) for t, k, s, n, e in block.find(all_texts[a:b]) for _ in range(block.times[k])]
-                    out = pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "item_words", "edits"])
-                    # nullable whole numbers, as a null would turn the others into floats
-                    yield out.assign(item_id=pd.array([r[1] for r in rows], dtype="Int64"))
-
-        found = texts.mapInPandas(run, schema)
+        def run(batch, block=block):
+            all_texts = texts_of(batch)
+            for a, b in slices(all_texts, SLICE):
+                rows = [(a + t, block.ids[k], s, n, e) for t, k, s, n, e in block.find(all_texts[a:b]) for _ in range(block.times[k])]
+                if rows:
+                    at, *rest = zip(*rows, strict=True)
+                    yield batch.column("doc_id").take(pa.array(at)), *rest
+
+        found = map_batches(texts, run, schema)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose text holds no benchmark item."""
+    """The rows of ``docs``, all columns kept as they are, whose text holds no benchmark item. Every row is
+    judged by its own text, whatever its id; null and empty texts stay."""
     for block in item_blocks(items):
 
         def run(batches, block=block):
-            for pdf in batches:
-                texts = ["" if t is None or t != t else t for t in pdf["text"]]
+            for batch in batches:
+                texts = texts_of(batch)
                 clean = np.ones(len(texts), bool)
                 for a, b in slices(texts, SLICE):
                     for t, *_ in block.find(texts[a:b]):
                         clean[a + t] = False
-                yield pdf[clean]
+                yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 
