@@ -1,21 +1,23 @@
 """Secret scans over an incremental blob ledger.
 
-Every version of a text is content-addressed (SHA-256). The ledger holds one row for each
-(blob, rule version) that has been scanned, with its findings. A run scans only the pairs that the
-ledger has not seen, once each whatever the number of paths, and joins the findings back to all
-paths. The join is dealt by path, not by blob, so a blob that a third of all paths share does not
-gather in one task.
+Every version of a text is content-addressed (SHA-256). The ledger is a table in shared storage with one
+row for each (blob, rule version) that has been scanned, with its findings. A run scans only the pairs
+that the ledger has not seen, once each whatever the number of paths, appends them in one commit, and
+joins the findings back to all paths.
+
+A path may hold any number of versions, and a blob may stand at any number of paths: texts are met by
+(blob, path), so neither gathers the texts of the other in one task. Only blobs with findings travel in
+the last join, whose hot blobs AQE splits on the side of the paths.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import sha_hex, span_digest, table, text_or_empty, written
+from panelmill.llm.common import map_batches, scratch_path, sha_hex, span_digest, table, text_or_empty, texts_of, written
 
 RULE_VERSION = "base-1"
 KINDS = {"assign": 0, "access": 1, "hex": 2}
@@ -23,6 +25,8 @@ _ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 LEDGER = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+#: Setting that names the ledger's folder; without it the query starts one of its own.
+LEDGER_SETTING = "panelmill.secrets.ledger"
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
@@ -32,53 +36,82 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
 
 
-def _scan(batches):
-    for pdf in batches:
-        rows = []
-        for blob, text in zip(pdf["blob"], pdf["text"], strict=True):
-            found = find_secrets(text)
-            digest = span_digest(found, KINDS)
-            rows.append((blob, RULE_VERSION, *(sum(k == kind for k, _, _ in found) for kind in KINDS), sha_hex(digest.encode()), digest))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEDGER.split(", ")])
+def _scan(batch):
+    rows = []
+    for text in texts_of(batch):
+        found = find_secrets(text)
+        digest = span_digest(found, KINDS)
+        rows.append((RULE_VERSION, *(sum(k == kind for k, _, _ in found) for kind in KINDS), sha_hex(digest.encode()), digest))
+    yield batch.column("blob"), *(zip(*rows, strict=True) if rows else [()] * 6)
 
 
-def update_ledger(paths: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """Scan the blobs of ``paths`` (path, text) that ``ledger`` lacks for this rule version.
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """One row for each (blob, rule version); empty where no ledger stands yet. Two runs that appended the
+    same blob at once agree on it, so either row counts."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(ledger).dropDuplicates(["blob", "rule_version"])
 
-    Returns (new ledger rows, addressed paths). A null text counts as the empty blob, a null path is a path. Paths that
-    occur twice keep both rows. Both tables are written to the shared folder.
+
+def update_ledger(paths: DataFrame, ledger: str) -> tuple[DataFrame, DataFrame]:
+    """Scan the blobs of ``paths`` (path, text) that the ledger lacks for this rule version and append them.
+
+    Returns (the rows added, addressed paths), both read from shared storage. A null text counts as the
+    empty blob, a null path is a path. A path may hold several versions; rows that repeat keep their number.
     """
-    addressed = written(paths.select("path", F.sha2(text_or_empty(), 256).alias("blob")), "blob-paths")
-    todo = addressed.groupBy("blob").agg(F.min("path").alias("path"))
-    if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == rule_version).select("blob")
-        todo = todo.join(seen, "blob", "left_anti")
-    texts = paths.select("path", text_or_empty().alias("text"))
-    chosen = todo.join(texts, "path").where(F.sha2("text", 256) == F.col("blob")).select("blob", "text")
-    # a blob that only rows of null path hold has a null path, which joins nothing: one text of it by blob
-    pathless = texts.where("path is null").groupBy(F.sha2("text", 256).alias("blob")).agg(F.first("text").alias("text"))
-    chosen = chosen.unionByName(todo.where("path is null").select("blob").join(pathless, "blob").select("blob", "text"))
-    fresh = chosen.mapInPandas(_scan, LEDGER)
-    # a path may occur with several versions or twice: one ledger row for each blob
-    return written(fresh, "blob-ledger").dropDuplicates(["blob", "rule_version"]), addressed
-
-
-def scan_history(paths: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(findings of every path, the grown ledger). Empty input gives empty tables."""
-    fresh, addressed = update_ledger(paths, ledger)
-    grown = fresh if ledger is None else ledger.unionByName(fresh)
-    current = grown.where(F.col("rule_version") == RULE_VERSION)
+    spark = paths.sparkSession
+    texts = paths.select("path", text_or_empty().alias("text")).withColumn("blob", F.sha2("text", 256))
+    addressed = written(texts.select("path", "blob"), "blob-paths")
+    seen = read_ledger(spark, ledger).where(F.col("rule_version") == RULE_VERSION).select("blob")
+    todo = addressed.join(seen, "blob", "left_anti").groupBy("blob").agg(F.min("path").alias("path"))
+    chosen = texts.alias("t").join(todo.alias("d"), (F.col("t.blob") == F.col("d.blob")) & F.col("t.path").eqNullSafe(F.col("d.path"))).select("t.blob", "t.text")
+    # a version that repeats at its path comes several times: one ledger row for each blob
+    fresh = written(map_batches(chosen, _scan, LEDGER).dropDuplicates(["blob", "rule_version"]), "blob-ledger")
+    fresh.write.mode("append").parquet(ledger)
+    return fresh, addressed
+
+
+def scan_history(paths: DataFrame, ledger: str) -> DataFrame:
+    """The findings of every row of ``paths``, by way of the ledger, which grows by the unseen blobs.
+
+    Null texts hold nothing; null paths are paths; repeated rows give repeated results; extra columns are
+    ignored. Empty input gives an empty result and leaves an empty ledger.
+    """
+    _, addressed = update_ledger(paths, ledger)
     # Most blobs hold nothing: only blobs with findings travel, the others are filled in.
-    held = current.where(F.col("spans") != "").drop("rule_version")
+    held = read_ledger(paths.sparkSession, ledger).where((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).drop("rule_version")
     found = addressed.join(held, "blob", "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_assign", "n_access", "n_hex")]
-    return found.select("path", "blob", *zero, F.coalesce("base_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans")), grown
+    return found.select("path", "blob", *zero, F.coalesce("base_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of ``documents`` by the ledger that the session names, or by a new one in the shared folder."""
+    ledger = spark.conf.get(LEDGER_SETTING, None) or scratch_path(spark, "secret-ledger")
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    found, _ = scan_history(docs.withColumnRenamed("doc_id", "path"))
-    return found.withColumnRenamed("path", "doc_id").drop("blob")
+    return scan_history(docs.withColumnRenamed("doc_id", "path"), ledger).withColumnRenamed("path", "doc_id").drop("blob")
 
 
 QUERIES = {"op6_secret_ledger": op6_secret_ledger}
+
+# Matches are marked by two private-use characters; lengths of what stands before a match give its start.
+_MARKED = r"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, split_part(part, chr(57345), 1) AS hit,
+    CAST(sum(length(replace(part, chr(57345), ''))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS start, i
+    FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM (
+        SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '{pattern}', chr(57344) || '\0' || chr(57345), 'g'), chr(57344)) AS parts FROM documents))"""
+_SQL_ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?[A-Za-z0-9+/_.=-]+"
+
+ORACLE_SQL = {
+    "op6_secret_ledger": rf"""
+WITH hits AS (
+    {_MARKED.format(kind="assign", rank=0, pattern=_SQL_ASSIGN)}
+    UNION ALL {_MARKED.format(kind="access", rank=1, pattern="AKIA[A-Z0-9]+")}
+    UNION ALL {_MARKED.format(kind="hex", rank=2, pattern="[0-9a-f]+")}),
+found AS (SELECT doc_id, kind, rank, start, start + length(hit) AS stop FROM hits WHERE i > 1 AND CASE kind WHEN 'access' THEN length(hit) >= 20 WHEN 'hex' THEN length(hit) >= 24
+    ELSE length(regexp_extract(hit, '^(?i:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6 END),
+per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+    sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN per USING (doc_id)""",
+}
