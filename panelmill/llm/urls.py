@@ -1,4 +1,10 @@
-"""URL filter: logistic regression on hashed character n-grams of host and path, under host rules."""
+"""URL filter: logistic regression on hashed character n-grams of host and path, under host rules.
+
+The training table is made by rule from short word lists: eight unwanted themes and plain subjects, put
+together to host names and paths in several patterns. Words that the two share (free, best, club) and plain
+words that hold an unwanted one's letters (roads, diabetes, essex) stand on either side, so the weights have
+to come from the theme. A quarter of the host names, with all their URLs, is held out and never trained on.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from panelmill.llm.common import table
+from panelmill.llm.common import map_batches, table
 
 #: Fixed values: (verdict, host, path).
 RULES = (
@@ -23,10 +29,25 @@ RULES = (
 )
 BUCKETS = 1 << 14
 SIZES = (3, 4, 5)
-_BAD_NAMES = ("spam-farm", "cheap-pills", "free-casino", "win-prizes", "hot-singles", "fast-loans", "replica-watches", "free-bets")
-_GOOD_NAMES = ("city-library", "river-news", "open-science", "garden-notes", "music-school", "history-club", "travel-log", "daily-recipes")
-_PREFIXES = ("", "www.", "m.", "blog.")
-_ENDS = (("example.com", "/en/{}/"), ("example.net", "/de/{}.html"), ("example.org", "/fr/{}"))
+_THEMES = {
+    "gambling": "casino poker slots betting bet jackpot roulette bingo lotto blackjack wager gamble",
+    "medicine": "pills viagra cialis pharma tablets steroids painkiller rx dietpill botox",
+    "adult": "adult porn xxx sex nude escort webcam erotic milf camgirls",
+    "spam": "spam backlinks linkfarm seo bulkmail clickbait doorway autopost",
+    "adverts": "ads adserver popunder banner tracker track pixel affiliate clicks adnet",
+    "loans": "payday loan loans cashadvance quickcash debt forex getrich",
+    "piracy": "torrent warez crack keygen nulled cracked serials pirate",
+    "malware": "phish malware trojan exploit botnet virus hack keylogger",
+}
+_PLAIN = "library news science garden music school history travel recipes museum weather river city health sports kitchen books law poetry art film theatre chess hiking bakery farm forest birds astronomy physics maths language football cycling sailing knitting pottery photo gallery market council church village harbour bridge college teacher parents nature ocean mountain"
+_TRAPS = "roads uploads headset saddle analysis essex sussex middlesex alphabet diabetes tibet better spillway pillow caterpillar railtrack soundtrack pokerface slotcar therapist adulthood seoul museo barxes craftclicks loaner debtor hackney crackers virusology pixelart bannerman"
+_SHARED = "free best online hot top fast super easy my the club shop zone world daily big new"
+_ENDS = ("example.com", "example.net", "example.org", "com", "net", "org", "info", "co.uk")
+_PREFIXES = ("", "", "www.", "m.", "blog.")
+_PATHS = ("/", "/en/{n}", "/de/{n}.html", "/fr/{n}/", "/article/{n}", "/{w}/{n}", "/index.php", "/a/b/{n}", "/{w}.html", "")
+_SYLLABLES = "an ar co da de el fi ga ho il ka lo ma ne or pe ri sa to un ve wi yo zu the ion est ing th sh ch st nt nd ng ly tr pl ck er"
+HELD_OUT_SHARE = 4
+_DIGITS = str.maketrans("123456789", "000000000")
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
@@ -45,79 +66,115 @@ def matching_rule(host: str, path: str) -> tuple[str, str] | None:
     return max(fits, key=lambda r: len(r[0])) if fits else None
 
 
-def labelled_urls() -> pd.DataFrame:
-    """The training table: url, blocked. Built from short name lists; every name takes each prefix once."""
+def labelled_urls(seed: int = 17) -> pd.DataFrame:
+    """The labelled table: url, name (of the host), theme, blocked, held_out. Held out are whole names, by CRC-32."""
+    rng = np.random.default_rng(seed)
+
+    def pick(words):
+        return words[int(rng.integers(0, len(words)))]
+
+    shared, plain, traps, parts = _SHARED.split(), _PLAIN.split(), _TRAPS.split(), _SYLLABLES.split()
+    bad = {theme: words.split() for theme, words in _THEMES.items()}
+
+    def joined(word: str, own: list[str]) -> str:
+        """A host name around one word: alone, with a shared word, an own one, a number or an invented one."""
+        other = pick(pick((shared, shared, own, [str(rng.integers(1, 400))], ["".join(pick(parts) for _ in range(2))])))
+        mark = pick(("-", "-", ""))
+        return pick((word, word + mark + other, other + mark + word, f"{word}{mark}{other}-{pick(shared)}"))
+
+    names: dict[str, str] = {}
+    for theme, words in bad.items():
+        for word in words:
+            for k in range(16):
+                names[joined(word + "s" * (k % 3 == 0 and word[-1] not in "sx"), words)] = theme
+    for word in plain + 4 * traps:
+        for _ in range(6):
+            names.setdefault(joined(word, plain), "plain")
+    for _ in range(1200):
+        names.setdefault("".join(pick(parts) for _ in range(int(rng.integers(2, 5)))), "plain")
+
+    def url(name: str, path: str) -> str:
+        return f"http{pick(('', 's'))}://{pick(_PREFIXES)}{name}.{pick(_ENDS)}{path}"
+
     rows = []
-    for blocked, names in ((1, _BAD_NAMES), (0, _GOOD_NAMES)):
-        for i, name in enumerate(names):
-            for j, prefix in enumerate(_PREFIXES):
-                domain, path = _ENDS[(i + j) % len(_ENDS)]
-                rows.append((f"https://{prefix}{name}.{domain}{path.format(100 + 7 * i + j)}", blocked))
-    # plain invented hosts, so that unknown names without bad parts are let through
-    for i in range(120):
-        name = "".join("aeioulnrsth"[(i * 7 + k * 3 + i // 8) % 11] for k in range(5 + i % 5))
-        domain, path = _ENDS[i % len(_ENDS)]
-        rows.append((f"https://{_PREFIXES[i % 4]}{name}.{domain}{path.format(i * 13 % 1000)}", 0))
-    return pd.DataFrame(rows, columns=["url", "blocked"])
-
-
-def features(host: str, path: str) -> np.ndarray:
-    """Distinct hashed n-grams of the host and of the path, marked by their part."""
-    out = set()
-    for part, text in (("h", f"^{host}$"), ("p", f"^{path}$")):
-        for n in SIZES:
-            for i in range(len(text) - n + 1):
-                out.add(zlib.crc32(f"{part}{text[i : i + n]}".encode("utf-8", "surrogatepass")) % BUCKETS)
-    return np.fromiter(out, np.int64, len(out))
+    for name, theme in names.items():
+        held = zlib.crc32(name.encode()) % HELD_OUT_SHARE == 0
+        for _ in range(2):
+            words = plain if theme == "plain" else bad[theme]
+            rows.append((url(name, pick(_PATHS).format(n=rng.integers(1, 9999), w=pick(words if rng.random() < 0.3 else plain))), name, theme, int(theme != "plain"), held))
+        # a plain host whose path is of an unwanted theme
+        if theme == "plain" and rng.random() < 0.15:
+            theme = pick(list(bad))
+            words = bad[theme]
+            rows.append((url(name, pick(("/{0}/{1}", "/{0}-{1}.html", "/x/{0}?{1}", "/{0}")).format(pick(words), pick(words + shared))), name, theme, 1, held))
+    return pd.DataFrame(rows, columns=["url", "name", "theme", "blocked", "held_out"])
+
+
+def features(host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed n-grams of the host and of the path, marked by their part, and the weight of each:
+    either part counts as one unit vector, so a long path does not drown the host. All digits are read as
+    0, since numbers say nothing about a page."""
+    parts = []
+    for part, text in (("h", f".{host}.".translate(_DIGITS)), ("p", f"{path}/".translate(_DIGITS))):
+        out = {zlib.crc32(f"{part}{text[i : i + n]}".encode("utf-8", "surrogatepass")) % BUCKETS for n in SIZES for i in range(len(text) - n + 1)}
+        parts.append(np.fromiter(out, np.int64, len(out)))
+    return np.concatenate(parts), np.concatenate([np.full(len(p), 1 / math.sqrt(max(len(p), 1))) for p in parts])
 
 
 @functools.lru_cache(maxsize=1)
-def trained(epochs: int = 300, rate: float = 10.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias, by full-batch gradient descent over the small table."""
+def trained(epochs: int = 500, rate: float = 60.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias, by full-batch gradient descent over the rows that are not held out, each class with
+    half of the weight."""
     rows = labelled_urls()
+    rows = rows[~rows["held_out"]]
     feats = [features(*split_url(u)) for u in rows["url"]]
     y = rows["blocked"].to_numpy(float)
-    met = np.unique(np.concatenate(feats))
-    x = np.zeros((len(feats), len(met)), np.float32)
-    for i, f in enumerate(feats):
-        x[i, np.searchsorted(met, f)] = 1 / math.sqrt(len(f))
-    w, bias = np.zeros(len(met), np.float32), 0.0
+    flat, scale = np.concatenate([f for f, _ in feats]), np.concatenate([x for _, x in feats])
+    owner = np.repeat(np.arange(len(feats)), [len(f) for f, _ in feats])
+    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    w, bias = np.zeros(BUCKETS), 0.0
     for _ in range(epochs):
-        g = ((1 / (1 + np.exp(-(x @ w + bias))) - y) / len(y)).astype(np.float32)
-        w -= rate * (x.T @ g + decay * w)
-        bias -= rate * float(g.sum())
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[met] = w
-    return weights, bias
+        z = bias + np.bincount(owner, w[flat] * scale, len(feats))
+        g = (1 / (1 + np.exp(-z)) - y) * share
+        w -= rate * (np.bincount(flat, g[owner] * scale, BUCKETS) + decay * w)
+        bias -= rate * 0.1 * float(g.sum())
+    return w.astype(np.float32), bias
+
+
+class Judge:
+    """Scores of hosts and paths; a worker remembers those it has met."""
+
+    def __init__(self, weights: np.ndarray, bias: float):
+        self.weights, self.bias = weights, bias
+        self.score = functools.lru_cache(maxsize=100_000)(self._score)
+
+    def _score(self, host: str, path: str) -> float:
+        f, scale = features(host, path)
+        z = self.bias + float(self.weights[f] @ scale)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+    def row(self, url: str | None) -> tuple[str, str, str | None, str, float]:
+        """(host, path, rule, verdict, score) of one url."""
+        host, path = split_url(url)
+        rule, p = matching_rule(host, path), self.score(host, path)
+        return host, path, rule[0] if rule else None, rule[1] if rule else "block" if p >= 0.5 else "allow", p
 
 
 def judged(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict and the method's score of every row of ``pages``.
 
-    Null urls and those without ``://`` have empty host and path and are scored as such; repeated
-    rows give repeated results. The model is small and of fixed size, so it travels with the task.
+    Null urls and those without ``://`` have empty host and path and are scored as such. Of rules that fit,
+    the longest wins; two of one length that fit the same url are the same rule. Null page_ids stay null,
+    repeated rows give repeated results, other columns are ignored. The model is of fixed size, so it
+    travels with the task.
     """
-    weights, bias = trained()
-
-    def run(batches):
-        @functools.lru_cache(maxsize=100_000)
-        def score(host: str, path: str) -> float:
-            f = features(host, path)
-            z = bias + (float(weights[f].sum()) / math.sqrt(len(f)) if len(f) else 0.0)
-            return 1 / (1 + math.exp(-z))
-
-        for pdf in batches:
-            rows = []
-            for url in pdf["url"]:
-                host, path = split_url(url)
-                rule, p = matching_rule(host, path), score(host, path)
-                verdict = rule[1] if rule else "block" if p >= 0.5 else "allow"
-                rows.append((host, path, rule[0] if rule else None, verdict, p))
-            out = pd.DataFrame(rows, columns=["host", "path", "rule", "verdict", "score"])
-            out.insert(0, "page_id", pdf["page_id"].to_numpy())
-            yield out
-
-    return pages.select("page_id", "url").mapInPandas(run, "page_id long, host string, path string, rule string, verdict string, score double")
+    model = trained()
+
+    def run(batch, judge):
+        rows = [judge.row(url) for url in batch.column("url").to_pylist()]
+        yield batch.column("page_id"), *(zip(*rows, strict=True) if rows else [()] * 5)
+
+    return map_batches(pages.select("page_id", "url"), run, "page_id long, host string, path string, rule string, verdict string, score double", lambda: Judge(*model))
 
 
 def op5_url_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
