@@ -12,13 +12,13 @@ import functools
 import html
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from panelmill.llm import bilstm
-from panelmill.llm.common import slices, table
+from panelmill.llm.common import map_batches, slices, table, texts_of
 from panelmill.llm.wordhash import Words
 
 PATH_DIMS, WORD_DIMS, MEASURES = 96, 24, 8
@@ -27,28 +27,86 @@ HIDDEN = 12
 BATCH = 256
 SLICE = 2_000_000
 #: HTML element classes.
-RAW = frozenset("script style noscript template svg math iframe object canvas select textarea title audio video".split())
+RAW = frozenset("script style template iframe select textarea title".split())
+FOREIGN = frozenset("math svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark math nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big br button canvas cite code data del dfn em font i img ins kbd label mark math nobr object q rp rt ruby s samp small span strike strong sub sup svg time tt u var video wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Opening the key closes these open siblings.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_MARKUP = re.compile(r"<!--|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'<]|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>", re.S)
+_MARKUP = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'<]|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"[\s\xa0]+")
 _PIECES = re.compile(r"[a-z]+")
 
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(path, text, characters inside links) of every leaf block with text, in page order.
+class Path:
+    """The open elements of a block, as a chain; equal chains of a task are one object while ``_CHAINS`` holds them."""
 
-    Character references are decoded, white space becomes single spaces, and the ends are trimmed.
+    __slots__ = ("depth", "names", "own", "sums", "up")
+
+    def __init__(self, up: Path | None, tag: str, marks: str):
+        self.up, self.depth = up, up.depth + 1 if up else 0
+        self.names = [f"t:{tag}", *(f"c:{p}" for p in set(_PIECES.findall(marks)))]
+        self.sums = self.own = None
+
+    def _sum(self) -> np.ndarray:
+        """Hashed names of the whole chain. Every 16th element keeps its sum, so no block climbs further."""
+        chain = []
+        node = self
+        while node is not None and node.sums is None:
+            chain.append(node)
+            node = node.up
+        total = np.zeros(PATH_DIMS, np.float32) if node is None else node.sums
+        for node in reversed(chain):
+            total = total + _hashed(node.names)
+            if node.depth % 16 == 0 or node is self:
+                node.sums = total
+        return total
+
+    def vector(self) -> np.ndarray:
+        if self.own is None:
+            self.own = np.clip(self._sum() + _hashed([f"last:{n}" for n in self.names]), -2, 2)
+        return self.own
+
+
+def _hashed(names: list[str]) -> np.ndarray:
+    v = np.zeros(PATH_DIMS, np.float32)
+    for n in names:
+        h = zlib.crc32(n.encode("utf-8", "surrogatepass"))
+        v[h % PATH_DIMS] += 1.0 if h >> 20 & 1 else -1.0
+    return v
+
+
+_CHAINS: dict[tuple[Path | None, str, str], Path] = {}
+_MOST_CHAINS = 50_000
+_ENDS = {name: re.compile(rf"</{name}", re.I) for name in RAW}
+
+
+def blocks(page: str) -> list[tuple[Path, str, int]]:
+    """(path, text, characters inside links) of every leaf block with text, in page order, in linear time.
+
+    Character references are decoded, white space becomes single spaces, and the ends are trimmed. Scripts,
+    styles, templates, frames, titles and the choices and contents of form controls have no text; formulas,
+    drawings and the text inside media are part of the block that they stand in.
     """
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = []
+    if len(_CHAINS) > _MOST_CHAINS:
+        _CHAINS.clear()
+
+    def link(up: Path | None, tag: str, marks: str) -> Path:
+        key = (up, tag, marks)
+        node = _CHAINS.get(key)
+        if node is None:
+            node = _CHAINS[key] = Path(up, tag, marks)
+        return node
+
+    out: list[tuple[Path, str, int]] = []
+    stack: list[tuple[str, Path]] = []
+    open_: Counter[str] = Counter()
     parts: list[str] = []
-    links = anchors = 0
-    path = ""
+    links = anchors = foreign = 0
+    root = path = link(None, "", "")
+    last_end = page.rfind(">")
 
     def flush() -> None:
         nonlocal links
@@ -68,21 +126,28 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
 
     at, search = 0, _MARKUP.search
     while m := search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
         name = m[2]
         if name is None:
-            if m[0] == "<!--":
-                end = page.find("-->", at)
-                at = len(page) if end < 0 else end + 3
+            if m[0] != "<!--" and m.end() > last_end:
+                break  # no tag ends any more: the rest is text
+            add(page[at : m.start()])
+            end = page.find("-->", m.end()) + 2 if m[0] == "<!--" else page.find(">", m.end())
+            at = len(page) if end < m.end() else end + 1
             continue
+        add(page[at : m.start()])
+        at = m.end()
         name, closing = name.lower(), bool(m[1])
         if name in RAW:
             if not closing and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = _ENDS[name].search(page, at)
+                at = page.find(">", end.end()) + 1 if end and end.end() <= last_end else len(page)
+            continue
+        if name in FOREIGN:
+            foreign = max(0, foreign + (-1 if closing else 0 if m[3].rstrip().endswith("/") else 1))
             continue
-        if name in INLINE:
+        if name in CLOSES_P:
+            foreign = 0
+        if foreign or name in INLINE:
             if name == "a":
                 anchors = max(0, anchors + (-1 if closing else 1))
             if name == "br":
@@ -91,44 +156,31 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         flush()
         anchors = 0
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while open_[name]:
+                tag = stack.pop()[0]
+                open_[tag] -= 1
+                if tag == name:
                     break
         elif name not in VOID:
             closes = SIBLINGS.get(name, ())
             if name in CLOSES_P and stack and stack[-1][0] == "p" or stack and stack[-1][0] in closes:
-                stack.pop()
+                open_[stack.pop()[0]] -= 1
             marks = " ".join(x.lower() for n in _NAMES.findall(m[3]) for x in n if x) if m[3] else ""
-            stack.append((name, marks))
-        path = "/".join(f"{t}|{c}" for t, c in stack)
+            stack.append((name, link(stack[-1][1] if stack else None, name, marks)))
+            open_[name] += 1
+        path = stack[-1][1] if stack else root
     add(page[at:])
     flush()
     return out
 
 
-@functools.lru_cache(maxsize=50_000)
-def _path_vector(path: str) -> np.ndarray:
-    v = np.zeros(PATH_DIMS, np.float32)
-    steps = path.split("/")
-    for k, step in enumerate(steps):
-        tag, _, marks = step.partition("|")
-        names = [f"t:{tag}", *(f"c:{p}" for p in set(_PIECES.findall(marks)))]
-        if k == len(steps) - 1:
-            names += [f"last:{n}" for n in names]
-        for n in names:
-            h = zlib.crc32(n.encode("utf-8", "surrogatepass"))
-            v[h % PATH_DIMS] += 1.0 if h >> 20 & 1 else -1.0
-    return np.clip(v, -2, 2)
-
-
-def vectors(pages: list[list[tuple[str, str, int]]]) -> list[np.ndarray]:
+def vectors(pages: list[list[tuple[Path, str, int]]]) -> list[np.ndarray]:
     """(blocks, DIMS) of each page."""
     flat = [b for page in pages for b in page]
     if not flat:
         return [np.zeros((0, DIMS), np.float32) for _ in pages]
     x = np.zeros((len(flat), DIMS), np.float32)
-    x[:, :PATH_DIMS] = np.stack([_path_vector(p) for p, _, _ in flat])
+    x[:, :PATH_DIMS] = np.stack([p.vector() for p, _, _ in flat])
     w = Words([t for _, t, _ in flat], lower=True)
     owner = np.repeat(np.arange(len(flat)), w.counts)
     bucket = (w.hashes % np.uint64(WORD_DIMS)).astype(np.int64)
@@ -252,6 +304,8 @@ def labelled_page(rng) -> tuple[str, list[int]]:
         menu(*pick_pair(rng, ("<nav>", "</nav>"), ("<nav>", "</nav>"), ('<div class="menu">', "</div>"), ('<div id="navbar">', "</div>"), ('<ul class="nav">', "</ul>")))
     if rng.random() < 0.5:
         advert()
+    if rng.random() < 0.1:
+        put(0, f"<noscript>{pick('', '<p>')}{_sentence(rng, 3, 15)}", "</noscript>")
     if rng.random() < 0.25:
         aside_like(("sidebar", "aside", "widget", "related"))
     wrap = rng.random() < 0.3
@@ -263,8 +317,14 @@ def labelled_page(rng) -> tuple[str, list[int]]:
         put(1, f"<h1>{_sentence(rng, 2, 12)}", "</h1>")
     for _ in range(int(rng.integers(1, 12))):
         r = rng.random()
-        if r < 0.72:
-            put(1, f"<p>{_sentence(rng, 1, 70)}", pick("</p>", "</p>", "</p>", "", "<br>"))
+        if r < 0.01:
+            # a run of short paragraphs
+            line = _sentence(rng, 1, 6)
+            for _ in range(int(rng.integers(5, 60))):
+                put(1, f"<p>{line}", "</p>")
+        elif r < 0.72:
+            formula = "<math><mi>x</mi><mo>=</mo><mn>2</mn></math> " if rng.random() < 0.05 else ""
+            put(1, f"<p>{formula}{_sentence(rng, 1, 70)}", pick("</p>", "</p>", "</p>", "", "<br>"))
         elif r < 0.78:
             put(1, f"<p><b>{_sentence(rng, 2, 30)}<br>", "")
         elif r < 0.84:
@@ -276,6 +336,8 @@ def labelled_page(rng) -> tuple[str, list[int]]:
             parts.append("</ul>")
         elif r < 0.91:
             put(1, f"<blockquote>{_sentence(rng, 5, 30)}", "</blockquote>")
+        elif r < 0.915:
+            put(1, f"<noscript><p>{_sentence(rng, 5, 30)}", "</p></noscript>")
         elif r < 0.93:
             parts.append("<table><tr>")
             for _ in range(3):
@@ -356,18 +418,16 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``.
 
     Null and empty html and pages without main text give an empty text. Repeated rows give repeated
-    results; null urls stay null; extra columns are ignored.
+    results; null page_ids and urls stay null; extra columns are ignored.
     """
     params = trained()
 
-    def run(batches):
-        labeller = Labeller(params)
-        for pdf in batches:
-            sources = ["" if t is None or t != t else t for t in pdf["html"]]
-            texts = [t for a, b in slices(sources, SLICE) for t in main_texts(sources[a:b], labeller)]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(batch, labeller):
+        sources = texts_of(batch, "html")
+        texts = [t for a, b in slices(sources, SLICE) for t in main_texts(sources[a:b], labeller)]
+        yield batch.column("page_id"), batch.column("url"), texts, [len(t) for t in texts]
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return map_batches(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long", lambda: Labeller(params))
 
 
 def op9_block_bilstm(spark: SparkSession, sf_dir: str) -> DataFrame:
