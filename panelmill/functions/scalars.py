@@ -11,6 +11,8 @@ EARTH_KM = 6371.0088
 Z95 = NormalDist().inv_cdf(0.975)
 #: Albers conic origin (latitude, longitude) and standard parallels, in degrees.
 ALBERS = (23.0, -96.0, 29.5, 45.5)
+#: Postal codes of the states and the federal district.
+STATES = "AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY".split()
 
 
 def rounded(x: Column, digits: int = 6) -> Column:
@@ -123,10 +125,10 @@ def delta_se(ga: Column, gb: Column, vaa: Column, vab: Column, vbb: Column) -> C
     return F.sqrt(F.greatest(ga * ga * vaa + 2 * ga * gb * vab + gb * gb * vbb, F.lit(0.0)))
 
 
-def state_token(name: Column, states: list[str]) -> Column:
+def state_token(name: Column, states: list[str] = STATES) -> Column:
     """First two-capital token that is a state."""
-    found = F.regexp_extract_all(name, F.lit(r"\b([A-Z]{2})\b"), 1)
-    return F.element_at(F.filter(found, lambda s: s.isin(states)), 1)
+    found = F.regexp_extract_all(name, F.lit("([A-Z]{2})"), 1)
+    return F.get(F.filter(found, lambda s: s.isin(states)), F.lit(0))
 
 
 def fixed_decimals(x: Column, digits: int = 3) -> Column:

@@ -11,11 +11,24 @@ _LOCAL: dict[str, str] = {}
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` under spark.checkpoint.dir and read it back; a temporary folder only where that is unset."""
+    """Write ``df`` under spark.checkpoint.dir and read it back. Where that is unset, a temporary folder serves if
+    all tasks run inside the driver's own process; on a cluster it is an error, as executors share no such folder."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="panelmill-"))
     path = f"{root}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(*frames: DataFrame) -> None:
+    """Delete the folders of tables that no later frame reads."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -62,15 +62,21 @@ def residual_fit(panel: DataFrame, residual: str, outcome: str) -> DataFrame:
     return panel.agg(F.avg(r).alias("mean"), F.stddev_pop(r).alias("sd"), F.sqrt(F.avg(r * r)).alias("rmse"), F.var_pop(r).alias("variance"), (1 - F.var_pop(r) / F.var_pop(y)).alias("r2"))
 
 
-def first_singular_share(panel: DataFrame, value: str) -> DataFrame:
-    """Largest squared singular value over their sum. The period Gram matrix is one aggregation over a
-    self join on units (T^2 sums), and a task solves the T x T eigenproblem."""
+def first_singular_share(panel: DataFrame, value: str, parts: int = 64) -> DataFrame:
+    """Largest squared singular value over their sum. Every group of units adds its part of the period Gram
+    matrix in one product, so no pairs of cells are made; parts are summed, and a task solves the T x T
+    eigenproblem."""
     import numpy as np
     import pandas as pd
 
-    a = panel.select("unit_ix", F.col("t_ix").alias("s"), F.col(value).alias("x"))
-    b = panel.select("unit_ix", F.col("t_ix").alias("t"), F.col(value).alias("y"))
-    g = a.join(b, "unit_ix").groupBy("s", "t").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
+    def gram(pdf):
+        m = pdf.pivot(index="unit_ix", columns="t_ix", values="x").fillna(0.0)
+        s, t = np.meshgrid(m.columns, m.columns, indexing="ij")
+        g = m.to_numpy().T @ m.to_numpy()
+        return pd.DataFrame({"s": s.ravel(), "t": t.ravel(), "g": g.ravel()})
+
+    cells = panel.select("unit_ix", "t_ix", F.col(value).alias("x"))
+    g = cells.groupBy(F.pmod(F.xxhash64("unit_ix"), F.lit(parts)).alias("part")).applyInPandas(gram, "s int, t int, g double").groupBy("s", "t").agg(F.sum("g").alias("g"))
 
     def solve(pdf):
         m = pdf.pivot(index="s", columns="t", values="g").fillna(0.0).to_numpy()
@@ -80,6 +86,64 @@ def first_singular_share(panel: DataFrame, value: str) -> DataFrame:
     return g.groupBy(F.lit(0).alias("k")).applyInPandas(solve, "share double")
 
 
+def residual_diagnostics(panel: DataFrame, residual: str, outcome: str) -> DataFrame:
+    """(lag, autocorr) with the residual's fit, average cross correlation and first singular share beside them."""
+    one = residual_fit(panel, residual, outcome).crossJoin(average_cross_correlation(panel, residual)).crossJoin(first_singular_share(panel, residual))
+    # one row beside six
+    return autocorrelations(panel, residual).crossJoin(F.broadcast(one))
+
+
+def adf_statistics(panel: DataFrame, value: str, p: int = 4, critical: float = -2.86) -> DataFrame:
+    """(unit_ix, t_stat, unit_root): augmented test with a constant and ``p`` lagged differences; levels of
+    positive series are tested in logs, missing values left out, series of up to p + 8 differences give 0.
+
+    The regression runs in windows by unit, all under one partitioning: each regressor in turn is taken out
+    of those behind it and of the difference, so the last step leaves the lagged level's coefficient.
+    """
+    w, o = Window.partitionBy("unit_ix"), _order()
+    y = panel.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("least", F.min(value).over(w))
+    y = y.select("unit_ix", "t_ix", F.when(F.col("least") > 0, F.log(F.col(value))).otherwise(F.col(value)).alias("y"))
+    y = y.select("*", F.row_number().over(o).alias("k"), F.count("*").over(w).alias("size"), F.lag("y").over(o).alias("level"))
+    y = y.withColumn("d", F.col("y") - F.col("level"))
+    names = [*[f"d{j}" for j in range(1, p + 1)], "level", "d"]
+    y = y.select("*", *[F.lag("d", j).over(o).alias(f"d{j}") for j in range(1, p + 1)])
+    used = F.col("k") >= p + 2
+    y = y.select("unit_ix", "size", *[F.when(used, F.col(c)).alias(c) for c in names])
+    y = y.select("unit_ix", "size", *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in names])
+    for k in range(p):
+        own = F.col(names[k])
+        rest = [(F.col(c) - own * F.coalesce(F.try_divide(F.sum(own * F.col(c)).over(w), F.sum(own * own).over(w)), F.lit(0.0))).alias(c) for c in names[k + 1 :]]
+        y = y.select("unit_ix", "size", *[F.col(c) for c in names[: k + 1]], *rest)
+    x, d = F.col("level"), F.col("d")
+    sums = y.groupBy("unit_ix").agg(F.max("size").alias("size"), F.count("d").alias("n"), F.sum(x * x).alias("xx"), F.sum(x * d).alias("xd"), F.sum(d * d).alias("dd"))
+    variance = (F.col("dd") - F.col("xd") * F.col("xd") / F.col("xx")) / F.greatest(F.col("n") - (p + 2), F.lit(1))
+    stat = F.when((F.col("size") - 1 > p + 8) & (F.col("xx") > 0) & (variance > 0), F.col("xd") / F.col("xx") / F.sqrt(variance / F.col("xx"))).otherwise(0.0)
+    return sums.select("unit_ix", stat.alias("t_stat")).withColumn("unit_root", F.col("t_stat") > critical)
+
+
+def companion_persistence(panel: DataFrame, a: str, b: str, most: int = 16) -> DataFrame:
+    """(unit_ix, growth, persistence): the largest h-th root of the spectral norm of products of h consecutive
+    companion matrices of a two-lag process, h up to the log of the number of periods (and ``most``);
+    persistence is capped at 0.99. Norms of 2 x 2 products are closed forms, so all is windows by unit."""
+    w, o = Window.partitionBy("unit_ix"), _order()
+    df = panel.select("unit_ix", "t_ix", F.col(a).alias("a"), F.col(b).alias("b"), F.greatest(F.lit(1), F.ceil(F.log(F.count("*").over(w).cast("double")))).alias("horizon"))
+    ahead = [F.lead(c, h).over(o).alias(f"{c}{h}") for h in range(1, most) for c in ("a", "b")]
+    df = df.select("*", *ahead, F.col("a").alias("p1"), F.col("b").alias("q1"), F.lit(1.0).alias("r1"), F.lit(0.0).alias("s1"))
+    for h in range(1, most):
+        p, q, r, s = (F.col(f"{c}{h}") for c in "pqrs")
+        x, y = F.col(f"a{h}"), F.col(f"b{h}")
+        df = df.select("*", (x * p + y * r).alias(f"p{h + 1}"), (x * q + y * s).alias(f"q{h + 1}"), p.alias(f"r{h + 1}"), q.alias(f"s{h + 1}"))
+
+    def root(h: int):
+        p, q, r, s = (F.col(f"{c}{h}") for c in "pqrs")
+        square, det = p * p + q * q + r * r + s * s, p * s - q * r
+        norm = F.sqrt((square + F.sqrt(F.greatest(square * square - 4 * det * det, F.lit(0.0)))) / 2)
+        return F.when(F.col("horizon") >= h, F.pow(norm, F.lit(1.0 / h)))
+
+    out = df.groupBy("unit_ix").agg(F.max(F.greatest(*[root(h) for h in range(1, most + 1)])).alias("growth"))
+    return out.withColumn("persistence", F.least("growth", F.lit(0.99)))
+
+
 def persistence_window(panel: DataFrame, value: str, horizon: int) -> DataFrame:
     """For h = 1..horizon the largest geometric mean of |a| over h consecutive periods, over all cells."""
     log = panel.withColumn("l", F.log(F.greatest(F.abs(F.col(value)), F.lit(1e-12))))

@@ -1,12 +1,14 @@
-"""Estimation as task frames: one task for each fold, candidate, restart or replication.
+"""Estimation as tasks: one for each fold, candidate, specification or replication.
 
-A panel is sent to its tasks once, as rows (t_ix, unit_ix, y, z); the numerical work is a kernel in a grouped
-map. Every task derives its seed from its own key, so results do not depend on cores or partitions.
+A panel is sent to as many slots as can run at once, as rows (t_ix, unit_ix, y, z); each slot goes through its
+share of the tasks, so the copies of the panel do not grow with the tasks. The numerical work is a kernel in a
+grouped map. Every task derives its seed from its own key, so results do not depend on cores or slots.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -30,27 +32,39 @@ def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return y, z
 
 
-def with_tasks(panel: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The panel's rows for each task; tasks are few and carry their settings."""
-    return panel.select("t_ix", "unit_ix", "y", "z").crossJoin(F.broadcast(tasks))
+def run_tasks(panel: DataFrame, tasks: list, run: Callable[[np.ndarray, np.ndarray, object], pd.DataFrame], schema: str) -> DataFrame:
+    """The rows of ``run(y, z, task)`` for every task. Tasks are few and small, and travel with the function."""
+    slots = min(len(tasks), 2 * panel.sparkSession.sparkContext.defaultParallelism)
 
+    def share(key, pdf):
+        y, z = _dense(pdf)
+        return pd.concat([run(y, z, t) for t in tasks[int(key[0]) :: slots]])
 
-def fold_tasks(spark: SparkSession, folds: int) -> DataFrame:
-    return spark.range(folds).select(F.col("id").cast("int").alias("j"))
+    spread = panel.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), "t_ix", "unit_ix", "y", "z")
+    return spread.groupBy("slot").applyInPandas(share, schema)
 
 
 def fit_folds(panel: DataFrame, tuning: K.Tuning, seed: int) -> DataFrame:
     """Factor tables of each fold's purged fit: (j, side, block, k, ix, v), with objective and monotone flag."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, z = _dense(pdf)
-        j = int(pdf["j"].iloc[0])
+    def run(y: np.ndarray, z: np.ndarray, j: int) -> pd.DataFrame:
         ids = K.fold_ids(*y.shape, tuning.folds, tuning.scheme, K.generator(seed, 1))
         fit = K.fit_factor_ridge(y, z, tuning, K.training_mask(ids == j, tuning.q, tuning.radius), K.generator(seed, 2, j))
         rows = [(j, side, int(fit.block[k]), k, ix, float(m[ix, k]), fit.path[-1], fit.monotone) for side, m in (("period", fit.f), ("unit", fit.g)) for k in range(m.shape[1]) for ix in range(len(m))]
         return pd.DataFrame(rows, columns=["j", "side", "block", "k", "ix", "v", "objective", "monotone"])
 
-    return with_tasks(panel, fold_tasks(panel.sparkSession, tuning.folds)).groupBy("j").applyInPandas(run, "j int, side string, block int, k int, ix int, v double, objective double, monotone boolean")
+    return run_tasks(panel, list(range(tuning.folds)), run, "j int, side string, block int, k int, ix int, v double, objective double, monotone boolean")
+
+
+def training_cells(panel: DataFrame, tuning: K.Tuning, seed: int) -> DataFrame:
+    """(j, t_ix, unit_ix, y, z) of the cells that each fold is fitted to; periods and units count from 0."""
+
+    def run(y: np.ndarray, z: np.ndarray, j: int) -> pd.DataFrame:
+        ids = K.fold_ids(*y.shape, tuning.folds, tuning.scheme, K.generator(seed, 1))
+        t, i = np.nonzero(K.training_mask(ids == j, tuning.q, tuning.radius))
+        return pd.DataFrame({"j": j, "t_ix": t, "unit_ix": i, "y": y[t, i], "z": list(z[:, t, i].T)})
+
+    return run_tasks(panel, list(range(tuning.folds)), run, "j int, t_ix int, unit_ix int, y double, z array<double>")
 
 
 def surface_cells(factors: DataFrame) -> DataFrame:
@@ -78,14 +92,13 @@ def panel_targets(t: int, n: int, high: np.ndarray | None, covariates: int, lags
     return out
 
 
-def score_cells(panel: DataFrame, tuning: K.Tuning, seed: int, lags: int, covariates: int, high_units: list[int] = ()) -> DataFrame:
+def score_cells(panel: DataFrame, tuning: K.Tuning, seed: int, lags: int, covariates: int, high_units: list[int] = (), sums: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """One task for each fold: plug-ins, weights and residuals (j, target, t_ix, unit_ix, p, plug, psi, u) of
-    the held-out cells, for ``inference`` to aggregate."""
+    the held-out cells, for ``inference`` to aggregate. ``sums`` names targets that are sums of others; sums of
+    targets that the panel lacks are left out."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, z = _dense(pdf)
+    def run(y: np.ndarray, z: np.ndarray, j: int) -> pd.DataFrame:
         t, n = y.shape
-        j = int(pdf["j"].iloc[0])
         held = K.fold_ids(t, n, tuning.folds, tuning.scheme, K.generator(seed, 1)) == j
         mask = K.training_mask(held, tuning.q, tuning.radius)
         fit = K.fit_factor_ridge(y, z, tuning, mask, K.generator(seed, 2, j))
@@ -94,52 +107,72 @@ def score_cells(panel: DataFrame, tuning: K.Tuning, seed: int, lags: int, covari
         targets = panel_targets(t, n, np.isin(np.arange(n), list(high_units)) if high_units else None, covariates, lags)
         psi = K.debiasing_weights(list(targets.values()), z, [fit.spaces(b) for b in range(len(z))], mask, t * n / max(1, int(mask.sum())), tuning.weight_ridge)
         at, who = np.nonzero(held)
-        parts = [
-            pd.DataFrame({"j": j, "target": name, "t_ix": at, "unit_ix": who, "p": float(held.mean()), "plug": float((d * surfaces[b]).sum()), "psi": psi[k][at, who], "u": residual[at, who]})
-            for k, (name, (b, d)) in enumerate(targets.items())
-        ]
-        return pd.concat(parts)
+        own = {name: (float((d * surfaces[b]).sum()), psi[k]) for k, (name, (b, d)) in enumerate(targets.items())}
+        own |= {name: tuple(sum(own[m][i] for m in parts) for i in (0, 1)) for name, parts in (sums or {}).items() if all(m in own for m in parts)}
+        return pd.concat([pd.DataFrame({"j": j, "target": name, "t_ix": at, "unit_ix": who, "p": float(held.mean()), "plug": plug, "psi": weight[at, who], "u": residual[at, who]}) for name, (plug, weight) in own.items()])
 
-    return with_tasks(panel, fold_tasks(panel.sparkSession, tuning.folds)).groupBy("j").applyInPandas(run, "j int, target string, t_ix int, unit_ix int, p double, plug double, psi double, u double")
+    return run_tasks(panel, list(range(tuning.folds)), run, "j int, target string, t_ix int, unit_ix int, p double, plug double, psi double, u double")
 
 
-def candidate_losses(panel: DataFrame, candidates: DataFrame, tuning: K.Tuning, seed: int) -> DataFrame:
-    """(candidate, j, sse): held-out squared error of every rank candidate (candidate, ranks) in every fold."""
-    tasks = candidates.crossJoin(fold_tasks(panel.sparkSession, tuning.folds))
+def riesz_gaps(panel: DataFrame, tuning: K.Tuning, seed: int, lags: int, covariates: int, high_units: list[int] = ()) -> DataFrame:
+    """(j, target, gap): the weights represent a target on the tangent space, so their scaled training sum against
+    the fitted surfaces' own outcome is the target's plug-in; the gap is what is left of that, over its size."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, z = _dense(pdf)
-        j, c = int(pdf["j"].iloc[0]), int(pdf["candidate"].iloc[0])
+    def run(y: np.ndarray, z: np.ndarray, j: int) -> pd.DataFrame:
+        t, n = y.shape
+        mask = K.training_mask(K.fold_ids(t, n, tuning.folds, tuning.scheme, K.generator(seed, 1)) == j, tuning.q, tuning.radius)
+        fit = K.fit_factor_ridge(y, z, tuning, mask, K.generator(seed, 2, j))
+        surfaces = [fit.surface(b) for b in range(len(z))]
+        fitted = sum(s * d for s, d in zip(surfaces, z, strict=True))
+        targets = panel_targets(t, n, np.isin(np.arange(n), list(high_units)) if high_units else None, covariates, lags)
+        scale = t * n / max(1, int(mask.sum()))
+        psi = K.debiasing_weights(list(targets.values()), z, [fit.spaces(b) for b in range(len(z))], mask, scale, tuning.weight_ridge)
+        plugs = [float((d * surfaces[b]).sum()) for b, d in targets.values()]
+        gaps = [float(scale * (w * fitted * mask).sum() - p) / max(1.0, abs(p)) for w, p in zip(psi, plugs, strict=True)]
+        return pd.DataFrame({"j": j, "target": list(targets), "gap": gaps})
+
+    return run_tasks(panel, list(range(tuning.folds)), run, "j int, target string, gap double")
+
+
+def full_fit(panel: DataFrame, tuning: K.Tuning, seed: int) -> DataFrame:
+    """(t_ix, unit_ix, y, residual, theta ARRAY, level, monotone, restarts, dispersion) of one fit to the whole panel;
+    ``level`` is the residual of the fit that has only the interactive block."""
+
+    def run(y: np.ndarray, z: np.ndarray, _) -> pd.DataFrame:
+        fit = K.fit_factor_ridge(y, z, tuning, None, K.generator(seed, 5))
+        level = K.fit_factor_ridge(y, z, tuning, None, K.generator(seed, 6), (*[0] * (len(z) - 1), max(1, tuning.ranks[-1])))
+        surfaces = np.stack([fit.surface(b) for b in range(len(z))])
+        residual = y - (surfaces * z).sum(axis=0)
+        t, i = np.indices(y.shape)
+        low, high = min(fit.finals), max(fit.finals)
+        return pd.DataFrame({"t_ix": t.ravel(), "unit_ix": i.ravel(), "y": y.ravel(), "residual": residual.ravel(), "theta": list(surfaces.reshape(len(z), -1).T), "level": (y - level.surface(len(z) - 1)).ravel(), "monotone": fit.monotone, "restarts": len(fit.finals), "dispersion": (high - low) / (1 + abs(low))})
+
+    return run_tasks(panel, [None], run, "t_ix int, unit_ix int, y double, residual double, theta array<double>, level double, monotone boolean, restarts int, dispersion double")
+
+
+def candidate_losses(panel: DataFrame, candidates: list[tuple[int, ...]], tuning: K.Tuning, seed: int) -> DataFrame:
+    """(candidate, j, sse): held-out squared error of every rank candidate in every fold."""
+
+    def run(y: np.ndarray, z: np.ndarray, task: tuple[int, int]) -> pd.DataFrame:
+        c, j = task
         held = K.fold_ids(*y.shape, tuning.folds, tuning.scheme, K.generator(seed, 1)) == j
-        ranks = tuple(int(r) for r in pdf["ranks"].iloc[0])
-        fit = K.fit_factor_ridge(y, z, tuning, K.training_mask(held, tuning.q, tuning.radius), K.generator(seed, 4, c, j), ranks)
+        fit = K.fit_factor_ridge(y, z, tuning, K.training_mask(held, tuning.q, tuning.radius), K.generator(seed, 4, c, j), candidates[c])
         r = y - sum(fit.surface(b) * z[b] for b in range(len(z)))
         return pd.DataFrame({"candidate": [c], "j": [j], "sse": [float((r[held] ** 2).sum())]})
 
-    return with_tasks(panel, tasks).groupBy("candidate", "j").applyInPandas(run, "candidate int, j int, sse double")
+    return run_tasks(panel, [(c, j) for c in range(len(candidates)) for j in range(tuning.folds)], run, "candidate int, j int, sse double")
 
 
-def select_ranks(panel: DataFrame, candidates: DataFrame, tuning: K.Tuning, seed: int, kappa: float, t: int, n: int) -> DataFrame:
+def select_ranks(panel: DataFrame, candidates: list[tuple[int, ...]], tuning: K.Tuning, seed: int, kappa: float, t: int, n: int) -> DataFrame:
     """Criterion table (candidate, ranks, loss, dimension, criterion): mean held-out error plus penalty."""
     from panelmill.functions.scalars import effective_dim
 
     loss = candidate_losses(panel, candidates, tuning, seed).groupBy("candidate").agg((F.sum("sse") / (t * n)).alias("loss"))
-    out = candidates.join(loss, "candidate").withColumn("dimension", effective_dim(F.col("ranks"), F.lit(t), F.lit(n)))
+    named = panel.sparkSession.createDataFrame([(i, list(c)) for i, c in enumerate(candidates)], "candidate int, ranks array<int>")
+    out = named.join(loss, "candidate").withColumn("dimension", effective_dim(F.col("ranks"), F.lit(t), F.lit(n)))
     return out.withColumn("criterion", F.col("loss") + kappa * F.col("dimension") / (t * n))
 
 
-def adf_table(panel: DataFrame, value: str, p: int = 4, critical: float = -2.86) -> DataFrame:
-    """(unit_ix, t_stat, unit_root): levels of positive series are tested in logs."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("t_ix")[value].to_numpy(float)
-        y = y[~np.isnan(y)]
-        stat = K.adf_t(np.log(y) if len(y) and (y > 0).all() else y, p)
-        return pd.DataFrame({"unit_ix": [int(pdf["unit_ix"].iloc[0])], "t_stat": [stat], "unit_root": [stat > critical]})
-
-    return panel.select("unit_ix", "t_ix", value).groupBy("unit_ix").applyInPandas(run, "unit_ix int, t_stat double, unit_root boolean")
-
-
 def roadmap(panel: DataFrame, tuning: K.Tuning, seed: int, lags: int = 1, c: float = 1.0) -> DataFrame:
     """One row of settings from the data: rho, sigma2, q, folds, kappa."""
 
@@ -284,14 +317,14 @@ def information_map(spark: SparkSession, t: int, n: int, folds: int, q: int, sch
         low, high = float(e[null]), float(e[-1])
         return pd.DataFrame({"j": [j], "least": [low], "greatest": [high], "condition": [high / max(low, 1e-300)], "min_support": [int(mask.sum(axis=1).min())]})
 
-    return fold_tasks(spark, folds).groupBy("j").applyInPandas(run, "j int, least double, greatest double, condition double, min_support int")
+    return spark.range(folds).select(F.col("id").cast("int").alias("j")).groupBy("j").applyInPandas(run, "j int, least double, greatest double, condition double, min_support int")
 
 
 def distributed_als(panel: DataFrame, f: DataFrame, lam: DataFrame, ridge: float, sweeps: int, spaces: int) -> tuple[DataFrame, DataFrame]:
     """Alternating ridge for panels too large for a task. panel (t_ix, unit_ix, y, is_train, d ARRAY of the
     designs of each factor column); f (t_ix, v ARRAY), lam (unit_ix, v ARRAY). Each half-sweep is one
     aggregation of normal equations and a batched solve; factors are written to cut the lineage."""
-    from panelmill.operators.checkpoints import written
+    from panelmill.operators.checkpoints import drop_written, written
 
     def half(side: str, other: str, factors: DataFrame) -> DataFrame:
         cells = panel.where("is_train").join(factors, other)
@@ -311,7 +344,9 @@ def distributed_als(panel: DataFrame, f: DataFrame, lam: DataFrame, ridge: float
 
         return written(sums.mapInPandas(solve, f"{side} int, v array<double>"), f"als-{side}")
 
-    for _ in range(sweeps):
+    for k in range(sweeps):
+        old = (f, lam) if k else ()
         f = half("t_ix", "unit_ix", lam)
         lam = half("unit_ix", "t_ix", f)
+        drop_written(*old)
     return f, lam

@@ -79,3 +79,16 @@ def one_step(fold_plugs: DataFrame, scores_: DataFrame) -> DataFrame:
     plug = fold_plugs.groupBy("target").agg(F.sum(F.col("p") * F.col("plug")).alias("plugin"))
     correction = scores_.groupBy("target").agg(F.sum(F.col("psi") * F.col("u")).alias("correction"))
     return plug.join(correction, "target").select("target", "plugin", (F.col("plugin") + F.col("correction")).alias("estimate"))
+
+
+def estimates(scores_: DataFrame, z: float) -> DataFrame:
+    """One row for each target of scores (target, t_ix, plug, psi, u): plug-in, estimate, White and clustered errors,
+    and intervals of ``z`` errors. The scores, which hold fits, are read once: a fold's plug-in stands on each of its
+    cells, so their mean is the share-weighted plug-in."""
+    v = F.col("psi") * F.col("u")
+    by_period = scores_.groupBy("target", "t_ix").agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.sum("plug").alias("g"), F.count("*").alias("n"))
+    n = F.sum("n")
+    floor = F.pow(n.cast("double"), F.lit(-2.0))
+    out = by_period.groupBy("target").agg((F.sum("g") / n).alias("plugin"), (F.sum("g") / n + F.sum("s")).alias("estimate"), F.sqrt(F.greatest(F.sum("q"), floor)).alias("se"), F.sqrt(F.greatest(F.sum(F.col("s") * F.col("s")), floor)).alias("se_xs"))
+    e = F.col("estimate")
+    return out.select("*", (e - z * F.col("se")).alias("lower"), (e + z * F.col("se")).alias("upper"), (e - z * F.col("se_xs")).alias("lower_xs"), (e + z * F.col("se_xs")).alias("upper_xs"))

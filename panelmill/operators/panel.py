@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmill.functions import scalars as S
+
 
 def _unit():
     return Window.partitionBy("unit_ix")
@@ -161,3 +163,16 @@ def two_way_ar(panel: DataFrame, value: str, lags: int) -> DataFrame:
         s = s.withColumn("ssr", F.col("yy") - F.col("beta1") * F.col("xy") - F.col("beta2") * F.col("zy")).withColumn("total", F.col("beta1") + F.col("beta2"))
         coefficients = ["beta1", "beta2"]
     return s.select(*coefficients, F.col("total").alias("beta_sum"), F.sqrt(F.col("ssr") / F.col("n_cells")).alias("rmse"), (1 - F.col("ssr") / F.col("yy")).alias("r2"), "n_cells")
+
+
+def state_of_codes(areas: DataFrame, states: list[str] = S.STATES) -> DataFrame:
+    """(code, state) of areas (code, name, position): the first state that the name holds; codes without leading
+    zeros, of a code's several states the last row's."""
+    rows = areas.select(S.bare_code(F.col("code")).alias("code"), S.state_token(F.col("name"), states).alias("state"), "position").where("state IS NOT NULL")
+    return rows.groupBy("code").agg(F.max_by("state", "position").alias("state"))
+
+
+def state_means(values: DataFrame, states: DataFrame) -> DataFrame:
+    """(state, mean, n) of values (code, value) by the state of their code; codes without one are left out."""
+    keyed = values.withColumn("code", S.bare_code(F.col("code"))).join(states, "code")
+    return keyed.groupBy("state").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))

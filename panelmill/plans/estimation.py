@@ -1,5 +1,5 @@
 """Queries of the estimator, simulation and robustness operators. Singular vectors, alternating fits and
-replications have no SQL; tests hold them against identities instead."""
+replications have no SQL; identities that a fit must meet have, and tests hold the rest against kernels."""
 
 from __future__ import annotations
 
@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import kernels as K
 from panelmill.functions import scalars as S
-from panelmill.operators import diagnostics as D
 from panelmill.operators import estimator as E
 from panelmill.operators import inference as I
 from panelmill.operators import linear as L
 from panelmill.operators import montecarlo as M
 from panelmill.operators import panel as P
+from panelmill.plans import applications as A
 from panelmill.sources import tables as T
 
 QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
 SEED = 2024
 SMALL = K.Tuning(ranks=(1, 1, 1), q=1, folds=6, sweeps=30, restarts=2)
 BASE = {"t": 24, "n": 24, "q": 1, "folds": 6, "sweeps": 30, "restarts": 1, "oracle": True}
@@ -44,11 +45,6 @@ def high_units(spark: SparkSession, sf_dir: str) -> list[int]:
     return [r[0] for r in split.where("grp = 'high'").select("unit_ix").collect()]
 
 
-@query
-def adf_tstat(spark, sf_dir):
-    return E.adf_table(T.complete_shipments(spark, sf_dir), "y").select("unit_ix", S.rounded(F.col("t_stat")).alias("t_stat"), "unit_root")
-
-
 @query
 def fit_factor_ridge(spark, sf_dir):
     factors = E.fit_folds(ar_panel(spark, sf_dir), SMALL, SEED)
@@ -86,39 +82,59 @@ def riesz_weights(spark, sf_dir):
     return s.groupBy("target", "j").agg(F.sqrt(F.sum(F.col("psi") * F.col("psi"))).alias("norm"), F.max(F.abs("psi")).alias("largest"))
 
 
-def estimates(scores: DataFrame, n: int) -> DataFrame:
-    """One row for each target: plug-in, estimate, White and clustered errors, 95 % intervals."""
-    plugs = scores.select("j", "target", "p", "plug").distinct()
-    out = I.one_step(plugs, scores).join(I.white_se(scores, n), "target").join(I.cluster_se(scores, n).withColumnRenamed("se", "se_xs"), "target")
-    e, z = F.col("estimate"), S.Z95
-    return out.select("*", (e - z * F.col("se")).alias("lower"), (e + z * F.col("se")).alias("upper"), (e - z * F.col("se_xs")).alias("lower_xs"), (e + z * F.col("se_xs")).alias("upper_xs"))
+_TARGETS = "lag1_mean lag1_high lag1_low lag1_high_minus_low covariate1_mean".split()
+
+
+@query
+def riesz_identity(spark, sf_dir):
+    """The weights represent every target on the fitted tangent spaces."""
+    gaps = E.riesz_gaps(ar_panel(spark, sf_dir), SMALL, SEED, 1, 1, high_units(spark, sf_dir))
+    return gaps.select(F.col("j").cast("long").alias("j"), "target", S.rounded(F.col("gap"), 4).alias("gap"))
+
+
+ORACLE_SQL["riesz_identity"] = f"SELECT j.range AS j, t.target, CAST(0 AS DOUBLE) AS gap FROM range({SMALL.folds}) j CROSS JOIN (SELECT unnest([{', '.join(repr(t) for t in _TARGETS)}]) AS target) t"
+
+
+@query
+def ridge_normal_equations(spark, sf_dir):
+    """Largest slope of the objective in the unit factors, which the last half-sweep solves for: zero by fold."""
+    panel = ar_panel(spark, sf_dir)
+    factors = E.fit_folds(panel, SMALL, SEED)
+    folds = E.training_cells(panel, SMALL, SEED)
+    f = factors.where("side = 'period'").select("j", "k", "block", F.col("ix").alias("t_ix"), F.col("v").alias("f"))
+    g = factors.where("side = 'unit'").select("j", "k", F.col("ix").alias("unit_ix"), F.col("v").alias("g"))
+    terms = folds.join(f, ["j", "t_ix"]).join(g, ["j", "k", "unit_ix"]).withColumn("d", F.element_at("z", F.col("block") + 1) * F.col("f"))
+    cells = terms.groupBy("j", "t_ix", "unit_ix").agg((F.first("y") - F.sum(F.col("d") * F.col("g"))).alias("r"))
+    slope = terms.join(cells, ["j", "t_ix", "unit_ix"]).groupBy("j", "k", "unit_ix").agg((F.sum(F.col("d") * F.col("r")) - SMALL.ridge * F.first("g")).alias("slope"))
+    return slope.groupBy(F.col("j").cast("long").alias("j")).agg(S.rounded(F.max(F.abs("slope"))).alias("slope"))
+
+
+ORACLE_SQL["ridge_normal_equations"] = f"SELECT range AS j, CAST(0 AS DOUBLE) AS slope FROM range({SMALL.folds})"
 
 
 @query
 def one_step(spark, sf_dir):
-    s = _scores(spark, sf_dir).persist()
-    n = s.where("target = 'lag1_mean'").count()
-    return estimates(s, n)
+    return I.estimates(_scores(spark, sf_dir), S.Z95)
 
 
 @query
 def run_ar2(spark, sf_dir):
-    """Lag means with derived dynamics: persistence, radius, long-run multiplier, responses."""
-    s = _scores(spark, sf_dir, K.Tuning(ranks=(1, 1, 1, 1), q=1, folds=6, sweeps=30, restarts=1), 2).persist()
-    n = s.where("target = 'lag1_mean'").count()
-    e = estimates(s, n).groupBy().pivot("target", ["lag1_mean", "lag2_mean"]).agg(F.first("estimate"))
-    cross = I.joint_cov(s, "lag1_mean", "lag2_mean").withColumnRenamed("cov", "vab")
-    own = s.groupBy("target").agg(F.sum(F.col("psi") * F.col("psi") * F.col("u") * F.col("u")).alias("v"))
-    one = own.groupBy().pivot("target", ["lag1_mean", "lag2_mean"]).agg(F.first("v")).toDF("vaa", "vbb")
-    row = e.toDF("a", "b").crossJoin(one).crossJoin(cross)
-    a, b = F.col("a"), F.col("b")
-    unit = F.lit(1.0)
-    responses = [S.irf(a, b, F.lit(h)).alias(f"irf{h}") for h in (1, 2, 4, 8, 12)]
-    return row.select("a", "b", (a + b).alias("persistence"), S.delta_se(unit, unit, F.col("vaa"), F.col("vab"), F.col("vbb")).alias("persistence_se"), S.companion_radius(a, b).alias("radius"), S.long_run_multiplier(a, b).alias("lrm"), *responses)
+    """The whole report of a two-lag model with one covariate, in groups by the units' mean."""
+    return A.report(ar_panel(spark, sf_dir, 2), K.Tuning(ranks=(1, 1, 1, 1), q=1, folds=6, sweeps=30, restarts=2), SEED, 1, high_units(spark, sf_dir))
 
 
-def _candidates(spark, caps) -> DataFrame:
-    return spark.createDataFrame([(i, list(c)) for i, c in enumerate(itertools.product(*(range(m + 1) for m in caps)))], "candidate int, ranks array<int>")
+@query
+def housing_specs(spark, sf_dir):
+    """The four housing specifications on the shipments panel: two lags, covariates where matched; without the sections of
+    a full fit, which ``run_ar2`` shows."""
+    return A.specifications(T.shipments(spark, sf_dir), A.HOUSING, ["x", "q"], K.Tuning(q=1, folds=6, ridge=0.1, sweeps=20, restarts=1, levels=3), 7, diagnostics=False)
+
+
+@query
+def unemployment_specs(spark, sf_dir):
+    """The four unemployment specifications on the shipments panel: one lag, the second kept at rank 0; without the
+    sections of a full fit."""
+    return A.specifications(T.shipments(spark, sf_dir), A.UNEMPLOYMENT, ["x", "q"], K.Tuning(q=1, folds=6, ridge=0.5, sweeps=20, restarts=1, levels=3), 13, diagnostics=False)
 
 
 @query
@@ -126,7 +142,7 @@ def select_ranks(spark, sf_dir):
     df = ar_panel(spark, sf_dir)
     t, n = df.agg(F.countDistinct("t_ix"), F.countDistinct("unit_ix")).first()
     tuning = K.Tuning(q=1, folds=4, sweeps=15, restarts=1, levels=2)
-    return E.select_ranks(df, _candidates(spark, (2, 2, 2)), tuning, SEED, 0.03, int(t), int(n)).orderBy("criterion", "dimension", "ranks")
+    return E.select_ranks(df, list(itertools.product(range(3), repeat=3)), tuning, SEED, 0.03, int(t), int(n)).orderBy("criterion", "dimension", "ranks")
 
 
 @query
@@ -161,28 +177,7 @@ def covariate_robustness(spark, sf_dir):
 
 
 def _robust(spark, sf_dir, specs: dict) -> DataFrame:
-    tasks = spark.createDataFrame([(k, list(v)) for k, v in specs.items()], "spec string, ranks array<int>")
-
-    def run(pdf):
-        y, z = E._dense(pdf)
-        tuning = K.Tuning(ranks=tuple(int(r) for r in pdf["ranks"].iloc[0]), q=1, folds=6, sweeps=25, restarts=1, levels=3)
-        t, n = y.shape
-        est = K.estimate(y, z, {"lag1_mean": (0, np.full((t, n), 1 / (t * n)))}, tuning, (SEED,))
-        return pd.DataFrame({"spec": [pdf["spec"].iloc[0]], "estimate": est["estimate"], "se": [K.white(est["psi"][0], est["u"])], "se_xs": [K.clustered(est["psi"][0], est["u"])]})
-
-    return E.with_tasks(ar_panel(spark, sf_dir), tasks).groupBy("spec").applyInPandas(run, "spec string, estimate double, se double, se_xs double")
-
-
-@query
-def companion_product_norm(spark, sf_dir):
-    """Persistence of a two-lag panel by companion products, one task for each unit."""
-    cells = T.complete_shipments(spark, sf_dir).select("unit_ix", "t_ix", (0.3 + 0.01 * (F.col("t_ix") % 7)).alias("a"), (0.1 + 0.02 * (F.col("unit_ix") % 5)).alias("b"))
-
-    def run(pdf):
-        pdf = pdf.sort_values("t_ix")
-        return pd.DataFrame({"unit_ix": [int(pdf["unit_ix"].iloc[0])], "persistence": [K.persistence([pdf[["a"]].to_numpy(), pdf[["b"]].to_numpy()])]})
-
-    return cells.groupBy("unit_ix").applyInPandas(run, "unit_ix int, persistence double")
+    return A.over_ranks(ar_panel(spark, sf_dir), specs, K.Tuning(q=1, folds=6, sweeps=25, restarts=1, levels=3), SEED)
 
 
 @query
@@ -271,20 +266,3 @@ def xs_stress(spark, sf_dir):
 @query
 def oracle_vs_feasible(spark, sf_dir):
     return _summary(E.run_grid(E.replication_tasks(spark, [BASE, BASE | {"oracle": False}], 4)))
-
-
-@query
-def distributed_als(spark, sf_dir):
-    """A few distributed half-sweeps of the level block on the shipments panel."""
-    df = T.complete_shipments(spark, sf_dir).select("t_ix", "unit_ix", "y", ((F.col("t_ix") + F.col("unit_ix")) % 5 != 0).alias("is_train"), F.array(F.lit(1.0)).alias("d"))
-    lam = df.select("unit_ix").distinct().withColumn("v", F.array(F.lit(1.0)))
-    f, lam = E.distributed_als(df, df.select("t_ix").distinct().withColumn("v", F.array(F.lit(1.0))), lam, 0.02, 3, 1)
-    fitted = df.join(f.withColumnRenamed("v", "f"), "t_ix").join(lam.withColumnRenamed("v", "g"), "unit_ix").withColumn("e", F.col("y") - F.col("f")[0] * F.col("g")[0])
-    return fitted.agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))
-
-
-@query
-def residual_diag(spark, sf_dir):
-    """Autocorrelations and cross correlation of the two-way residual."""
-    w = P.within_frame(T.complete_shipments(spark, sf_dir), ["y"])
-    return D.autocorrelations(w, "y").crossJoin(D.average_cross_correlation(w, "y"))

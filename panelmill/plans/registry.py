@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(relational.ORACLE_SQL)
+    return relational.ORACLE_SQL | estimation.ORACLE_SQL

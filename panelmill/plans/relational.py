@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import scalars as S
 from panelmill.operators import diagnostics as D
+from panelmill.operators import estimator as E
 from panelmill.operators import folds as FD
 from panelmill.operators import inference as I
 from panelmill.operators import linear as L
@@ -391,13 +392,15 @@ def retained_share(spark, sf_dir):
 
 # --- linear map ------------------------------------------------------------------------------------
 
-_THETA = "(0.5 + (t_ix % 5) * 0.1) AS th0, (0.2 - (unit_ix % 3) * 0.1) AS th1, (0.05 * (t_ix % 7)) AS th2, ((t_ix * 7 + unit_ix * 2) % 11 - 5) / 10.0 AS r"
+# The root keeps products of round inputs away from ties at the sixth digit.
+_THETA = "((5 + t_ix % 5) / 10.0 * sqrt(CAST(2 AS DOUBLE))) AS th0, ((2 - unit_ix % 3) / 10.0 * sqrt(CAST(2 AS DOUBLE))) AS th1, ((5 * (t_ix % 7)) / 100.0) AS th2, ((t_ix * 7 + unit_ix * 2) % 11 - 5) / 10.0 AS r"
 
 
 def _cells(spark, sf_dir) -> DataFrame:
     t, i = F.col("t_ix"), F.col("unit_ix")
     df = L.with_blocks(T.complete_shipments(spark, sf_dir), ["x", "q"])
-    theta = F.array(0.5 + (t % 5) * 0.1, 0.2 - (i % 3) * 0.1, 0.05 * (t % 7))
+    root = F.sqrt(F.lit(2.0))
+    theta = F.array((5 + t % 5) / 10.0 * root, (2 - i % 3) / 10.0 * root, (5 * (t % 7)) / 100.0)
     return df.withColumn("theta", theta).withColumn("r", (F.pmod(t * 7 + i * 2, F.lit(11)) - 5) / 10.0).withColumn("is_train", (t + i) % 4 != 0)
 
 
@@ -525,13 +528,24 @@ _COORDS = "coords AS (SELECT unit_ix, 25.0 + (unit_ix * 7) % 23 AS lat, -120.0 +
 
 
 def distance_pairs(points: DataFrame, most_km: float) -> DataFrame:
-    """(i, j, km) within ``most_km``. Points meet only in their own and the next latitude bands, so the
-    pairs grow with the neighbours, not with the square of the points."""
+    """(i, j, km) within ``most_km``. Points meet only in their own and the neighbouring cells, so the pairs grow
+    with the neighbours, not with the square of the points. Cells are bands of latitude, cut by longitude into
+    pieces at least as wide as ``most_km`` reaches anywhere in the band and those beside it; where these come
+    within 15 degrees of a pole, a band is one cell."""
     band = most_km / 111.0
-    a = points.select(F.col("unit_ix").alias("i"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.floor(F.col("lat") / band).alias("cell"))
-    b = points.select(F.col("unit_ix").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.array(*[F.floor(F.col("lat") / band) + k for k in (-1, 0, 1)])).alias("cell"))
+    row = lambda lat: F.floor(F.col(lat) / band)
+    edge = lambda r: F.greatest(F.abs(r - 1), F.abs(r + 2)) * band
+    reach = lambda r: F.sin(F.radians(F.lit(band / 2))) / F.cos(F.radians(F.least(edge(r), F.lit(75.0))))
+    wide = lambda r: F.when(edge(r) < 75, F.degrees(2 * F.asin(F.least(reach(r), F.lit(1.0)))))
+    count = lambda r: F.coalesce(F.floor(360 / wide(r)), F.lit(1))
+    col = lambda lon, r: F.pmod(F.floor(F.pmod(F.col(lon), F.lit(360.0)) / 360 * count(r)), count(r))
+    a = points.select(F.col("unit_ix").alias("i"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), row("lat").alias("row"))
+    a = a.withColumn("col", col("lon1", F.col("row")))
+    b = points.select(F.col("unit_ix").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.array(*[row("lat") + k for k in (-1, 0, 1)])).alias("row"))
+    near = F.array_distinct(F.array(*[F.pmod(col("lon2", F.col("row")) + k, count(F.col("row"))) for k in (-1, 0, 1)]))
+    b = b.withColumn("col", F.explode(near))
     km = S.haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return a.join(b, "cell").withColumn("km", km).where(F.col("km") < most_km).select("i", "j", "km")
+    return a.join(b, ["row", "col"]).withColumn("km", km).where(F.col("km") < most_km).select("i", "j", "km")
 
 
 @query(_sql(f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {_r('km', 4)} AS km FROM km WHERE km < 1500", "panel", _COORDS))
@@ -546,6 +560,15 @@ def conley_se(spark, sf_dir):
     return _out(I.conley_se(table, pairs, n), "target", se="se")
 
 
+@query(_sql(" UNION ALL ".join(f"SELECT a.target, CAST({b} AS BIGINT) AS km, {_r(f'sqrt(greatest(sum((1 - km / {b}.0) * a.psi * a.u * b.psi * b.u), pow((SELECT n FROM size), -2)))')} AS se FROM scores a JOIN km ON km.i = a.unit_ix AND km < {b} JOIN scores b ON b.unit_ix = km.j AND a.target = b.target AND a.t_ix = b.t_ix GROUP BY 1" for b in (300, 600)), "panel", _SCORES, _COORDS))
+def geographic_se(spark, sf_dir):
+    """Standard errors under a triangular kernel of 300 and of 600 km."""
+    table, n = _scores(spark, sf_dir)
+    points = T.coordinates(T.complete_shipments(spark, sf_dir))
+    frames = [I.conley_se(table, distance_pairs(points, b).withColumn("w", 1 - F.col("km") / b), n).withColumn("km", F.lit(int(b))) for b in (300.0, 600.0)]
+    return _out(union_of(frames), "target", "km", se="se")
+
+
 _AB = "ab AS (SELECT a.t_ix, a.unit_ix, a.psi * a.u AS va, b.psi * b.u AS vb FROM scores a JOIN scores b USING (t_ix, unit_ix) WHERE a.target = 'a' AND b.target = 'b')"
 
 
@@ -683,11 +706,106 @@ def residual_fit(spark, sf_dir):
     return _out(D.residual_fit(df.join(means, "unit_ix").withColumn("r", F.col("y") - F.col("m")), "r", "y"), mean="mean", sd="sd", rmse="rmse", variance="variance", r2="r2")
 
 
-@query()
+def _share_sql(cells: str, name: str) -> tuple[str, ...]:
+    """CTEs that end in ``{name}_share(share)``: the first squared singular value over their sum, from the unit Gram
+    matrix G of ``cells`` (unit_ix, t_ix, v) as tr(G^1025) / (tr(G^1024) tr(G)), by squaring."""
+    out = [f"{name}_raw AS MATERIALIZED (SELECT a.unit_ix AS i, b.unit_ix AS j, sum(a.v * b.v) AS v FROM {cells} a JOIN {cells} b USING (t_ix) GROUP BY 1, 2)"]
+    last = f"{name}_raw"
+    for k in range(11):
+        if k:
+            out.append(f"{name}_s{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY 1, 2)")
+            last = f"{name}_s{k}"
+        out.append(f"{name}_n{k} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {last} WHERE i = j) AS v FROM {last})")
+        last = f"{name}_n{k}"
+    return (*out, f"{name}_share AS (SELECT sum(a.v * b.v) AS share FROM {name}_n0 a JOIN {last} b USING (i, j))")
+
+
+@query(_sql(f"SELECT {_r('share')} AS share FROM y_share", "panel", "yv AS (SELECT unit_ix, t_ix, y AS v FROM panel)", *_share_sql("yv", "y")))
 def first_sv_share(spark, sf_dir):
     return _out(D.first_singular_share(T.complete_shipments(spark, sf_dir), "y"), share="share")
 
 
+_TWO_WAY = "w AS (SELECT unit_ix, t_ix, y, y - avg(y) OVER (PARTITION BY unit_ix) - avg(y) OVER (PARTITION BY t_ix) + avg(y) OVER () AS v FROM panel)"
+_LAGS = " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS lag, avg(p / rr) AS autocorr FROM (SELECT sum(v * coalesce(l, 0)) AS p, sum(v * v) AS rr FROM (SELECT unit_ix, v, lag(v, {k}) OVER ({_BY_T}) AS l FROM w) GROUP BY unit_ix)" for k in range(1, 7))
+
+
+@query(
+    _sql(
+        f"""SELECT lag, {_r('autocorr')} AS autocorr, {_r('c')} AS avg_corr, {_r('mean')} AS mean, {_r('sd')} AS sd, {_r('rmse')} AS rmse, {_r('variance')} AS variance, {_r('r2')} AS r2, {_r('share')} AS share
+        FROM ({_LAGS}) CROSS JOIN (SELECT avg(c) AS c FROM (SELECT corr(a.v, b.v) AS c FROM w a JOIN w b ON a.t_ix = b.t_ix AND a.unit_ix <> b.unit_ix GROUP BY a.unit_ix, b.unit_ix))
+        CROSS JOIN (SELECT avg(v) AS mean, stddev_pop(v) AS sd, sqrt(avg(v * v)) AS rmse, var_pop(v) AS variance, 1 - var_pop(v) / var_pop(y) AS r2 FROM w) CROSS JOIN r_share""",
+        "panel",
+        _TWO_WAY,
+        *_share_sql("w", "r"),
+    )
+)
+def residual_diag(spark, sf_dir):
+    """Autocorrelations, cross correlation, fit and singular share of the two-way residual."""
+    df = T.complete_shipments(spark, sf_dir).select("unit_ix", "t_ix", "y", F.col("y").alias("v"))
+    within = P.within_frame(df, ["v"]).join(df.select("unit_ix", "t_ix", "y"), ["unit_ix", "t_ix"])
+    out = D.residual_diagnostics(within, "v", "y")
+    return _out(out, "lag", **{c: c for c in ("autocorr", "avg_corr", "mean", "sd", "rmse", "variance", "r2", "share")})
+
+
+def _adf_sql(p: int = 4) -> str:
+    names = [*[f"d{j}" for j in range(1, p + 1)], "level", "d"]
+    by = "OVER (PARTITION BY unit_ix)"
+    steps = [
+        f"a0 AS (SELECT unit_ix, t_ix, CASE WHEN min(y) {by} > 0 THEN ln(greatest(y, 1e-300)) ELSE y END AS y FROM panel)",
+        f"a1 AS (SELECT unit_ix, t_ix, y - lag(y) OVER ({_BY_T}) AS d, lag(y) OVER ({_BY_T}) AS level, row_number() OVER ({_BY_T}) AS k, count(*) {by} AS size FROM a0)",
+        f"a2 AS (SELECT unit_ix, k, size, level, d, {', '.join(f'lag(d, {j}) OVER ({_BY_T}) AS d{j}' for j in range(1, p + 1))} FROM a1)",
+        f"b0 AS (SELECT unit_ix, size, {', '.join(f'{c} - avg({c}) {by} AS {c}' for c in names)} FROM a2 WHERE k >= {p + 2})",
+    ]
+    for k in range(p):
+        own = names[k]
+        rest = ", ".join(f"{c} - {own} * coalesce(sum({own} * {c}) {by} / nullif(sum({own} * {own}) {by}, 0), 0) AS {c}" for c in names[k + 1 :])
+        steps.append(f"b{k + 1} AS (SELECT unit_ix, size, {rest} FROM b{k})")
+    steps.append(f"sums AS (SELECT unit_ix, max(size) AS size, count(*) AS n, sum(level * level) AS xx, sum(level * d) AS xd, sum(d * d) AS dd FROM b{p} GROUP BY 1)")
+    steps.append(f"stats AS (SELECT unit_ix, CASE WHEN size - 1 > {p + 8} AND xx > 0 AND dd > xd * xd / xx THEN xd / xx / sqrt((dd - xd * xd / xx) / greatest(n - {p + 2}, 1) / xx) ELSE 0.0 END AS t_stat FROM sums)")
+    return ",\n".join(steps)
+
+
+@query(_sql(f"SELECT CAST(unit_ix AS BIGINT) AS unit_ix, {_r('t_stat')} AS t_stat, t_stat > -2.86 AS unit_root FROM stats", "panel", _adf_sql()))
+def adf_tstat(spark, sf_dir):
+    out = D.adf_statistics(T.complete_shipments(spark, sf_dir), "y")
+    return out.select(F.col("unit_ix").cast("long").alias("unit_ix"), S.rounded(F.col("t_stat")).alias("t_stat"), "unit_root")
+
+
+def _companion_sql(most: int = 16) -> tuple[str, ...]:
+    lead = ", ".join(f"lead({c}, {h}) OVER ({_BY_T}) AS {c}{h}" for h in range(1, most) for c in "ab")
+    out = [f"m1 AS (SELECT *, a AS p1, b AS q1, 1.0::DOUBLE AS r1, 0.0::DOUBLE AS s1, greatest(1, ceil(ln(count(*) OVER (PARTITION BY unit_ix)))) AS horizon, {lead} FROM coef)"]
+    out += [f"m{h + 1} AS (SELECT *, a{h} * p{h} + b{h} * r{h} AS p{h + 1}, a{h} * q{h} + b{h} * s{h} AS q{h + 1}, p{h} AS r{h + 1}, q{h} AS s{h + 1} FROM m{h})" for h in range(1, most)]
+    norm = "sqrt(({0} + sqrt(greatest({0} * {0} - 4 * {1} * {1}, 0))) / 2)"
+    roots = " UNION ALL ".join(f"SELECT unit_ix, pow({norm.format(f'(p{h} * p{h} + q{h} * q{h} + r{h} * r{h} + s{h} * s{h})', f'(p{h} * s{h} - q{h} * r{h})')}, 1.0 / {h}) AS root FROM m{most} WHERE horizon >= {h} AND p{h} IS NOT NULL AND r{h} IS NOT NULL" for h in range(1, most + 1))
+    return (*out, f"roots AS ({roots})")
+
+
+@query(_sql(f"SELECT CAST(unit_ix AS BIGINT) AS unit_ix, {_r('max(root)')} AS growth, {_r('least(max(root), 0.99)')} AS persistence FROM roots GROUP BY 1", "panel", "coef AS (SELECT unit_ix, t_ix, (30 + t_ix % 7) / 100.0 AS a, (10 + 2 * (unit_ix % 5)) / 100.0 AS b FROM panel)", *_companion_sql()))
+def companion_product_norm(spark, sf_dir):
+    """Persistence of a two-lag panel by companion products."""
+    cells = T.complete_shipments(spark, sf_dir).select("unit_ix", "t_ix", ((30 + F.col("t_ix") % 7) / 100.0).alias("a"), ((10 + 2 * (F.col("unit_ix") % 5)) / 100.0).alias("b"))
+    return _out(D.companion_persistence(cells, "a", "b"), "unit_ix", growth="growth", persistence="persistence")
+
+
+def _als_sql(sweeps: int, ridge: float) -> tuple[str, ...]:
+    """Half-sweeps of a rank-one level block from factors of ones."""
+    out = ["tr AS (SELECT t_ix, unit_ix, y FROM panel WHERE (t_ix + unit_ix) % 5 <> 0)", "g0 AS (SELECT unit_ix, 1.0::DOUBLE AS g FROM units)"]
+    for k in range(sweeps):
+        out.append(f"f{k + 1} AS MATERIALIZED (SELECT t_ix, sum(y * g) / (sum(g * g) + {ridge}) AS f FROM tr JOIN g{k} USING (unit_ix) GROUP BY 1)")
+        out.append(f"g{k + 1} AS MATERIALIZED (SELECT unit_ix, sum(y * f) / (sum(f * f) + {ridge}) AS g FROM tr JOIN f{k + 1} USING (t_ix) GROUP BY 1)")
+    return tuple(out)
+
+
+@query(_sql(f"SELECT {_r('sqrt(avg((y - f * g) * (y - f * g)))')} AS rmse FROM panel JOIN f3 USING (t_ix) JOIN g3 USING (unit_ix)", "panel", *_als_sql(3, 0.02)))
+def distributed_als(spark, sf_dir):
+    """A few distributed half-sweeps of the level block on the shipments panel."""
+    df = T.complete_shipments(spark, sf_dir).select("t_ix", "unit_ix", "y", ((F.col("t_ix") + F.col("unit_ix")) % 5 != 0).alias("is_train"), F.array(F.lit(1.0)).alias("d"))
+    lam = df.select("unit_ix").distinct().withColumn("v", F.array(F.lit(1.0)))
+    f, lam = E.distributed_als(df, df.select("t_ix").distinct().withColumn("v", F.array(F.lit(1.0))), lam, 0.02, 3, 1)
+    fitted = df.join(f.withColumnRenamed("v", "f"), "t_ix").join(lam.withColumnRenamed("v", "g"), "unit_ix").withColumn("e", F.col("y") - F.col("f")[0] * F.col("g")[0])
+    return _out(fitted.agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse")), rmse="rmse")
+
+
 @query(_sql(f"SELECT j.range AS j, {_r('0.09 * pow(8300.0, 0.125) * greatest(1, ln(ln(8300.0))) * sqrt(ln(8300.0 * j.range)) / sqrt(1.0 / 100 + 1.0 / 83)')} AS penalty FROM range(4, 13) j"))
 def rank_penalty(spark, sf_dir):
     return _out(spark.range(4, 13).select(F.col("id").alias("j")), "j", penalty=S.rank_penalty(F.lit(0.09), F.lit(100.0), F.lit(83.0), F.col("j")))
@@ -750,5 +868,25 @@ def daily_panel_cells(spark, sf_dir):
     return batch_cells(T.table(spark, sf_dir, "events", "event_type", "ts"))
 
 
+_STATE_NAMES = "named AS (SELECT n_nationkey AS key, concat('City ', n_nationkey, ', ', substr(n_name, 1, 2), '-', substr(n_name, 3, 2)) AS name FROM nation)"
+
+
+@query(
+    _sql(
+        f"""SELECT state, {_r('avg(v)')} AS mean, count(*) AS n FROM (SELECT list_filter(regexp_extract_all(name, '[A-Z]{{2}}'), lambda x: x IN ('AR', 'BR', 'CA', 'IN', 'JA', 'KE', 'MO', 'UN'))[1] AS state, c_acctbal AS v
+        FROM named JOIN customer ON c_nationkey = key) WHERE state IS NOT NULL GROUP BY 1""",
+        _STATE_NAMES,
+    )
+)
+def state_lookup(spark, sf_dir):
+    """Means of customers' balances by the state that their area's name holds; areas are matched by code."""
+    nation = T.table(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    name = F.concat(F.lit("City "), F.col("n_nationkey").cast("string"), F.lit(", "), F.substring("n_name", 1, 2), F.lit("-"), F.substring("n_name", 3, 2))
+    areas = nation.select(F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("code"), name.alias("name"), F.col("n_nationkey").cast("long").alias("position"))
+    values = T.table(spark, sf_dir, "customer", "c_nationkey", "c_acctbal").select(F.col("c_nationkey").cast("string").alias("code"), F.col("c_acctbal").alias("value"))
+    out = P.state_means(values, P.state_of_codes(areas, ["AR", "BR", "CA", "IN", "JA", "KE", "MO", "UN"]))
+    return _out(out, "state", "n", mean="mean")
+
+
 def union_of(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
