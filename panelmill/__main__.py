@@ -22,7 +22,7 @@ def simulation_configs(config: dict, stage: str) -> list[dict]:
 def main(argv: list[str] | None = None) -> None:
     from panelmill.operators import estimator as E
     from panelmill.operators import montecarlo as M
-    from panelmill.plans import estimation
+    from panelmill.plans import registry
     from panelmill.sources.files import read_config, write_json
 
     parser = argparse.ArgumentParser(prog="panelmill", description=__doc__)
@@ -35,11 +35,11 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     config = read_config(args.config)
     if args.stage == "empirical":
-        for name in [args.only] if args.only else ("run_ar2", "select_ranks", "rank_robustness", "covariate_robustness"):
-            write_json(estimation.QUERIES[name](spark, args.data), f"{args.out}/{name}")
+        for name in [args.only] if args.only else ("run_ar2", "housing_specs", "unemployment_specs", "geographic_se", "state_lookup"):
+            write_json(registry.queries()[name](spark, args.data), f"{args.out}/{name}")
     elif args.stage == "theorems":
         for name in [args.only] if args.only else ("debiasing_demo", "rank_consistency", "irf_lrm_coverage", "xs_coverage", "contiguous_fold_singular"):
-            write_json(estimation.QUERIES[name](spark, args.data), f"{args.out}/{name}")
+            write_json(registry.queries()[name](spark, args.data), f"{args.out}/{name}")
     else:
         configs = [c for c in simulation_configs(config, args.stage) if not args.only or f"{c['t']}x{c['n']}" == args.only]
         tasks = E.replication_tasks(spark, configs, int(config.get(args.stage, {}).get("reps", 20)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import pandas as pd
@@ -65,3 +66,37 @@ def by_target_type(aggregates: pd.DataFrame) -> pd.DataFrame:
     """Means over blocks of each target kind."""
     kind = aggregates["target"].str.split("_").str[-1]
     return aggregates.groupby(kind)[["bias", "rmse", "coverage", "length"]].mean().reset_index()
+
+
+def console_table(aggregates: pd.DataFrame, title: str = "") -> str:
+    """Fixed-width lines of bias, errors and coverage by target, under a title and a head."""
+    columns = ("bias", "rmse", "mean_se", "sd", "coverage")
+    lines = [title] if title else []
+    lines.append(f"{'target':<20}" + "".join(f"{c:>10}" for c in columns))
+    lines += [f"{r['target']:<20}" + "".join(f"{number(float(r[c]), 4):>10}" for c in columns) for _, r in aggregates.sort_values("target").iterrows()]
+    return "\n".join(lines)
+
+
+def _setting(aggregates: pd.DataFrame, name: str) -> pd.Series:
+    return aggregates["config"].map(lambda text: json.loads(text).get(name))
+
+
+def oracle_vs_feasible(aggregates: pd.DataFrame) -> pd.DataFrame:
+    """Errors and coverage by target, with the true spaces and with estimated ones side by side."""
+    a = aggregates.assign(spaces=_setting(aggregates, "oracle").map(lambda v: "oracle" if v else "feasible"))
+    wide = a.pivot_table(index="target", columns="spaces", values=["rmse", "coverage", "length"])
+    wide.columns = [f"{value}_{spaces}" for value, spaces in wide.columns]
+    return wide.reset_index()
+
+
+def purge_table(aggregates: pd.DataFrame) -> pd.DataFrame:
+    """Mean coverage, error and length over targets for each exclusion window q."""
+    a = aggregates.assign(q=_setting(aggregates, "q"))
+    return a.groupby("q")[["coverage", "rmse", "mean_se", "length"]].mean().reset_index()
+
+
+def by_specification(reports: pd.DataFrame, quantities: tuple[str, ...] = ("lag1", "lag2", "persistence", "companion_radius")) -> pd.DataFrame:
+    """One line for each specification: its sizes and the main quantities of a specifications frame."""
+    main = reports[(reports["grp"] == "all") & (reports["section"].isin(["target", "dynamics", "sample"]))]
+    wide = main.pivot_table(index="spec", columns="quantity", values="estimate")
+    return wide.reindex(columns=["units", "periods", *quantities]).reset_index()

@@ -107,6 +107,20 @@ def centroids(spark: SparkSession, path: str, codes: DataFrame) -> DataFrame:
     return codes.join(df.dropDuplicates(["code"]), "code", "left").withColumn("matched", F.col("lat").isNotNull())
 
 
+def build_centroids(spark: SparkSession, path: str, encoding: str = "iso-8859-1") -> DataFrame:
+    """(cbsa, lat, lon) as text from a local tab-separated gazetteer; headers may carry white space. The code is
+    column CBSAFP, else GEOID; rows without a code or a coordinate are left out."""
+    df = trimmed_header(spark.read.csv(path, sep="\t", header=True, encoding=encoding))
+    by_name = {c.upper(): c for c in df.columns}
+    column = lambda *names: F.coalesce(*[F.nullif(F.trim(F.col(f"`{by_name[n]}`")), F.lit("")) for n in names if n in by_name], F.lit(None))
+    out = df.select(column("CBSAFP", "GEOID").alias("cbsa"), column("INTPTLAT").alias("lat"), column("INTPTLONG").alias("lon"))
+    return out.where("cbsa IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+
+
+def write_centroids(rows: DataFrame, path: str) -> None:
+    rows.coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
 def annual_series(spark: SparkSession, series_path: str, data_path: str, years: int, prefix: str = "LAUMT", suffix: str = "3", area: str = "B", measure: str = "03", period: str = "M13") -> DataFrame:
     """(unit, year, value) of tab-separated series and data tables: one area type and measure, annual rows,
     units seen in all ``years``; repeated names get `` #k``. Columns go by position."""

@@ -86,3 +86,20 @@ def test_geojson(spark, tmp_path):
     ring = [[0, 0], [1, 0], [1, 1], [0, 0]]
     g = {"features": [{"properties": {"name": "A"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"properties": {"name": "B"}, "geometry": {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}}]}
     assert S.geojson_rings(spark, write(tmp_path / "g.json", json.dumps(g))).count() == 12
+
+
+def test_centroids_from_a_tab_file(spark, tmp_path):
+    (tmp_path / "g.txt").write_bytes("CSAFP\tGEOID\tNAME\tINTPTLAT\tINTPTLONG   \n1\t10100\tA\t45.5\t-98.3  \n1\t\tB\t1\t2\n1\t10300\tSe\xf1or\t\t-1\n2\t 10400 \tC\t 3.5\t4\n".encode("latin1"))
+    rows = S.build_centroids(spark, str(tmp_path / "g.txt"))
+    assert sorted(map(tuple, rows.collect())) == [("10100", "45.5", "-98.3"), ("10400", "3.5", "4")]
+    S.write_centroids(rows, str(tmp_path / "out"))
+    codes = spark.createDataFrame([("10100",), ("99999",)], "code string")
+    assert {r.code: r.matched for r in S.centroids(spark, str(tmp_path / "out"), codes).collect()} == {"10100": True, "99999": False}
+
+
+def test_states_of_codes(spark):
+    from panelmill.operators import panel as P
+
+    areas = spark.createDataFrame([("00123", "Town, TX", 1), ("123", "Town, QQ-OK", 2), ("77", "Nowhere", 3)], "code string, name string, position long")
+    values = spark.createDataFrame([("0123", 1.0), ("123", 3.0), ("77", 9.0), ("5", 9.0)], "code string, value double")
+    assert [tuple(r) for r in P.state_means(values, P.state_of_codes(areas)).collect()] == [("OK", 2.0, 2)]
