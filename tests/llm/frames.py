@@ -14,7 +14,7 @@ def sample_texts(n: int = 120) -> list[tuple[int, str]]:
 
 def awkward(spark, extra: list[tuple[int, str | None]] = ()):
     """Rows of (doc_id, text, source, lang, n_chars, labels-like clashing columns): nulls, empty, blank, very long,
-    copies, ties and a repeated row."""
+    copies, ties, a repeated row, and ids that are null, negative or beyond what a double holds."""
     long = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
     rows = [
         (900_001, None),
@@ -27,6 +27,12 @@ def awkward(spark, extra: list[tuple[int, str | None]] = ()):
         (900_008, _SENTENCE + " " + _SENTENCE.lower()),
         (900_009, "naïve café — 日本語 \U0001f600 é x y"),
         (900_010, "a" * 50_000),
+        (None, _SENTENCE + " " + _SENTENCE.lower()),
+        (None, None),
+        (None, "mail x.y@z.example.org or password = hunter2222 of nobody " + _SENTENCE[::-1]),
+        (-7, "a negative id " + _SENTENCE),
+        (2**53 + 1, "large ids one " + _SENTENCE.upper()),
+        (2**62 + 3, "large ids two 10.0.0.7 " + _SENTENCE.upper()),
         *extra,
     ]
     rows.append(rows[6])

@@ -1,7 +1,9 @@
 """Operators over the whole corpus against brute force."""
 
 import hashlib
+import itertools
 import random
+import zlib
 from collections import Counter
 
 import frames
@@ -50,23 +52,51 @@ def test_near_duplicates_equal_brute_force(spark, width, percent):
                 root[find(a)] = find(b)
     least: dict = {}
     for k, (i, _) in enumerate(rows):
-        least[find(k)] = min(least.get(find(k), i), i)
+        least[find(k)] = min((x for x in (least.get(find(k)), i) if x is not None), default=None)
     assert got == Counter((i, len(sets[k]), least[find(k)], i == least[find(k)]) for k, (i, _) in enumerate(rows))
+    groups = Counter(find(k) for k in range(len(rows)) if sets[k])
+    kept = near_dedup.without_near_duplicates(df, width, percent)
+    assert kept.columns == df.columns
+    out = kept.select("doc_id", "text").collect()
+    assert Counter(r.doc_id for r in out) == Counter(least[g] for g in groups) + Counter(i for k, (i, _) in enumerate(rows) if not sets[k])
     assert near_dedup.near_duplicates(frames.empty(spark)).count() == 0
 
 
-def test_leftover_blocks_find_links_that_centres_miss(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "CENTRES", 1)
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    monkeypatch.setattr(near_dedup, "MEMBERS", 5)
+@pytest.mark.parametrize("hot", [16_000_000, 0])
+def test_leftover_blocks_find_links_that_centres_miss(spark, monkeypatch, hot):
     rows = near_copies(40, 9)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    few = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 3, 85).collect()}
-    monkeypatch.undo()
     many = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 3, 85).collect()}
+    monkeypatch.setattr(near_dedup, "CENTRES", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    few = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 3, 85).collect()}
     assert few == many
 
 
+def test_variants_of_a_template_leave_the_grid(spark, monkeypatch):
+    """Each has its own words, so none can be linked; they share buckets, and are not compared."""
+    rnd = random.Random(4)
+    base = [f"term{rnd.randint(0, 4000)}" for _ in range(200)]
+    rows = [(k, " ".join(f"own{k}x{j}" if (j + k) % 12 == 0 else w for j, w in enumerate(base))) for k in range(120)]
+    monkeypatch.setattr(near_dedup, "HOT", 0)
+    sets = [s.tobytes() for s in near_dedup.shingle_sets([t for _, t in rows], 3)]
+    sizes = [len(s) // 8 for s in sets]
+    profiles = spark.createDataFrame([(k, bytearray(s), n) for k, (s, n) in enumerate(zip(sets, sizes, strict=True))], "rep long, items binary, n_shingles long")
+    kept = spark.createDataFrame([(5, k, k, k > 0, 120, 119) for k in range(120)], "band long, rep long, comp long, outside boolean, n long, n_outside long")
+    assert near_dedup._thinned(kept, profiles, 0.85).count() == 0
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert out.where("kept").count() == 120
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, text, "a"), (3, text, "b"), (3, text + " more", "c"), (None, text, "d"), (None, "only here " * 9, "e"), (None, "only here " * 9, "f"), (4, None, "g"), (4, None, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_id string")
+    got = Counter((r.doc_id, bool(r.text)) for r in near_dedup.without_near_duplicates(df).collect())
+    assert got == Counter({(3, True): 1, (None, True): 1, (4, False): 2})
+
+
 def test_likelihood_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 1500).astype(np.uint64)
@@ -111,8 +141,23 @@ def test_substrings_equal_brute_force(spark):
     assert substring.without_repeats(frames.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("fan", [4, 1])
+def test_blobs_dealt_twice_give_the_same_hot_blocks(spark, monkeypatch, fan):
+    texts = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(frames.sample_texts(60) * 2)], "doc_id long, text string")
+    want = {r.hash for r in substring.hot_blocks(texts, 4).collect()}
+    monkeypatch.setattr(substring, "FAN", fan)
+    monkeypatch.setattr(substring, "GATHER", 500)
+    assert want and {r.hash for r in substring.hot_blocks(texts, 16).collect()} == want
+
+
+def test_windows_of_equal_first_hash_are_told_apart():
+    h, g = np.array([7, 7, 7, 9], np.uint64), np.array([1, 2, 1, 1], np.uint64)
+    by, first, which = substring._distinct(h, g)
+    assert by.tolist() == [0, 2, 1, 3] and first.tolist() == [0, 2, 3] and which.tolist() == [0, 0, 1, 2]
+
+
 def test_packing_round_trip():
-    for values in ([5], [1, 2, 2**40, 2**63], list(range(100))):
+    for values in ([5], [1, 2, 2**40, 2**63], list(range(100)), [3, 3 + 2**48], [3, 3 + 2**47, 2**48]):
         v = np.array(values, np.uint64)
         assert substring.unpack(substring.pack(v)).tolist() == values
 
@@ -133,6 +178,8 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     items = spark.createDataFrame([(i, t, "x") for i, t in ITEMS] + [(99, None, "x"), (98, "", "x")], "item_id long, text string, doc_id string")
     df, rows = frames.awkward(spark, exact + edited + frames.sample_texts(60))
     found = {(r.doc_id, r.item_id): r.edits for r in decontaminate.leaks(df, items).collect()}
+    beside = decontaminate.leaks(df.unionByName(spark.createDataFrame([(None, ITEMS[3][1])], "doc_id long, text string"), allowMissingColumns=True), items).where("doc_id is null")
+    assert [r.item_id for r in beside.collect()] == [3]
     assert all(found.get((950_000 + k, k)) == 0 for k, _ in ITEMS)
     assert sum((960_000 + k, k) in found for k, _ in ITEMS) >= 0.9 * len(ITEMS)
     assert all(e <= 0.2 * (14 + i) for (_, i), e in found.items()) and all(d >= 950_000 for d, _ in found)
@@ -168,6 +215,23 @@ def test_every_item_within_the_edits_allowed_is_found():
     assert all((k, k) in found for k in range(len(items)))
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_walks_alone_reach_the_target_recall(share):
+    rnd = random.Random(13)
+    made = [[f"v{rnd.randrange(400)}" for _ in range(rnd.randint(15, 63))] for _ in range(200)]
+    items = decontaminate.Items(list(range(200)), [" ".join(w) for w in made])
+    items.pieces = []
+    texts = []
+    for w in made:
+        w = list(w)
+        for _ in range(int(share * len(w))):
+            kind, at = rnd.randrange(3), rnd.randrange(len(w))
+            w[at : at + (kind != 1)] = [] if kind == 0 else [f"z{rnd.randrange(10**6)}"]
+        texts.append(" ".join([f"f{rnd.randrange(500)}" for _ in range(20)] + w + [f"f{rnd.randrange(500)}" for _ in range(20)]))
+    found = {(t, k) for t, k, *_ in items.find(texts)}
+    assert sum((k, k) in found for k in range(200)) >= decontaminate.TARGET * 200
+
+
 def test_edit_distance_by_hand():
     item = np.array([1, 2, 3, 4, 5])
     assert decontaminate.edit_distance(item, np.array([9, 1, 2, 3, 4, 5, 9])) == (0, 6)
@@ -199,6 +263,8 @@ def test_toxicity_separates_held_out_rows_and_hidden_words(spark):
     got = pd.DataFrame([r.asDict() for r in toxicity.scored(df, lab).collect()])
     assert len(got) == len(all_rows) and got.score.between(0, 1).all()
     assert (got.predicted == (got.score >= 0.5)).all()
+    ids = Counter((r.doc_id, r.held_out) for r in toxicity.scored(df, lab).select("doc_id", "held_out").collect())
+    assert ids == Counter((i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in all_rows)
     own = got[got.doc_id < 600].merge(pd.DataFrame(labels, columns=["doc_id", "toxic"]).drop_duplicates("doc_id"), on="doc_id")
     held = own[own.held_out]
     assert len(held) > 60 and ((held.score >= 0.5) == held.toxic).mean() > 0.97
@@ -222,6 +288,38 @@ def test_hidden_words_are_read(hidden, word):
     assert scorer.score(hidden) > 0.5 and scorer.score("the people of class ball 12 off") < 0.5
 
 
+def test_decoding_finds_the_cheapest_path_of_a_lattice():
+    """Against every path of small lattices."""
+    counts = toxicity.trigram_counts(["the stupid idiot ass fool am in a mad class of people " * 50]).reshape(27, 27, 27) + 0.1
+    model = np.log(counts / counts.sum(axis=2, keepdims=True)).astype(np.float32).tolist()
+
+    def cost(emits, prices):
+        a = b = 0
+        total = sum(prices)
+        for c in "".join(emits):
+            z = ord(c) - 96 if "a" <= c <= "z" else 0
+            total -= model[a][b][z]
+            a, b = b, z
+        return total - model[a][b][0]
+
+    for token in ("st*p!d", "1d10t", "a$$", "f00l", "m4d", "cl*ss", "i.d.1.o.t", "aaass", "|*+"):
+        steps = toxicity.lattice(token)
+        paths = [cost([e for e, _ in p], [x for _, x in p]) for p in itertools.product(*steps)]
+        word = toxicity.restore(token, model)
+        mine = min(cost([e for e, _ in p], [x for _, x in p]) for p in itertools.product(*steps) if "".join(e for e, _ in p) == word)
+        assert abs(mine - min(paths)) < 1e-6, token
+
+
+def test_training_sample_is_bounded_and_agrees_with_the_whole(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TRAIN", 50)
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(2000)] + [(7, "text 0")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(2000)] + [(8, 1), (8, 0), (None, 1)], "doc_id long, toxic int")
+    got = [r.text for r in toxicity._training_rows(docs, labels).collect()]
+    held = {k for k in range(2000) if zlib.crc32(str(k).encode()) % 5 == 0}
+    order = [r.k for r in spark.range(2000).selectExpr("id AS k", "xxhash64(id) AS h").orderBy("h", "k").collect() if r.k not in held]
+    assert sorted(got) == sorted("text 0" if k == 7 else f"text {k}" for k in order[:50])
+
+
 def test_toxicity_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     df, rows = frames.awkward(spark)
