@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmill.operators.quantiles import quantiles
+
 
 def _order():
     return Window.partitionBy("unit_ix").orderBy("t_ix")
@@ -36,8 +38,9 @@ def average_cross_correlation(panel: DataFrame, value: str) -> DataFrame:
 
 def quantile_stats(table: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Mean, population sd and exact 5, 50, 95 % quantiles."""
-    q = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = table.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), q.alias("q"))
+    q = quantiles(table, value, (0.05, 0.5, 0.95), by)
+    out = table.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+    out = out.join(F.broadcast(q), by, "left") if by else out.join(F.broadcast(q), F.lit(True), "left")
     return out.select(*by, "mean", "sd", F.col("q")[0].alias("q05"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q95"))
 
 
@@ -49,7 +52,7 @@ def heterogeneity(table: DataFrame, value: str, group: str) -> DataFrame:
 
 def histogram(table: DataFrame, value: str, bins: int = 40, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Counts in equal bins between two quantiles; outside values go, the last bin is closed."""
-    edges = table.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("e")).select(F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
+    edges = quantiles(table, value, (low, high)).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     x = table.crossJoin(F.broadcast(edges)).where(F.col(value).between(F.col("lo"), F.col("hi")))
     bin_ = F.least(F.floor(F.try_divide((F.col(value) - F.col("lo")) * bins, F.col("hi") - F.col("lo"))), F.lit(bins - 1)).cast("int")
     counts = x.groupBy(F.coalesce(bin_, F.lit(0)).alias("bin")).agg(F.count("*").alias("n"))

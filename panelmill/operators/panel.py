@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.functions import scalars as S
+from panelmill.operators.quantiles import quantiles
 
 
 def _unit():
@@ -79,8 +80,8 @@ def standardized(value: str) -> Column:
 
 def winsorized_zscore(panel: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Clip at pooled percentiles, then pooled z-score; one-row statistics are broadcast."""
-    cut = panel.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_p"))
-    clipped = panel.crossJoin(F.broadcast(cut)).withColumn(value, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("_p")[0]), F.col("_p")[1]))).drop("_p")
+    cut = quantiles(panel, value, (low, high)).withColumnRenamed("q", "_p")
+    clipped = panel.join(F.broadcast(cut), F.lit(True), "left").withColumn(value, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("_p")[0]), F.col("_p")[1]))).drop("_p")
     stats = clipped.agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     return clipped.crossJoin(F.broadcast(stats)).withColumn(value, (F.col(value) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).drop("_m", "_s")
 
@@ -88,8 +89,8 @@ def winsorized_zscore(panel: DataFrame, value: str, low: float = 0.01, high: flo
 def median_split(panel: DataFrame, value: str) -> DataFrame:
     """unit_ix, unit mean, and the label ``high`` where the mean lies strictly above the median mean."""
     means = panel.groupBy("unit_ix").agg(F.avg(value).alias("unit_mean"))
-    middle = means.agg(F.median("unit_mean").alias("middle"))
-    return means.crossJoin(F.broadcast(middle)).select("unit_ix", "unit_mean", F.when(F.col("unit_mean") > F.col("middle"), "high").otherwise("low").alias("grp"))
+    middle = quantiles(means, "unit_mean", (0.5,)).select(F.col("q")[0].alias("middle"))
+    return means.join(F.broadcast(middle), F.lit(True), "left").select("unit_ix", "unit_mean", F.when(F.col("unit_mean") > F.col("middle"), "high").otherwise("low").alias("grp"))
 
 
 def pct_change(value: str, k: int) -> Column:
