@@ -263,7 +263,7 @@ def irf_coverage(tasks: DataFrame, horizons: tuple[int, ...] = (1, 2, 4)) -> Dat
                 rows.append((config, int(rep), "lrm", int(abs(1 / (1 - a) - 1 / (1 - truth)) <= Z95 * se / (1 - a) ** 2)))
             yield pd.DataFrame(rows, columns=["config", "rep", "quantity", "hit"])
 
-    return tasks.repartition(8, "config", "rep").mapInPandas(run, "config string, rep long, quantity string, hit int")
+    return tasks.repartition(max(8, 2 * tasks.sparkSession.sparkContext.defaultParallelism), "config", "rep").mapInPandas(run, "config string, rep long, quantity string, hit int")
 
 
 def rank_choices(tasks: DataFrame, caps: tuple[int, int, int] = (2, 2, 2), c: float = 0.03) -> DataFrame:
@@ -293,7 +293,7 @@ def rank_choices(tasks: DataFrame, caps: tuple[int, int, int] = (2, 2, 2), c: fl
                 rows.append((config, int(rep), str(best), int(best == (1, 1, 1))))
             yield pd.DataFrame(rows, columns=["config", "rep", "ranks", "hit"])
 
-    return tasks.repartition(8, "config", "rep").mapInPandas(run, "config string, rep long, ranks string, hit int")
+    return tasks.repartition(max(8, 2 * tasks.sparkSession.sparkContext.defaultParallelism), "config", "rep").mapInPandas(run, "config string, rep long, ranks string, hit int")
 
 
 def information_map(spark: SparkSession, t: int, n: int, folds: int, q: int, scheme: str, radius: int = 0, seed: int = 1) -> DataFrame:

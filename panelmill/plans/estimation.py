@@ -18,6 +18,7 @@ from panelmill.operators import linear as L
 from panelmill.operators import montecarlo as M
 from panelmill.operators import panel as P
 from panelmill.plans import applications as A
+from panelmill.plans import relational as R
 from panelmill.sources import tables as T
 
 QUERIES: dict = {}
@@ -52,24 +53,49 @@ def fit_factor_ridge(spark, sf_dir):
     return cells.groupBy("j", "block").agg(F.avg("value").alias("mean"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"), F.count("*").alias("n_cells"))
 
 
+_AR = """st AS (SELECT unit_ix, t_ix, (y - avg(y) OVER u) / CASE WHEN stddev_pop(y) OVER u > 0 THEN stddev_pop(y) OVER u ELSE 1 END AS y,
+    (x - avg(x) OVER u) / CASE WHEN stddev_pop(x) OVER u > 0 THEN stddev_pop(x) OVER u ELSE 1 END AS x FROM panel WINDOW u AS (PARTITION BY unit_ix)),
+    ar AS (SELECT * FROM (SELECT unit_ix, t_ix, y, lag(y) OVER o AS l, lag(x) OVER o AS c, row_number() OVER o AS k FROM st WINDOW o AS (PARTITION BY unit_ix ORDER BY t_ix)) WHERE k > 1)"""
+
+
 @query
 def warm_start(spark, sf_dir):
-    def run(pdf):
-        y, z = E._dense(pdf)
+    """Norms of the first factors of every block's share of the outcome."""
+
+    def run(y, z, _):
         f, g = K.warm_factors(y, z, (1, 1, 1), np.ones(y.shape, bool))
         return pd.DataFrame({"block": range(3), "norm_f": np.linalg.norm(f, axis=0), "norm_g": np.linalg.norm(g, axis=0)})
 
-    return ar_panel(spark, sf_dir).groupBy(F.lit(0).alias("k")).applyInPandas(run, "block int, norm_f double, norm_g double")
+    out = E.run_tasks(ar_panel(spark, sf_dir), [None], run, "block long, norm_f double, norm_g double")
+    return out.select("block", S.rounded(F.col("norm_f")).alias("norm_f"), S.rounded(F.col("norm_g")).alias("norm_g"))
+
+
+_PARTS = {f"w{b}": f"w{b} AS (SELECT unit_ix, t_ix, {d} * y / (l * l + c * c + 1 + 0.001) AS v FROM ar)" for b, d in enumerate(("l", "c", "1"))}
+ORACLE_SQL["warm_start"] = R._sql(
+    " UNION ALL ".join(f"SELECT CAST({b} AS BIGINT) AS block, round(pow(v, 0.25), 6) + 0.0 AS norm_f, round(pow(v, 0.25), 6) + 0.0 AS norm_g FROM w{b}_l1" for b in range(3)),
+    "panel",
+    _AR,
+    *(c for name, part in _PARTS.items() for c in (part, *R.spectrum_sql(name, name))),
+)
 
 
 @query
 def block_svd(spark, sf_dir):
-    def run(pdf):
-        y, _ = E._dense(pdf)
-        s = np.linalg.svd(y, compute_uv=False)
-        return pd.DataFrame({"k": range(3), "singular_value": s[:3]})
+    """The three largest singular values of the outcome."""
+
+    def run(y, z, _):
+        return pd.DataFrame({"k": range(3), "singular_value": np.linalg.svd(y, compute_uv=False)[:3]})
+
+    return E.run_tasks(ar_panel(spark, sf_dir), [None], run, "k long, singular_value double").select("k", S.rounded(F.col("singular_value")).alias("singular_value"))
+
 
-    return ar_panel(spark, sf_dir).groupBy(F.lit(0).alias("g")).applyInPandas(run, "k int, singular_value double")
+ORACLE_SQL["block_svd"] = R._sql(
+    " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, round(sqrt(v), 6) + 0.0 AS singular_value FROM y_l{k + 1}" for k in range(3)),
+    "panel",
+    _AR,
+    "yv AS (SELECT unit_ix, t_ix, y AS v FROM ar)",
+    *R.spectrum_sql("yv", "y", 3),
+)
 
 
 def _scores(spark, sf_dir, tuning=SMALL, lags=1) -> DataFrame:
@@ -210,7 +236,7 @@ def purge_sweep(spark, sf_dir):
 
 @query
 def debiasing_demo(spark, sf_dir):
-    out = _summary(E.run_grid(E.replication_tasks(spark, [BASE], 8))).where("target = 'lag_entry'")
+    out = _summary(E.run_grid(E.replication_tasks(spark, [BASE], 80))).where("target = 'lag_entry'")
     return out.select("target", "reps", "plugin_bias", "bias", "coverage")
 
 
@@ -222,12 +248,12 @@ def rank_consistency(spark, sf_dir):
 
 @query
 def irf_lrm_coverage(spark, sf_dir):
-    return E.irf_coverage(E.replication_tasks(spark, [BASE], 6)).groupBy("quantity").agg(F.avg("hit").alias("coverage"), F.count("*").alias("reps"))
+    return E.irf_coverage(E.replication_tasks(spark, [BASE], 60)).groupBy("quantity").agg(F.avg("hit").alias("coverage"), F.count("*").alias("reps"))
 
 
 @query
 def xs_coverage(spark, sf_dir):
-    out = _summary(E.run_grid(E.replication_tasks(spark, [BASE | {"noise": "xs"}], 6)))
+    out = _summary(E.run_grid(E.replication_tasks(spark, [BASE | {"noise": "xs"}], 60)))
     return out.select("target", "reps", "coverage", "coverage_xs")
 
 

@@ -706,18 +706,28 @@ def residual_fit(spark, sf_dir):
     return _out(D.residual_fit(df.join(means, "unit_ix").withColumn("r", F.col("y") - F.col("m")), "r", "y"), mean="mean", sd="sd", rmse="rmse", variance="variance", r2="r2")
 
 
+def spectrum_sql(cells: str, name: str, count: int = 1, squarings: int = 12) -> tuple[str, ...]:
+    """CTEs up to ``{name}_l1(v)``, ``{name}_l2(v)`` and so on: the largest squared singular values of ``cells``
+    (unit_ix, t_ix, v), and ``{name}_sum(v)``, the sum of all. A normalised power of the unit Gram matrix, made by
+    squaring, is the projector on its first eigenvector, which is then taken out."""
+    out = [f"{name}_g1 AS MATERIALIZED (SELECT a.unit_ix AS i, b.unit_ix AS j, sum(a.v * b.v) AS v FROM {cells} a JOIN {cells} b USING (t_ix) GROUP BY 1, 2)"]
+    out.append(f"{name}_sum AS (SELECT sum(v) AS v FROM {name}_g1 WHERE i = j)")
+    for c in range(1, count + 1):
+        last = f"{name}_g{c}"
+        for k in range(squarings + 1):
+            if k:
+                out.append(f"{name}_s{c}_{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY 1, 2)")
+                last = f"{name}_s{c}_{k}"
+            out.append(f"{name}_n{c}_{k} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {last} WHERE i = j) AS v FROM {last})")
+            last = f"{name}_n{c}_{k}"
+        out.append(f"{name}_l{c} AS MATERIALIZED (SELECT sum(a.v * b.v) AS v FROM {name}_g{c} a JOIN {last} b USING (i, j))")
+        out.append(f"{name}_g{c + 1} AS MATERIALIZED (SELECT a.i, a.j, a.v - (SELECT v FROM {name}_l{c}) * b.v AS v FROM {name}_g{c} a JOIN {last} b USING (i, j))")
+    return tuple(out)
+
+
 def _share_sql(cells: str, name: str) -> tuple[str, ...]:
-    """CTEs that end in ``{name}_share(share)``: the first squared singular value over their sum, from the unit Gram
-    matrix G of ``cells`` (unit_ix, t_ix, v) as tr(G^1025) / (tr(G^1024) tr(G)), by squaring."""
-    out = [f"{name}_raw AS MATERIALIZED (SELECT a.unit_ix AS i, b.unit_ix AS j, sum(a.v * b.v) AS v FROM {cells} a JOIN {cells} b USING (t_ix) GROUP BY 1, 2)"]
-    last = f"{name}_raw"
-    for k in range(11):
-        if k:
-            out.append(f"{name}_s{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY 1, 2)")
-            last = f"{name}_s{k}"
-        out.append(f"{name}_n{k} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {last} WHERE i = j) AS v FROM {last})")
-        last = f"{name}_n{k}"
-    return (*out, f"{name}_share AS (SELECT sum(a.v * b.v) AS share FROM {name}_n0 a JOIN {last} b USING (i, j))")
+    """CTEs that end in ``{name}_share(share)``: the first squared singular value over their sum."""
+    return (*spectrum_sql(cells, name), f"{name}_share AS (SELECT a.v / b.v AS share FROM {name}_l1 a CROSS JOIN {name}_sum b)")
 
 
 @query(_sql(f"SELECT {_r('share')} AS share FROM y_share", "panel", "yv AS (SELECT unit_ix, t_ix, y AS v FROM panel)", *_share_sql("yv", "y")))
