@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelmill.llm import bpe, decontaminate, near_dedup, pii, toxicity
-from panelmill.llm.common import table, written
+from panelmill.llm.common import drop_since, drop_written, made, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the whole of ``documents``."""
+    """All stages in order over the whole of ``documents``; what a stage read and made besides is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        mark = made(spark)
+        out = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_since(spark, mark, out)
+        drop_written(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
