@@ -8,15 +8,16 @@ join, base spans stay as they are, and a decoded span that meets one or lacks it
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from panelmill.llm import bilstm
-from panelmill.llm.common import sha_hex, slices, span_digest, table, text_or_empty
+from panelmill.llm.common import map_batches, sha_hex, slices, span_digest, table, text_or_empty, texts_of
 
 KINDS = {"email": 0, "ip": 1, "card": 2, "phone": 3}
 TAGS = 5  # outside, then the kinds
@@ -313,17 +314,26 @@ _LETTERS = re.compile(r"[^\W\d_]")
 
 
 def reconciled(text: str, runs: list[tuple[int, int, int]]) -> tuple[list, list]:
-    """(base spans, all spans): decoded runs are trimmed, checked, and give way to base spans."""
+    """(base spans, all spans): decoded runs, in order and apart, are trimmed, checked, and give way to base spans."""
     base = base_spans(text)
     spans = list(base)
+    starts, ends = [], []  # of the base spans' union, in order
+    for _, a, b in sorted(base, key=lambda x: x[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for tag, s, e in runs:
         while s < e and not (text[s].isalnum() or text[s] in "+(["):
             s += 1
         while e > s and not (text[e - 1].isalnum() or text[e - 1] in ")]"):
             e -= 1
         whole = (s == 0 or not text[s - 1].isalnum()) and (e == len(text) or not text[e].isalnum())
-        if whole and e > s and plausible(_NAMES[tag], text[s:e]) and all(e <= a or s >= b for _, a, b in spans):
-            spans.append((_NAMES[tag], s, e))
+        if whole and e > s:
+            k = bisect.bisect_left(starts, e)
+            if (k == 0 or ends[k - 1] <= s) and plausible(_NAMES[tag], text[s:e]):
+                spans.append((_NAMES[tag], s, e))
     return base, spans
 
 
@@ -336,38 +346,34 @@ def _found(texts: list[str], tagger: Tagger):
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, their digest and all spans, one row for each row of ``docs``.
 
-    Null and empty texts have no spans. Repeated rows give repeated results; extra columns are ignored.
+    Null and empty texts have no spans; a null doc_id stays null. Repeated rows give repeated results;
+    extra columns are ignored.
     """
     params = trained()
 
-    def run(batches):
-        tagger = Tagger(params)
-        for pdf in batches:
-            rows = []
-            for base, spans in _found(list(pdf["text"]), tagger):
-                counts = [sum(k == kind for k, _, _ in base) for kind in KINDS]
-                rows.append((*counts, sha_hex(span_digest(base, KINDS).encode()), span_digest(spans, KINDS)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
+    def run(batch, tagger):
+        rows = []
+        for base, spans in _found(texts_of(batch), tagger):
+            counts = [sum(k == kind for k, _, _ in base) for kind in KINDS]
+            rows.append((*counts, sha_hex(span_digest(base, KINDS).encode()), span_digest(spans, KINDS)))
+        yield batch.column("doc_id"), *(zip(*rows, strict=True) if rows else [()] * 6)
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_batches(docs.select("doc_id", text_or_empty().alias("text")), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", lambda: Tagger(params))
 
 
 def masked(docs: DataFrame) -> DataFrame:
     """``docs``, all columns kept, with each span of ``text`` replaced by its kind in angle brackets.
 
     Overlapping spans are masked together under the first one's kind; ``n_chars``, if there, is
-    counted anew for changed texts. Null texts stay null.
+    counted anew for changed texts. Null texts, and all other columns, stay as they are.
     """
     params = trained()
 
     def run(batches):
         tagger = Tagger(params)
-        for pdf in batches:
-            texts = ["" if t is None or t != t else t for t in pdf["text"]]
-            out, counted = list(pdf["text"]), "n_chars" in pdf.columns
-            sizes = list(pdf["n_chars"]) if counted else []
+        for batch in batches:
+            texts, out = texts_of(batch), batch.column("text").to_pylist()
+            sizes = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else None
             for i, (_, spans) in enumerate(_found(texts, tagger)):
                 if not spans:
                     continue
@@ -377,12 +383,13 @@ def masked(docs: DataFrame) -> DataFrame:
                         pieces += [texts[i][at:s], f"<{kind}>"]
                     at = max(at, e)
                 out[i] = "".join(pieces) + texts[i][at:]
-                if counted:
+                if sizes:
                     sizes[i] = len(out[i])
-            pdf = pdf.assign(text=out)
-            yield pdf.assign(n_chars=sizes) if counted else pdf
+            new = {"text": out} | ({"n_chars": sizes} if sizes else {})
+            columns = [pa.array(new[f.name], f.type) if f.name in new else batch.column(k) for k, f in enumerate(batch.schema)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
