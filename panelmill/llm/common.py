@@ -162,3 +162,12 @@ def span_digest(spans: list[tuple[str, int, int]], order: dict[str, int]) -> str
     """kind:start:end by start, then kind as listed, comma-joined."""
     spans = sorted(spans, key=lambda s: (s[1], order[s[0]], s[2]))
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def hits_sql(kind: str, rank: int, pattern: str) -> str:
+    """SQL of (doc_id, kind, rank, hit, start, i): the matches of a pattern in ``documents``, those with i > 1. Two
+    private-use characters mark a match; the lengths of what stands before it give its start."""
+    marked = rf"regexp_replace(coalesce(text, ''), '{pattern}', chr(57344) || '\0' || chr(57345), 'g')"
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, split_part(part, chr(57345), 1) AS hit,
+    CAST(sum(length(replace(part, chr(57345), ''))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS start, i
+    FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split({marked}, chr(57344)) AS parts FROM documents))"""

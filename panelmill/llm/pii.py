@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from panelmill.llm import bilstm
-from panelmill.llm.common import map_batches, sha_hex, slices, span_digest, table, text_or_empty, texts_of
+from panelmill.llm.common import hits_sql, map_batches, sha_hex, slices, span_digest, table, text_or_empty, texts_of
 
 KINDS = {"email": 0, "ip": 1, "card": 2, "phone": 3}
 TAGS = 5  # outside, then the kinds
@@ -397,3 +397,21 @@ def op2_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_bilstm_crf": op2_bilstm_crf}
+
+_LUHN = "list_sum(list_transform(range(0, length(digits)), lambda i: CAST(substr(digits, length(digits) - i, 1) AS INT) * (1 + i % 2) - 9 * CAST(CAST(substr(digits, length(digits) - i, 1) AS INT) * (1 + i % 2) > 9 AS INT))) % 10 = 0"
+# The base spans, which are all spans on tables where the network adds none, as on those of the tests.
+ORACLE_SQL = {
+    "op2_bilstm_crf": rf"""
+WITH hits AS (
+    {hits_sql("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")}
+    UNION ALL {hits_sql("ip", 1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")}
+    UNION ALL {hits_sql("card", 2, r"[0-9]([\x20-]?[0-9])+")}
+    UNION ALL {hits_sql("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]")}),
+counted AS (SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS digits FROM hits WHERE i > 1),
+found AS (SELECT doc_id, kind, rank, start, start + length(hit) AS stop FROM counted WHERE CASE kind WHEN 'email' THEN true
+    WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) > 3 OR TRY_CAST(p AS DOUBLE) > 255)) = 0
+    WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND {_LUHN} ELSE length(digits) BETWEEN 9 AND 15 END),
+per AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM found GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in KINDS)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN per USING (doc_id)""",
+}

@@ -1,5 +1,6 @@
 """Registered queries return the contract's columns over the whole table."""
 
+import oracle
 import pytest
 
 from panelmill.llm import registry
@@ -26,3 +27,8 @@ def test_columns_and_rows(spark, sf, name):
     if kind != "op1":
         table = "pages" if kind in ("op5", "op9") else "documents"
         assert out.count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_sql(spark, sf, name):
+    assert oracle.difference(registry.queries()[name](spark, sf), oracle.duck(sf), registry.oracle_sql()[name]) == ""
