@@ -18,12 +18,11 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from panelmill.llm.common import sha_hex, slices, table, text_or_empty
+from panelmill.llm.common import map_batches, sha_hex, slices, table, text_or_empty, texts_of
 
 WORD_TABLE_ROWS = 250_000
 SLICE = 6_000_000
@@ -295,34 +294,29 @@ class Encoder:
 def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids, and digests of the ids and of the bytes decoded from them.
 
-    A null or empty text has no ids. Repeated rows give repeated results; other columns are ignored.
+    A null or empty text has no ids; a null doc_id stays null. Repeated rows give repeated results; other
+    columns are ignored.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-    def run(batches):
-        encoder = Encoder(path)
-        for pdf in batches:
-            doc_ids, texts = pdf["doc_id"].to_numpy(), list(pdf["text"])
-            for a, b in slices(texts, SLICE):
-                rows = [(len(p) // 4, np.frombuffer(p, "<u4").view(np.int32), sha_hex(p), sha_hex(d)) for p, d in encoder.encode_many(texts[a:b])]
-                out = pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
-                out.insert(0, "doc_id", doc_ids[a:b])
-                yield out
+    def run(batch, encoder):
+        texts = texts_of(batch)
+        for a, b in slices(texts, SLICE):
+            made = list(encoder.encode_many(texts[a:b]))
+            yield batch.column("doc_id").slice(a, b - a), [len(p) // 4 for p, _ in made], [np.frombuffer(p, "<i4") for p, _ in made], [sha_hex(p) for p, _ in made], [sha_hex(d) for _, d in made]
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", text_or_empty().alias("text")), run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string", lambda: Encoder(path))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Counts and hashes of the ids and of the bytes decoded from them, one row for each input row."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-    def run(batches):
-        encoder = Encoder(path)
-        for pdf in batches:
-            rows = [(len(p) // 4, sha_hex(p), sha_hex(d)) for p, d in encoder.encode_many(list(pdf["text"]))]
-            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])], axis=1)
+    def run(batch, encoder):
+        rows = [(len(p) // 4, sha_hex(p), sha_hex(d)) for p, d in encoder.encode_many(texts_of(batch))]
+        yield batch.column("doc_id"), *(zip(*rows, strict=True) if rows else [()] * 3)
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, ENCODED)
+    return map_batches(docs.select("doc_id", text_or_empty().alias("text")), run, ENCODED, lambda: Encoder(path))
 
 
 def op3_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
