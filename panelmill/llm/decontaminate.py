@@ -66,7 +66,7 @@ def walk_keys(hashes: np.ndarray, size: int, repeat: int) -> np.ndarray:
     edges = np.linspace(0, steps, min(SAMPLES, steps) + 1).astype(int)
     sampled = {int(rng.integers(a, b)) for a, b in zip(edges, edges[1:], strict=False) if b > a}
     n = len(hashes)
-    salt = np.uint64(rng.integers(1, 2**63))
+    salt = int(rng.integers(1, 2**63))
     symbol = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
     key = np.zeros(n + 1, np.uint32)
     move, other = np.empty(n, np.int32), np.empty(n, np.uint32)
@@ -74,7 +74,7 @@ def walk_keys(hashes: np.ndarray, size: int, repeat: int) -> np.ndarray:
     bits = None
     for j in range(max(sampled), -1, -1):
         if bits is None or j % 32 == 31:
-            bits = (mix(hashes + salt * np.uint64(j // 32 + 1)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            bits = (mix(hashes + np.uint64(salt * (j // 32 + 1) % 2**64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         # all ones where the walk moves on, else all zeros; selecting by mask stays in SIMD registers
         np.left_shift(bits, 31 - j % 32, out=move)
         np.right_shift(move, 31, out=move)
@@ -88,28 +88,31 @@ def walk_keys(hashes: np.ndarray, size: int, repeat: int) -> np.ndarray:
 
 
 class Items:
-    """Benchmark items by window size and repeat: sorted keys, and (item, anchor) behind them."""
+    """Benchmark items by window size and repeat: sorted keys, and the item and anchor behind each."""
 
     def __init__(self, ids: list[int | None], texts: list[str], times: list[int] | None = None):
         w = item_words(texts)
         self.ids, self.times = ids, times or [1] * len(ids)
         self.words = [w.hashes[a:b] for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)]
-        by_size: dict[int, list[tuple[int, int]]] = {}
+        by_size: dict[int, list[int]] = {}
         for k, words in enumerate(self.words):
-            n = len(words)
-            if n:
-                size = window_size(n)
-                by_size.setdefault(size, []).extend((k, o) for o in range(n - size + 1))
+            if len(words):
+                by_size.setdefault(window_size(len(words)), []).append(k)
         self.tables = []
-        pad = mix(np.arange(1, 400, dtype=np.uint64))
-        for size, anchors in sorted(by_size.items()):
+        for size, own in sorted(by_size.items()):
+            # all items of a size in one walk, kept apart by words that no text has
+            pad = mix(np.arange(1, 2 * size + 1, dtype=np.uint64))
+            flat = np.concatenate([part for k in own for part in (self.words[k], pad)])
+            counts = np.array([len(self.words[k]) - size + 1 for k in own])
+            base = np.cumsum(counts + 3 * size - 1) - (counts + 3 * size - 1)
+            item = np.repeat(own, counts)
+            offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             for repeat in range(REPEATS):
-                of = {k: walk_keys(np.concatenate((self.words[k], pad[: 2 * size])), size, repeat) for k in {k for k, _ in anchors}}
-                keys = np.array([of[k][o] for k, o in anchors], np.uint32)
+                keys = walk_keys(flat, size, repeat)[np.repeat(base, counts) + offset]
                 by = np.argsort(keys, kind="stable")
-                lut = np.zeros(1 << _LUT_BITS, bool)
-                lut[keys & np.uint32((1 << _LUT_BITS) - 1)] = True
-                self.tables.append((size, repeat, keys[by], [anchors[i] for i in by.tolist()], lut))
+                lut = np.zeros(1 << min(32, max(_LUT_BITS, len(keys).bit_length() + 4)), bool)
+                lut[keys & np.uint32(len(lut) - 1)] = True
+                self.tables.append((size, repeat, keys[by], item[by], offset[by], lut))
         by_width: dict[int, list[tuple[int, int, int]]] = {}
         for k, words in enumerate(self.words):
             for o, width in pieces(len(words)) if len(words) else []:
@@ -126,15 +129,16 @@ class Items:
     def hits(self, w: Words):
         """(text, item, expected first word of the item) of every key match and every whole piece."""
         out = set()
-        for size, repeat, keys, anchors, lut in self.tables:
+        for size, repeat, keys, item, offset, lut in self.tables:
             if len(w.hashes) < 1:
                 break
             mine = walk_keys(w.hashes, size, repeat)
-            near = np.flatnonzero(lut[mine & np.uint32((1 << _LUT_BITS) - 1)])
+            near = np.flatnonzero(lut[mine & np.uint32(len(lut) - 1)])
             low, high = np.searchsorted(keys, mine[near]), np.searchsorted(keys, mine[near], side="right")
-            for s, a, b in zip(near[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                for k, o in anchors[a:b]:
-                    out.add((int(np.searchsorted(w.offsets, s, side="right")) - 1, k, s - o))
+            met = high > low
+            text = np.searchsorted(w.offsets, near[met], side="right") - 1
+            for t, s, a, b in zip(text.tolist(), near[met].tolist(), low[met].tolist(), high[met].tolist(), strict=True):
+                out.update((t, k, s - o) for k, o in zip(item[a:b].tolist(), offset[a:b].tolist(), strict=True))
         for width, keys, anchors, lut in self.pieces:
             mine = rolling(w.hashes, width)
             near = np.flatnonzero(lut[mine & np.uint64(len(lut) - 1)])

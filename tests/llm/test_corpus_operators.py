@@ -232,6 +232,17 @@ def test_walks_alone_reach_the_target_recall(share):
     assert sum((k, k) in found for k in range(200)) >= decontaminate.TARGET * 200
 
 
+def test_walk_tables_hold_the_keys_of_every_item_alone():
+    rnd = random.Random(3)
+    texts = [" ".join(f"v{rnd.randrange(99)}" for _ in range(n)) for n in (1, 2, 3, 7, 20, 21, 40, 300, 900)]
+    items = decontaminate.Items(list(range(9)), texts)
+    assert {(k, o) for _, r, _, item, offset, _ in items.tables if r == 0 for k, o in zip(item.tolist(), offset.tolist(), strict=True)} == {(k, o) for k, w in enumerate(items.words) for o in range(len(w) - decontaminate.window_size(len(w)) + 1)}
+    for size, repeat, keys, item, offset, _ in items.tables:
+        pad = decontaminate.mix(np.arange(1, 2 * size + 1, dtype=np.uint64))
+        for key, k, o in zip(keys.tolist(), item.tolist(), offset.tolist(), strict=True):
+            assert key == decontaminate.walk_keys(np.concatenate((items.words[k][o:], pad)), size, repeat)[0]
+
+
 def test_edit_distance_by_hand():
     item = np.array([1, 2, 3, 4, 5])
     assert decontaminate.edit_distance(item, np.array([9, 1, 2, 3, 4, 5, 9])) == (0, 6)
