@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import map_batches, scratch_path, sha_hex, span_digest, table, text_or_empty, texts_of, written
+from panelmill.llm.common import drop_written, hits_sql, map_batches, scratch_path, sha_hex, span_digest, table, text_or_empty, texts_of, written
 
 RULE_VERSION = "base-1"
 KINDS = {"assign": 0, "access": 1, "hex": 2}
@@ -64,7 +64,8 @@ def update_ledger(paths: DataFrame, ledger: str) -> tuple[DataFrame, DataFrame]:
     texts = paths.select("path", text_or_empty().alias("text")).withColumn("blob", F.sha2("text", 256))
     addressed = written(texts.select("path", "blob"), "blob-paths")
     seen = read_ledger(spark, ledger).where(F.col("rule_version") == RULE_VERSION).select("blob")
-    todo = addressed.join(seen, "blob", "left_anti").groupBy("blob").agg(F.min("path").alias("path"))
+    # paths are counted out before the join, so a blob that many share is one row there
+    todo = addressed.groupBy("blob").agg(F.min("path").alias("path")).join(seen, "blob", "left_anti")
     chosen = texts.alias("t").join(todo.alias("d"), (F.col("t.blob") == F.col("d.blob")) & F.col("t.path").eqNullSafe(F.col("d.path"))).select("t.blob", "t.text")
     # a version that repeats at its path comes several times: one ledger row for each blob
     fresh = written(map_batches(chosen, _scan, LEDGER).dropDuplicates(["blob", "rule_version"]), "blob-ledger")
@@ -78,7 +79,8 @@ def scan_history(paths: DataFrame, ledger: str) -> DataFrame:
     Null texts hold nothing; null paths are paths; repeated rows give repeated results; extra columns are
     ignored. Empty input gives an empty result and leaves an empty ledger.
     """
-    _, addressed = update_ledger(paths, ledger)
+    fresh, addressed = update_ledger(paths, ledger)
+    drop_written(fresh)
     # Most blobs hold nothing: only blobs with findings travel, the others are filled in.
     held = read_ledger(paths.sparkSession, ledger).where((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).drop("rule_version")
     found = addressed.join(held, "blob", "left")
@@ -95,19 +97,14 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op6_secret_ledger": op6_secret_ledger}
 
-# Matches are marked by two private-use characters; lengths of what stands before a match give its start.
-_MARKED = r"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, split_part(part, chr(57345), 1) AS hit,
-    CAST(sum(length(replace(part, chr(57345), ''))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS start, i
-    FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM (
-        SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '{pattern}', chr(57344) || '\0' || chr(57345), 'g'), chr(57344)) AS parts FROM documents))"""
 _SQL_ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?[A-Za-z0-9+/_.=-]+"
 
 ORACLE_SQL = {
     "op6_secret_ledger": rf"""
 WITH hits AS (
-    {_MARKED.format(kind="assign", rank=0, pattern=_SQL_ASSIGN)}
-    UNION ALL {_MARKED.format(kind="access", rank=1, pattern="AKIA[A-Z0-9]+")}
-    UNION ALL {_MARKED.format(kind="hex", rank=2, pattern="[0-9a-f]+")}),
+    {hits_sql("assign", 0, _SQL_ASSIGN)}
+    UNION ALL {hits_sql("access", 1, "AKIA[A-Z0-9]+")}
+    UNION ALL {hits_sql("hex", 2, "[0-9a-f]+")}),
 found AS (SELECT doc_id, kind, rank, start, start + length(hit) AS stop FROM hits WHERE i > 1 AND CASE kind WHEN 'access' THEN length(hit) >= 20 WHEN 'hex' THEN length(hit) >= 24
     ELSE length(regexp_extract(hit, '^(?i:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6 END),
 per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
