@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("secrets", "bpe", "urls", "quality", "near_dedup", "substring", "decontaminate", "toxicity", "pii", "html_text")
+MODULES = ("secrets", "bpe", "urls", "quality", "near_dedup", "substring", "decontaminate", "toxicity", "pii", "html_text", "packing", "alignment", "spelling")
 
 
 def queries() -> dict:
