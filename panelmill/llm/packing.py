@@ -13,6 +13,7 @@ would be held, which bounds a task's memory by them and its longest text.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,10 @@ from panelmill.llm.common import arrow_schema, slices, table, text_or_empty, tex
 LENGTH = 2048
 END_ID = 1
 MOST_OPEN = 4096
-WORD_TABLE_ROWS = 300_000
+WORD_TABLE_ROWS = 600_000
+#: So many words are encoded as one text.
+JOINED = 1000
+_TAIL = b".,;:!?"
 LONGEST_KEPT_WORD = 64
 SLICE = 2_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -41,7 +45,10 @@ class WordEncoder:
 
     The vocabulary drops white space and no token spans it, nor does any normalisation reach across ASCII white
     space, so a text's ids are those of its words in order. A word's ids are kept in a table, which is
-    cleared once it holds over ``WORD_TABLE_ROWS`` words.
+    cleared once it holds over ``WORD_TABLE_ROWS`` words. Words that are only letters are one match of the
+    vocabulary's pattern each, whose last token alone ends a word: many are encoded as one text and cut there.
+    Punctuation after an ASCII letter is a match of its own. Capitals are looked up as small letters, but for texts
+    with characters beyond U+00FF: a mark after a capital could compose with the small letter only.
     """
 
     def __init__(self, path: str):
@@ -49,21 +56,70 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        names = (self.library.id_to_token(i) for i in range(self.library.get_vocab_size()))
+        self.is_last = np.array([name.endswith("</w>") for name in names])
         self.ids: dict[bytes, bytes] = {}
 
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known = self.ids
+        plain, odd = [], []
+        for word in words:
+            (plain if word.isalpha() or word.decode().isalpha() else odd).append(word)
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            ids = np.array(self._encoded([b" ".join(some).decode()])[0], "<u4")
+            ends = np.flatnonzero(self.is_last[ids]) + 1
+            if len(ends) != len(some):  # a letter that normalisation takes apart
+                odd += some
+                continue
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(some, (4 * ends).tolist(), strict=True):
+                known[word] = raw[begin:end]
+                begin = end
+        for at in range(0, len(odd), JOINED):
+            some = odd[at : at + JOINED]
+            for word, ids in zip(some, self._encoded([w.decode() for w in some]), strict=True):
+                known[word] = np.array(ids, "<u4").tobytes()
+
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.encode().split() for t in texts]
+        split = []
+        for text in texts:
+            raw = text.encode()
+            try:
+                text.encode("latin-1")
+                raw = raw.lower()
+            except UnicodeEncodeError:
+                pass
+            split.append(raw.split())
         if len(self.ids) > WORD_TABLE_ROWS:
             self.ids = {}
-        ids = self.ids
-        new = list({w for words in split for w in words if w not in ids})
-        for word, e in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            ids[word] = np.array(e.ids, "<u4").tobytes()
-        for words in split:
-            yield b"".join([ids[w] for w in words])
+        known = self.ids
+        found = [list(map(known.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        tailed, bare = [], set()
+        for word in new:
+            core = word.rstrip(_TAIL)
+            if len(core) < len(word) and core[-1:].isalpha():
+                tailed.append((word, core, word[len(core) :]))
+            else:
+                bare.add(word)
+        self._learn(bare | {w for _, *parts in tailed for w in parts if w not in known})
+        for word, core, tail in tailed:
+            known[word] = known[core] + known[tail]
+        for words, ids in zip(split, found, strict=True):
+            yield b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids)
         for word in new:
             if len(word) > LONGEST_KEPT_WORD:
-                del ids[word]
+                del known[word]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """One for each worker, whatever the number of its tasks."""
+    return WordEncoder(path)
 
 
 class Packer:
@@ -182,7 +238,7 @@ def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, most_
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches):
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         packer = Packer(TaskContext.get().partitionId() << SEQUENCE_BITS, length, most_open)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
