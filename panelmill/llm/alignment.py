@@ -5,10 +5,11 @@ bytes of its last token that the other side has not matched yet; the next token
 Transitions are memoised by state and token. An empty residual closes a group; a token read on a residual
 overlaps exactly the token that left it, which is the link between the two.
 
-Neither vocabulary has tokens that span a lone space between two other characters, except at their start,
-so both cut there (checked as the vocabularies are loaded; else texts stay whole). Texts are read in such
-units, and an equal unit is aligned once for each worker's table. A unit whose bytes are not those of both
-tokenizations spoils its document: the first byte that differs stays different whatever follows.
+No token of either vocabulary has a space or line end after another character, nor punctuation after an
+ASCII letter (checked as the vocabularies are loaded; else texts stay whole), so both cut before a lone space
+or line end and between such a letter and punctuation. Texts are read in such units, and an equal unit is
+aligned once for each worker's table. A unit whose bytes are not those of both tokenizations spoils its
+document: the first byte that differs stays different whatever follows.
 
 Counts of id pairs are corpus-wide. Tasks cut their texts into blocks and write, for each block, one row
 with its distinct pairs, in how many of its documents each is held, and its documents' pairs as numbers into
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
 from array import array
@@ -35,11 +37,16 @@ from pyspark.sql import functions as F
 
 from panelmill.llm.common import arrow_schema, slices, table, text_or_empty, texts_of, written
 
-BLOCK = 6_000_000
-UNIT_TABLE_ROWS = 150_000
+BLOCK = 2_000_000
+UNIT_TABLE_ROWS = 250_000
+#: So many units are encoded as one text.
+JOINED = 1000
 #: Bits of an id in a pair's code, A's id above B's.
 BITS = 16
-_UNIT = re.compile(r"(?<=[^\s᠎])(?= [^\s᠎])")
+# U+180E is white space to some versions of Unicode
+_UNIT = re.compile(r"(?<=[^\s\u180e])(?=[ \n][^\s\u180e])|(?<=[A-Za-z])(?=[.,;:!?])")
+_PLAIN = re.compile(r" [^\s\u180e]+")
+_SPANS = re.compile(r"[^\s\u180e][ \n]|[A-Za-z][.,;:!?]")
 BLOCKS = "block long, doc_ids array<long>, stats binary, digests array<string>, held binary, pairs array<long>, docs array<long>"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -52,14 +59,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Numbering(dict):
+    """Numbers keys from 0 in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class Transducer:
-    """States are numbered; 0 is the empty residual. ``after(state, token)`` is -1 where the bytes differ."""
+    """States are numbered; 0 is the empty residual, -1 that of bytes that differ. ``memo`` holds transitions by
+    state and token, ``at_once`` those from the empty residual by a token of either side: what a group of
+    just the two reads, and nothing where they do not close one."""
 
     def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]):
         self.tokens = (a_bytes, b_bytes)
         self.states: list[tuple[int, bytes]] = [(1, b"")]
         self.known: dict[tuple[int, bytes], int] = {(1, b""): 0}
         self.memo: dict[int, int] = {}
+        self.at_once: dict[int, str] = {}
 
     def _number(self, lead: int, residual: bytes) -> int:
         if not residual:
@@ -86,26 +104,43 @@ class Transducer:
             self.memo[key] = out
         return out
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
-        """(groups, links) of two token lists of the same bytes; None where the bytes differ."""
-        ids, at, last = (a, b), [0, 0], [0, 0]
-        groups, links, begin = [], [], (0, 0)
-        state = 0
-        while True:
-            side = 1 - self.states[state][0]
-            if at[side] == len(ids[side]):
-                return None if state or at[1] < len(b) else (groups, links)
-            token = ids[side][at[side]]
-            at[side] += 1
-            last[side] = token
+    def align(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]] | None:
+        """(groups as they read, links as codes) of two token lists of the same bytes; None where they differ."""
+        at_once, states, after = self.at_once, self.states, self.after
+        groups, links = [], []
+        i, j, n_a, n_b = 0, 0, len(a), len(b)
+        while i < n_a and j < n_b:
+            key = a[i] << BITS | b[j]
+            text = at_once.get(key)
+            if text is None:
+                text = at_once[key] = "" if after(after(0, a[i]), b[j]) else f"{a[i]}|{b[j]}"
+            links.append(key)
+            if text:
+                groups.append(text)
+                i += 1
+                j += 1
+                continue
+            begin_a, begin_b = i, j
+            state = after(after(0, a[i]), b[j])
+            i += 1
+            j += 1
+            while state > 0:
+                if states[state][0]:
+                    if i == n_a:
+                        return None
+                    token = a[i]
+                    i += 1
+                else:
+                    if j == n_b:
+                        return None
+                    token = b[j]
+                    j += 1
+                links.append(a[i - 1] << BITS | b[j - 1])
+                state = after(state, token)
             if state:
-                links.append((last[0], last[1]))
-            state = self.after(state, token)
-            if state < 0:
                 return None
-            if not state:
-                groups.append((a[begin[0] : at[0]], b[begin[1] : at[1]]))
-                begin = (at[0], at[1])
+            groups.append(",".join(map(str, a[begin_a:i])) + "|" + ",".join(map(str, b[begin_b:j])))
+        return None if i < n_a or j < n_b else (groups, links)
 
 
 class Aligner:
@@ -124,20 +159,18 @@ class Aligner:
         self.a_bytes = [bytes(byte_of[c] for c in name) if set(name) <= byte_of.keys() else name.encode() for name in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        inner = [t for t in (*self.a_bytes, *self.b_bytes) if b" " in t.lstrip(b" ")]
-        self.cut = None if inner else _UNIT
-        self.machine = Transducer(self.a_bytes, self.b_bytes)
+        self.cut = None if any(_SPANS.search(t.decode(errors="replace")) for t in (*self.a_bytes, *self.b_bytes)) else _UNIT
+        self.begins = tuple(np.array([t.startswith(b" ") for t in side]) for side in (self.a_bytes, self.b_bytes))
         self.clear()
 
     def clear(self) -> None:
         """Forget all units, their distinct pairs and the transitions."""
-        self.units: dict[str, int] = {}
+        self.units = Numbering()
         self.sizes = array("q")  # n_a, n_b, n_groups, whether it is sound, of each unit
         self.groups: list[bytes] = []
         self.ends = array("q", [0])
-        self.links = array("q")  # numbers into codes
-        self.codes = array("q")
-        self.number: dict[int, int] = {}
+        self.links = array("q")  # numbers of pairs
+        self.pairs = Numbering()
         self.machine = Transducer(self.a_bytes, self.b_bytes)
 
     def units_of(self, text: str) -> list[str]:
@@ -146,22 +179,45 @@ class Aligner:
             return []
         return self.cut.split(" " + text) if self.cut else [" " + text]
 
+    def _encoded_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded_b(self, units: list[str]) -> list[list[int]]:
+        """B adds a space to every text; a line end before units without one keeps the added one apart."""
+        made = self.b.encode([u[1:] if u[0] == " " else "\n" + u for u in units], num_threads=1)
+        return [ids if u[0] == " " else ids[2:] for u, ids in zip(units, made, strict=True)]
+
     def learn(self, new: list[str]) -> None:
-        for unit, a, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self.b.encode([u[1:] for u in new], num_threads=1), strict=True):
-            raw = unit.encode()
-            a = a.ids
-            made = self.machine.align(a, b) if b"".join([self.a_bytes[i] for i in a]) == raw else None
-            groups, links = made or ([], [])
-            self.units[unit] = len(self.groups)
-            self.sizes.extend((len(a), len(b), len(groups), made is not None))
-            self.groups.append(";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups]).encode())
-            for x, y in links:
-                code = x << BITS | y
-                n = self.number.get(code)
-                if n is None:
-                    n = self.number[code] = len(self.codes)
-                    self.codes.append(code)
-                self.links.append(n)
+        """Plain units, one space and then no white space, are encoded many at once: in both vocabularies each
+        begins with the one token of it that starts with a space."""
+        made: dict[str, tuple] = {}
+        odd = [u for u in new if not _PLAIN.fullmatch(u)]
+        plain = [u for u in new if _PLAIN.fullmatch(u)]
+        align = self.machine.align
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            whole = "".join(some)
+            a, b = self._encoded_a([whole])[0], self.b.encode(whole[1:])
+            of_a, of_b = (np.flatnonzero(first[np.array(ids)]).tolist() for first, ids in zip(self.begins, (a, b), strict=True))
+            if len(of_a) != len(some) or len(of_b) != len(some) or b"".join([self.a_bytes[i] for i in a]) != whole.encode():
+                odd += some
+                continue
+            of_a.append(len(a))
+            of_b.append(len(b))
+            for k, unit in enumerate(some):
+                x, y = a[of_a[k] : of_a[k + 1]], b[of_b[k] : of_b[k + 1]]
+                made[unit] = len(x), len(y), align(x, y)
+        for at in range(0, len(odd), JOINED):
+            some = odd[at : at + JOINED]
+            for unit, x, y in zip(some, self._encoded_a(some), self._encoded_b(some), strict=True):
+                right = b"".join([self.a_bytes[i] for i in x]) == unit.encode()
+                made[unit] = len(x), len(y), align(x, y) if right else None
+        for unit in new:
+            n_a, n_b, found = made[unit]
+            groups, links = found or ((), ())
+            self.sizes.extend((n_a, n_b, len(groups), found is not None))
+            self.groups.append(";".join(groups).encode())
+            self.links.extend(map(self.pairs.__getitem__, links))
             self.ends.append(len(self.links))
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,8 +229,10 @@ class Aligner:
         if len(self.units) > UNIT_TABLE_ROWS:
             self.clear()
         split = [self.units_of(t) for t in texts]
-        self.learn(list({u for units in split for u in units if u not in self.units}))
+        had = len(self.units)
         numbers = [np.fromiter(map(self.units.__getitem__, units), np.int64, len(units)) for units in split]
+        del split
+        self.learn(list(itertools.islice(self.units, had, None)))
         sizes = np.frombuffer(self.sizes, np.int64).reshape(-1, 4) if self.sizes else np.zeros((0, 4), np.int64)
         numbers = [n if sizes[n, 3].all() else n[:0] for n in numbers]
         digests = [hashlib.sha256(b";".join([self.groups[k] for k in n.tolist()])).hexdigest() if len(n) else "" for n in numbers]
@@ -182,11 +240,12 @@ class Aligner:
         owner = np.repeat(np.arange(len(texts)), [len(n) for n in numbers])
         ends = np.frombuffer(self.ends, np.int64)
         counts = (ends[1:] - ends[:-1])[flat]
-        stats = np.zeros((len(texts), 4), np.int64)
-        np.add.at(stats, owner, np.column_stack((sizes[flat, :3], counts)))
+        of_text = np.concatenate(([0], np.cumsum([len(n) for n in numbers]))).astype(np.int64)
+        totals = np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(np.column_stack((sizes[flat, :3], counts)), axis=0)))
+        stats = totals[of_text[1:]] - totals[of_text[:-1]]
         before = np.concatenate(([0], np.cumsum(counts)))
         links = np.frombuffer(self.links, np.int64)[np.repeat(ends[flat] - before[:-1], counts) + np.arange(before[-1])] if before[-1] else np.zeros(0, np.int64)
-        width = max(len(self.codes), 1)
+        width = max(len(self.pairs), 1)
         keys, times = np.unique(np.repeat(owner, counts) * width + links, return_counts=True)
         holder, pair = keys // width, keys % width
         docs = np.bincount(pair, minlength=width)
@@ -194,7 +253,7 @@ class Aligner:
         rank = np.empty(width, np.int64)
         rank[order] = np.arange(len(order))
         bounds = np.searchsorted(holder, np.arange(len(texts) + 1))
-        codes = np.frombuffer(self.codes, np.int64)[order] if len(order) else np.zeros(0, np.int64)
+        codes = np.fromiter(self.pairs, np.int64, len(self.pairs))[order] if len(order) else np.zeros(0, np.int64)
         return stats, digests, bounds, rank[pair], times, np.stack((codes, docs[order]))
 
 
