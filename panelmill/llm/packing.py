@@ -29,7 +29,7 @@ from panelmill.llm.common import arrow_schema, slices, table, text_or_empty, tex
 LENGTH = 2048
 END_ID = 1
 MOST_OPEN = 4096
-WORD_TABLE_ROWS = 600_000
+WORD_TABLE_ROWS = 1_500_000
 #: So many words are encoded as one text.
 JOINED = 1000
 _TAIL = b".,;:!?"
@@ -45,7 +45,7 @@ class WordEncoder:
 
     The vocabulary drops white space and no token spans it, nor does any normalisation reach across ASCII white
     space, so a text's ids are those of its words in order. A word's ids are kept in a table, which is
-    cleared once it holds over ``WORD_TABLE_ROWS`` words. Words that are only letters are one match of the
+    cleared once it holds over ``WORD_TABLE_ROWS`` words, some 250 MB. Words that are only letters are one match of the
     vocabulary's pattern each, whose last token alone ends a word: many are encoded as one text and cut there.
     Punctuation after an ASCII letter is a match of its own. Capitals are looked up as small letters, but for texts
     with characters beyond U+00FF: a mark after a capital could compose with the small letter only.
@@ -97,8 +97,7 @@ class WordEncoder:
         if len(self.ids) > WORD_TABLE_ROWS:
             self.ids = {}
         known = self.ids
-        found = [list(map(known.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        new = set().union(*split).difference(known)
         tailed, bare = [], set()
         for word in new:
             core = word.rstrip(_TAIL)
@@ -109,8 +108,8 @@ class WordEncoder:
         self._learn(bare | {w for _, *parts in tailed for w in parts if w not in known})
         for word, core, tail in tailed:
             known[word] = known[core] + known[tail]
-        for words, ids in zip(split, found, strict=True):
-            yield b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids)
+        for words in split:
+            yield b"".join(map(known.__getitem__, words))
         for word in new:
             if len(word) > LONGEST_KEPT_WORD:
                 del known[word]
