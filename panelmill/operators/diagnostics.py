@@ -65,28 +65,11 @@ def residual_fit(panel: DataFrame, residual: str, outcome: str) -> DataFrame:
     return panel.agg(F.avg(r).alias("mean"), F.stddev_pop(r).alias("sd"), F.sqrt(F.avg(r * r)).alias("rmse"), F.var_pop(r).alias("variance"), (1 - F.var_pop(r) / F.var_pop(y)).alias("r2"))
 
 
-def first_singular_share(panel: DataFrame, value: str, parts: int = 64) -> DataFrame:
-    """Largest squared singular value over their sum. Every group of units adds its part of the period Gram
-    matrix in one product, so no pairs of cells are made; parts are summed, and a task solves the T x T
-    eigenproblem."""
-    import numpy as np
-    import pandas as pd
-
-    def gram(pdf):
-        m = pdf.pivot(index="unit_ix", columns="t_ix", values="x").fillna(0.0)
-        s, t = np.meshgrid(m.columns, m.columns, indexing="ij")
-        g = m.to_numpy().T @ m.to_numpy()
-        return pd.DataFrame({"s": s.ravel(), "t": t.ravel(), "g": g.ravel()})
-
-    cells = panel.select("unit_ix", "t_ix", F.col(value).alias("x"))
-    g = cells.groupBy(F.pmod(F.xxhash64("unit_ix"), F.lit(parts)).alias("part")).applyInPandas(gram, "s int, t int, g double").groupBy("s", "t").agg(F.sum("g").alias("g"))
-
-    def solve(pdf):
-        m = pdf.pivot(index="s", columns="t", values="g").fillna(0.0).to_numpy()
-        e = np.linalg.eigvalsh((m + m.T) / 2)
-        return pd.DataFrame({"share": [float(e[-1] / e.sum()) if e.sum() > 0 else 0.0]})
-
-    return g.groupBy(F.lit(0).alias("k")).applyInPandas(solve, "share double")
+def first_singular_share(panel: DataFrame, value: str) -> DataFrame:
+    """Largest squared singular value over their sum, by block power iteration on the cells."""
+    from panelmill.operators.lowrank import first_singular_share as share
+
+    return share(panel.select("t_ix", "unit_ix", F.col(value).alias("x")))
 
 
 def residual_diagnostics(panel: DataFrame, residual: str, outcome: str) -> DataFrame:
