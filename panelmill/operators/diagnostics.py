@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -107,12 +108,20 @@ def adf_statistics(panel: DataFrame, value: str, p: int = 4, critical: float = -
     return sums.select("unit_ix", stat.alias("t_stat")).withColumn("unit_root", F.col("t_stat") > critical)
 
 
-def companion_persistence(panel: DataFrame, a: str, b: str, most: int = 16) -> DataFrame:
+def horizon(panel: DataFrame) -> int:
+    """The log of the number of cells, rounded up, at least 1 and at most the number of periods; counted here, as the
+    windows to plan depend on it."""
+    cells, periods = panel.agg(F.count("*"), F.countDistinct("t_ix")).first()
+    return max(1, min(math.ceil(math.log(cells)) if cells else 1, periods))
+
+
+def companion_persistence(panel: DataFrame, a: str, b: str, most: int | None = None) -> DataFrame:
     """(unit_ix, growth, persistence): the largest h-th root of the spectral norm of products of h consecutive
-    companion matrices of a two-lag process, h up to the log of the number of periods (and ``most``);
+    companion matrices of a two-lag process, h up to ``most``, which is the panel's ``horizon`` unless it is given;
     persistence is capped at 0.99. Norms of 2 x 2 products are closed forms, so all is windows by unit."""
-    w, o = Window.partitionBy("unit_ix"), _order()
-    df = panel.select("unit_ix", "t_ix", F.col(a).alias("a"), F.col(b).alias("b"), F.greatest(F.lit(1), F.ceil(F.log(F.count("*").over(w).cast("double")))).alias("horizon"))
+    o = _order()
+    most = most or horizon(panel)
+    df = panel.select("unit_ix", "t_ix", F.col(a).alias("a"), F.col(b).alias("b"))
     ahead = [F.lead(c, h).over(o).alias(f"{c}{h}") for h in range(1, most) for c in ("a", "b")]
     df = df.select("*", *ahead, F.col("a").alias("p1"), F.col("b").alias("q1"), F.lit(1.0).alias("r1"), F.lit(0.0).alias("s1"))
     for h in range(1, most):
@@ -124,14 +133,16 @@ def companion_persistence(panel: DataFrame, a: str, b: str, most: int = 16) -> D
         p, q, r, s = (F.col(f"{c}{h}") for c in "pqrs")
         square, det = p * p + q * q + r * r + s * s, p * s - q * r
         norm = F.sqrt((square + F.sqrt(F.greatest(square * square - 4 * det * det, F.lit(0.0)))) / 2)
-        return F.when(F.col("horizon") >= h, F.pow(norm, F.lit(1.0 / h)))
+        return F.pow(norm, F.lit(1.0 / h))
 
-    out = df.groupBy("unit_ix").agg(F.max(F.greatest(*[root(h) for h in range(1, most + 1)])).alias("growth"))
+    out = df.groupBy("unit_ix").agg(F.max(F.greatest(*[root(h) for h in range(1, most + 1)], F.lit(0.0))).alias("growth"))
     return out.withColumn("persistence", F.least("growth", F.lit(0.99)))
 
 
-def persistence_window(panel: DataFrame, value: str, horizon: int) -> DataFrame:
-    """For h = 1..horizon the largest geometric mean of |a| over h consecutive periods, over all cells."""
+def persistence_window(panel: DataFrame, value: str, most: int | None = None) -> DataFrame:
+    """For h = 1..most, the panel's ``horizon`` unless given, the largest geometric mean of |a| over h consecutive
+    periods, over all cells."""
+    most = most or horizon(panel)
     log = panel.withColumn("l", F.log(F.greatest(F.abs(F.col(value)), F.lit(1e-12))))
 
     def one(h: int) -> DataFrame:
@@ -139,4 +150,4 @@ def persistence_window(panel: DataFrame, value: str, horizon: int) -> DataFrame:
         full = log.select(F.avg("l").over(frame).alias("m"), F.count("l").over(frame).alias("k")).where(F.col("k") == h)
         return full.agg(F.exp(F.max("m")).alias("persistence")).select(F.lit(h).alias("h"), "persistence")
 
-    return reduce(DataFrame.unionByName, [one(h) for h in range(1, horizon + 1)])
+    return reduce(DataFrame.unionByName, [one(h) for h in range(1, most + 1)])

@@ -36,6 +36,16 @@ def without_sparse_units(grid: DataFrame, value: str, most_missing: int = 6) ->
     return grid.join(keep, "unit_ix", "left_semi")
 
 
+def kept_on_grid(cells: DataFrame, value: str, most_missing: int = 6) -> DataFrame:
+    """The grid of the units that lack at most ``most_missing`` of the periods of ``cells``. Observations are counted
+    first, so the grid is made for kept units only, however many sparse ones there are."""
+    periods = cells.select("t_ix").distinct()
+    size = periods.agg(F.count("*").alias("size"))
+    enough = F.col("n") >= F.col("size") - most_missing
+    keep = cells.groupBy("unit_ix").agg(F.count(value).alias("n")).crossJoin(F.broadcast(size)).where(enough).select("unit_ix")  # one row
+    return keep.crossJoin(periods).join(cells, ["unit_ix", "t_ix"], "left")
+
+
 def interpolated_by_index(grid: DataFrame, value: str) -> DataFrame:
     """Linear by position between observations, flat at both ends; all-missing units unchanged."""
     before, after = _by_time().rowsBetween(Window.unboundedPreceding, 0), _by_time().rowsBetween(0, Window.unboundedFollowing)

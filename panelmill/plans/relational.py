@@ -92,7 +92,8 @@ def balance_panel(spark, sf_dir):
 
 @query(_sql(f"SELECT {_KEYS}, {_r('y')} AS y FROM grid WHERE unit_ix IN (SELECT unit_ix FROM grid GROUP BY unit_ix HAVING count(*) - count(y) <= 6)", "days"))
 def drop_sparse_units(spark, sf_dir):
-    return _out(P.without_sparse_units(T.user_days(spark, sf_dir), "y", 6), "unit_ix", "t_ix", y="y")
+    cells = T.user_day_cells(spark, sf_dir)
+    return _out(P.kept_on_grid(cells, "y", 6), "unit_ix", "t_ix", y="y")
 
 
 @query(
@@ -208,10 +209,11 @@ def _named(spark, sf_dir) -> DataFrame:
     return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).withColumn("name", F.concat("n_name", F.lit("-"), "r_name", F.lit(", "), code("n_name"), F.lit("-"), code("r_name")))
 
 
-@query(_sql(f"SELECT {_KEYS}, {_r('v')} AS y FROM (SELECT unit_ix, t_ix, CASE WHEN unit_ix % 3 = 0 THEN CASE WHEN min(y) OVER (PARTITION BY unit_ix) > 0 THEN ln(greatest(y, 1e-300)) - ln(greatest(lag(y) OVER ({_BY_T}), 1e-300)) ELSE y - lag(y) OVER ({_BY_T}) END ELSE y END AS v, row_number() OVER ({_BY_T}) AS k FROM panel) WHERE k > 1", "panel"))
+@query()
 def stationarize(spark, sf_dir):
+    """Units that the unit-root test does not reject are differenced, in logs where positive; others keep their level."""
     df = T.complete_shipments(spark, sf_dir)
-    flags = df.select("unit_ix").distinct().select("unit_ix", (F.col("unit_ix") % 3 == 0).alias("unit_root"))
+    flags = D.adf_statistics(df, "y").select("unit_ix", "unit_root")
     return _out(P.stationarized(df, "y", flags), "unit_ix", "t_ix", y="y")
 
 
@@ -240,18 +242,18 @@ def join_code_cov(spark, sf_dir):
     return _out(cov.join(bare, "code"), "code", "t_ix", x="x")
 
 
-@query(_sql("SELECT CAST(c.c_custkey AS BIGINT) AS c_custkey, coalesce(k.code, '') AS code FROM customer c LEFT JOIN (SELECT * FROM crosswalk WHERE code < '00012') k ON lpad(CAST(c.c_nationkey AS VARCHAR), 5, '0') = k.code", _CROSSWALK))
+@query(_sql("SELECT CAST(c.c_custkey AS BIGINT) AS c_custkey, coalesce(k.code, '') AS code FROM customer c LEFT JOIN crosswalk k ON lpad(CAST(c.c_nationkey AS VARCHAR), 5, '0') = k.code", _CROSSWALK))
 def join_codes(spark, sf_dir):
     c = T.table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").withColumn("code", S.padded_code(F.col("c_nationkey"), 5))
-    k = _crosswalk(spark, sf_dir).where("code < '00012'").select("code", F.col("code").alias("found"))
+    k = _crosswalk(spark, sf_dir).select("code", F.col("code").alias("found"))
     return c.join(k, "code", "left").select(F.col("c_custkey").cast("long").alias("c_custkey"), F.coalesce("found", F.lit("")).alias("code"))
 
 
-@query(_sql(f"SELECT {_KEYS}, {_r('o.y')} AS permits, {_r('x')} AS x, {_r('q')} AS q FROM (SELECT unit_ix, t_ix, y FROM grid) o LEFT JOIN (SELECT unit_ix, t_ix, x FROM grid WHERE t_ix % 2 = 0) USING (unit_ix, t_ix) LEFT JOIN (SELECT unit_ix, t_ix, q FROM grid WHERE t_ix % 3 = 0) USING (unit_ix, t_ix)", "panel"))
+@query(_sql(f"SELECT {_KEYS}, {_r('o.y')} AS permits, {_r('x')} AS x, {_r('q')} AS q FROM (SELECT unit_ix, t_ix, y FROM grid) o LEFT JOIN (SELECT unit_ix, t_ix, x FROM grid WHERE x IS NOT NULL) USING (unit_ix, t_ix) LEFT JOIN (SELECT unit_ix, t_ix, q FROM grid WHERE q IS NOT NULL) USING (unit_ix, t_ix)", "panel"))
 def left_join_covariates(spark, sf_dir):
     g = T.shipments(spark, sf_dir)
     keys = ["unit_ix", "t_ix"]
-    out = g.select(*keys, F.col("y").alias("permits")).join(g.where("t_ix % 2 = 0").select(*keys, "x"), keys, "left").join(g.where("t_ix % 3 = 0").select(*keys, "q"), keys, "left")
+    out = g.select(*keys, F.col("y").alias("permits")).join(g.where("x IS NOT NULL").select(*keys, "x"), keys, "left").join(g.where("q IS NOT NULL").select(*keys, "q"), keys, "left")
     return _out(out, *keys, permits="permits", x="x", q="q")
 
 
@@ -320,12 +322,15 @@ def group_sum(spark, sf_dir):
 
 @query(_sql(f"SELECT CAST(t_ix AS BIGINT) AS t_ix, {_r('avg(CASE WHEN y IS NULL THEN 1.0 ELSE 0.0 END)')} AS missing FROM grid GROUP BY 1", "days"))
 def missing_share(spark, sf_dir):
-    return _out(T.user_days(spark, sf_dir).groupBy("t_ix").agg(F.avg(F.col("y").isNull().cast("double")).alias("missing")), "t_ix", missing="missing")
+    cells = T.user_day_cells(spark, sf_dir)
+    units = cells.agg(F.countDistinct("unit_ix").alias("units"))
+    by_day = cells.groupBy("t_ix").agg(F.count("y").alias("n")).crossJoin(F.broadcast(units))  # one row
+    return _out(by_day.select("t_ix", (1 - F.col("n") / F.col("units")).alias("missing")), "t_ix", missing="missing")
 
 
 @query(_sql(f"SELECT CAST(unit_ix AS BIGINT) AS unit_ix, {_r('avg(y)')} AS level, {_r('stddev_pop(y)')} AS vol FROM grid GROUP BY 1", "days"))
 def unit_mean_level(spark, sf_dir):
-    return _out(T.user_days(spark, sf_dir).groupBy("unit_ix").agg(F.avg("y").alias("level"), F.stddev_pop("y").alias("vol")), "unit_ix", level="level", vol="vol")
+    return _out(T.user_day_cells(spark, sf_dir).groupBy("unit_ix").agg(F.avg("y").alias("level"), F.stddev_pop("y").alias("vol")), "unit_ix", level="level", vol="vol")
 
 
 # --- design and folds ------------------------------------------------------------------------------
@@ -644,10 +649,22 @@ def delta_se(spark, sf_dir):
     return _out(_coefficients(spark), "id", se=S.delta_se(F.col("a"), F.col("b"), F.lit(0.01), F.lit(-0.004), F.lit(0.02)))
 
 
-@query(_sql("SELECT CAST(1 AS BIGINT) AS h, round(max(a), 6) + 0.0 AS persistence FROM s1 UNION ALL SELECT 2, round(max(m), 6) + 0.0 FROM (SELECT sqrt(a * lag(a) OVER (PARTITION BY unit_ix ORDER BY t_ix)) AS m FROM s1) UNION ALL SELECT 3, round(max(m), 6) + 0.0 FROM (SELECT pow(a * lag(a) OVER (PARTITION BY unit_ix ORDER BY t_ix) * lag(a, 2) OVER (PARTITION BY unit_ix ORDER BY t_ix), 1.0 / 3) AS m FROM s1)", "panel", "s1 AS (SELECT unit_ix, t_ix, 0.1 + CAST((t_ix * 3 + unit_ix) % 9 AS DOUBLE) / 10 AS a FROM panel)"))
+_HORIZON = "least(greatest(1, ceil(ln(count(*)))), count(DISTINCT t_ix))"
+#: The SQL writes out this many windows; panels of the given tables have far fewer than e^16 cells.
+_WINDOWS = 16
+
+
+@query(
+    _sql(
+        " UNION ALL ".join(f"SELECT CAST({h} AS BIGINT) AS h, {_r('exp(max(m))')} AS persistence FROM (SELECT avg(l) OVER w AS m, count(l) OVER w AS k FROM s1 WINDOW w AS ({_BY_T} ROWS BETWEEN {h - 1} PRECEDING AND CURRENT ROW)) WHERE k = {h} AND {h} <= (SELECT {_HORIZON} FROM s1)  GROUP BY ALL HAVING count(*) > 0" for h in range(1, _WINDOWS + 1)),
+        "panel",
+        "s1 AS (SELECT unit_ix, t_ix, ln(greatest(abs(0.1 + CAST((t_ix * 3 + unit_ix) % 9 AS DOUBLE) / 10), 1e-12)) AS l FROM panel)",
+    )
+)
 def persistence_window(spark, sf_dir):
+    """Up to the log of the number of cells, rounded up."""
     df = T.complete_shipments(spark, sf_dir).withColumn("a", 0.1 + F.pmod(F.col("t_ix") * 3 + F.col("unit_ix"), F.lit(9)) / 10.0)
-    return _out(D.persistence_window(df, "a", 3), "h", persistence="persistence")
+    return _out(D.persistence_window(df, "a"), "h", persistence="persistence")
 
 
 # --- diagnostics -----------------------------------------------------------------------------------
@@ -781,9 +798,17 @@ def adf_tstat(spark, sf_dir):
     return out.select(F.col("unit_ix").cast("long").alias("unit_ix"), S.rounded(F.col("t_stat")).alias("t_stat"), "unit_root")
 
 
+ORACLE_SQL["stationarize"] = _sql(
+    f"""SELECT {_KEYS}, {_r('v')} AS y FROM (SELECT unit_ix, t_ix, CASE WHEN t_stat > -2.86 THEN CASE WHEN min(y) OVER (PARTITION BY unit_ix) > 0
+    THEN ln(greatest(y, 1e-300)) - ln(greatest(lag(y) OVER ({_BY_T}), 1e-300)) ELSE y - lag(y) OVER ({_BY_T}) END ELSE y END AS v, row_number() OVER ({_BY_T}) AS k FROM panel JOIN stats USING (unit_ix)) WHERE k > 1""",
+    "panel",
+    _adf_sql(),
+)
+
+
 def _companion_sql(most: int = 16) -> tuple[str, ...]:
     lead = ", ".join(f"lead({c}, {h}) OVER ({_BY_T}) AS {c}{h}" for h in range(1, most) for c in "ab")
-    out = [f"m1 AS (SELECT *, a AS p1, b AS q1, 1.0::DOUBLE AS r1, 0.0::DOUBLE AS s1, greatest(1, ceil(ln(count(*) OVER (PARTITION BY unit_ix)))) AS horizon, {lead} FROM coef)"]
+    out = [f"m1 AS (SELECT *, a AS p1, b AS q1, 1.0::DOUBLE AS r1, 0.0::DOUBLE AS s1, (SELECT greatest(1, ceil(ln(count(*)))) FROM coef) AS horizon, {lead} FROM coef)"]
     out += [f"m{h + 1} AS (SELECT *, a{h} * p{h} + b{h} * r{h} AS p{h + 1}, a{h} * q{h} + b{h} * s{h} AS q{h + 1}, p{h} AS r{h + 1}, q{h} AS s{h + 1} FROM m{h})" for h in range(1, most)]
     norm = "sqrt(({0} + sqrt(greatest({0} * {0} - 4 * {1} * {1}, 0))) / 2)"
     roots = " UNION ALL ".join(f"SELECT unit_ix, pow({norm.format(f'(p{h} * p{h} + q{h} * q{h} + r{h} * r{h} + s{h} * s{h})', f'(p{h} * s{h} - q{h} * r{h})')}, 1.0 / {h}) AS root FROM m{most} WHERE horizon >= {h} AND p{h} IS NOT NULL AND r{h} IS NOT NULL" for h in range(1, most + 1))

@@ -22,7 +22,7 @@ def indexed(cells: DataFrame) -> DataFrame:
     tables of distinct units and periods."""
     units = cells.select("unit").distinct().withColumn("unit_ix", F.row_number().over(Window.orderBy("unit")) - 1)
     periods = cells.select("t").distinct().withColumn("t_ix", F.row_number().over(Window.orderBy("t")) - 1)
-    return cells.join(F.broadcast(units), "unit").join(F.broadcast(periods), "t")
+    return cells.join(units, "unit").join(periods, "t")
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +49,16 @@ def orders_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.full_grid(indexed(cells).select("unit_ix", "t_ix", "y"))
 
 
-def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User by day of event: y = mean value; sparse."""
+def user_day_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User by day of event, days with events only: y = mean value; sparse."""
     events = table(spark, sf_dir, "events", "user_id", "ts", "value")
     cells = events.groupBy(F.col("user_id").alias("unit"), F.to_date("ts").alias("t")).agg(F.avg("value").alias("y"))
-    return P.full_grid(indexed(cells).select("unit_ix", "t_ix", "y"))
+    return indexed(cells).select("unit_ix", "t_ix", "y")
+
+
+def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on the full grid; absent cells are null."""
+    return P.full_grid(user_day_cells(spark, sf_dir))
 
 
 def annual_nation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,16 +144,18 @@ def test_native_statistics_equal_the_kernels(spark):
     gaps = spark.createDataFrame(pd.concat([pdf[pdf.unit_ix == 0].assign(t_ix=lambda x: 2 * x.t_ix), pd.DataFrame({"unit_ix": [0], "t_ix": [3], "y": [float("nan")], "a": [0.0], "b": [0.0]})]))
     assert abs(D.adf_statistics(gaps, "y").first().t_stat - want[0]) < 1e-8
     roots = {r.unit_ix: (r.growth, r.persistence) for r in D.companion_persistence(df.where("unit_ix < 4"), "a", "b").collect()}
+    assert D.horizon(df.where("unit_ix < 4")) == 6  # log(60 * 4), not log(60)
+    assert min(0.99, max(g for g, _ in roots.values())) == K.persistence([a.T, b.T])
     for k in range(4):
         c = np.zeros((60, 2, 2))
         c[:, 0, 0], c[:, 0, 1], c[:, 1, 0] = a[k], b[k], 1
         best, running = 0.0, c
-        for h in range(1, 6):
+        for h in range(1, 7):
             running = c[h - 1 :] @ running[: 60 - h + 1] if h > 1 else c
             best = max(best, float(np.linalg.norm(running, ord=2, axis=(1, 2)).max()) ** (1 / h))
-        assert abs(roots[k][0] - best) < 1e-10 and roots[k][1] == K.persistence([a[k][:, None], b[k][:, None]])
+        assert abs(roots[k][0] - best) < 1e-10 and roots[k][1] == min(0.99, roots[k][0])
     s = np.linalg.svd(y[:3], compute_uv=False) ** 2
-    assert abs(D.first_singular_share(df.where("unit_ix < 3"), "y", 2).first().share - s[0] / s.sum()) < 1e-10
+    assert abs(D.first_singular_share(df.where("unit_ix < 3"), "y").first().share - s[0] / s.sum()) < 1e-10
 
 
 def test_estimates_in_one_pass_equal_the_parts(spark, frame):

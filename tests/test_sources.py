@@ -103,3 +103,91 @@ def test_states_of_codes(spark):
     areas = spark.createDataFrame([("00123", "Town, TX", 1), ("123", "Town, QQ-OK", 2), ("77", "Nowhere", 3)], "code string, name string, position long")
     values = spark.createDataFrame([("0123", 1.0), ("123", 3.0), ("77", 9.0), ("5", 9.0)], "code string, value double")
     assert [tuple(r) for r in P.state_means(values, P.state_of_codes(areas)).collect()] == [("OK", 2.0, 2)]
+
+
+def workbook(path, rows, title="List 1"):
+    """A workbook of one sheet: shared strings, numbers, an inline string and gaps."""
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    strings, xml = [], []
+    for r, cells in rows:
+        out = []
+        for c, v in enumerate(cells):
+            ref = ("" if c < 26 else chr(64 + c // 26)) + chr(65 + c % 26) + str(r)
+            if isinstance(v, (int, float)):
+                out.append(f'<c r="{ref}"><v>{v}</v></c>')
+            elif isinstance(v, bytes):
+                out.append(f'<c r="{ref}" t="inlineStr"><is><t>{escape(v.decode())}</t></is></c>')
+            elif v is not None:
+                out.append(f'<c r="{ref}" t="s"><v>{len(strings)}</v></c>')
+                strings.append(v)
+        xml.append(f'<row r="{r}">{"".join(out)}</row>')
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Notes" sheetId="2" r:id="rId2"/><sheet name="{title}" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><r><t>{escape(s[:2])}</t></r><r><t>{escape(s[2:])}</t></r></si>" for s in strings) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{''.join(xml)}</sheetData></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {ns}><sheetData/></worksheet>")
+
+
+def test_crosswalk_from_a_workbook(spark, tmp_path):
+    from panelmill.sources import sheets
+
+    head = ["CBSA Code", None, "CBSA  Title", "Metropolitan/Micropolitan Statistical Area", "County", "FIPS State Code", "FIPS County Code"]
+    metro = "Metropolitan Statistical Area"
+    rows = [
+        (1, ["A list of CBSA codes & titles"]),
+        (3, head),
+        (4, ["10180", None, "Abilene, TX ", metro, "Callahan", 48, 59]),
+        (5, [b"10180", None, "Abilene, TX ", metro, "Callahan", "48", "059"]),
+        (7, [10420.0, None, "Akron <OH>", metro, "Portage", 39.0, 133]),
+        (8, ["10100", None, "Aberdeen, SD", "Micropolitan Statistical Area", "Brown", 46, 13]),
+        (9, ["Note: revised"]),
+    ]
+    workbook(tmp_path / "list.xlsx", rows)
+    got = {tuple(r) for r in sheets.county_crosswalk(spark, str(tmp_path / "list.xlsx"), "List 1").collect()}
+    assert got == {("48059", "10180", "Abilene, TX"), ("39133", "10420", "Akron <OH>")}
+    assert {tuple(r) for r in sheets.county_crosswalk(spark, str(tmp_path), "List 1").collect()} == got
+    with pytest.raises(ValueError, match="no row"):
+        sheets.read_sheet(spark, str(tmp_path / "list.xlsx"), [["absent"]], "List 1")
+    assert list(sheets.sheet_rows((tmp_path / "list.xlsx").read_bytes())) == []
+    assert sheets._column("AB12") == 27
+
+
+def test_results_are_kept_by_digest(spark, tmp_path):
+    from panelmill.sources.materialised import forget, materialised
+
+    source, kept, calls = str(tmp_path / "in"), str(tmp_path / "kept"), []
+    spark.range(5).write.parquet(source)
+
+    def build():
+        calls.append(1)
+        return spark.read.parquet(source).selectExpr("sum(id) AS s")
+
+    def value(**parameters):
+        return materialised(spark, kept, "total", [source], parameters, build).first().s
+
+    assert value(q=1) == 10 and value(q=1) == 10 and len(calls) == 1
+    assert value(q=2) == 10 and len(calls) == 2
+    spark.range(7).write.mode("overwrite").parquet(source)
+    assert value(q=1) == 21 and len(calls) == 3
+    assert not [p for p in (tmp_path / "kept" / "total").iterdir() if p.name.startswith(".") and p.is_dir()]
+    forget(spark, kept, "total")
+    assert value(q=1) == 21 and len(calls) == 4
+
+
+def test_table_function_equals_windows(spark, sf):
+    from panelmill.functions import tablefunctions
+    from panelmill.operators import diagnostics as D
+    from panelmill.sources import tables as T
+
+    panel = T.shipments(spark, sf).select("unit_ix", "t_ix", "y")
+    panel.createOrReplaceTempView("adf_panel")
+    tablefunctions.register(spark)
+    rows = spark.sql("SELECT * FROM adf_row(TABLE(SELECT unit_ix, t_ix, y FROM adf_panel) PARTITION BY unit_ix ORDER BY t_ix)").collect()
+    want = {r.unit_ix: (r.t_stat, r.unit_root) for r in D.adf_statistics(panel, "y").collect()}
+    assert {r.unit_ix for r in rows} >= set(want) and len(rows) == len({r.unit_ix for r in rows})
+    for r in rows:
+        assert abs(r.t_stat - want.get(r.unit_ix, (0.0,))[0]) < 1e-6
