@@ -34,7 +34,7 @@ INLINE = frozenset("a abbr acronym audio b bdi bdo big br button canvas cite cod
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Opening the key closes these open siblings.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_MARKUP = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'<]|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>", re.S)
+_MARKUP = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'<]|\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])|[\"'])*+)>", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"[\s\xa0]+")
 _PIECES = re.compile(r"[a-z]+")
@@ -237,6 +237,9 @@ def project(p: dict, xs: list[np.ndarray]) -> tuple:
     return e, kept, (x, back), index, lengths
 
 
+#: Class words of parts that belong to an article, also beside words that name adverts, menus or notices.
+_INNER = "note info tip intro lead lede summary abstract quote pullquote callout caption credit byline dateline text body para paragraph block row col column inner wrap section part chapter step recipe ingredients method result figure media photo gallery image table data list item answer question definition term example code listing warning important highlight box panel card content main-text rich-text entry story-part post-part promo-code".split()
+_OUTER = "header footer nav menu sidebar aside notice cookie cookies consent advert ad promo banner sponsored form newsletter subscribe login search share social related widget comments".split()
 _SYLLABLES = "er an th in on re at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra".split()
 
 
@@ -287,6 +290,80 @@ def labelled_page(rng) -> tuple[str, list[int]]:
                 put(0, f"<{pick('p', 'div', 'p', 'h3')}>{_sentence(rng, 2, 40)}", "")
         parts.append(f"</{tag}>")
 
+    def made_up() -> str:
+        return "-".join("".join(_SYLLABLES[int(k)] for k in rng.integers(0, len(_SYLLABLES), rng.integers(1, 4))) for _ in range(int(rng.integers(1, 3))))
+
+    def attributes() -> str:
+        """Sometimes a class or id of an article's part or one that no page has."""
+        r = rng.random()
+        if r < 0.4:
+            return ""
+        odd = pick("", "", ' title="a < b"', " data-x='<i>'")
+        return f' {pick("class", "class", "id")}="{pick(*_INNER) if r < 0.8 else made_up()}"{odd}'
+
+    def line(low: int, high: int) -> str:
+        text = _sentence(rng, low, high)
+        r = rng.random()
+        if r < 0.06:
+            return pick("&copy; ", "© ", "Copyright ") + text
+        if r < 0.12:
+            return f'<a href="/y">{text}</a>'
+        return f'{text} <img alt="x < y" src="z"> {_sentence(rng, 1, 4)}' if r < 0.15 else text
+
+    def inner_part() -> None:
+        """One of the flow elements that an article may hold."""
+        kind = int(rng.integers(0, 11))
+        if kind == 0:
+            put(1, f"<{(h := pick('h2', 'h3', 'h4', 'h5', 'h6'))}{attributes()}>{line(1, 9)}", f"</{h}>")
+        elif kind == 1:
+            parts.append(f'<figure{attributes()}><img src="x" alt="a > b">')
+            put(1, f"<figcaption{attributes()}>{line(2, 20)}", "</figcaption></figure>")
+        elif kind == 2:
+            parts.append(f"<dl{attributes()}>")
+            for _ in range(int(rng.integers(1, 4))):
+                put(1, f"<dt>{line(1, 4)}", pick("</dt>", ""))
+                put(1, f"<dd>{line(2, 20)}", pick("</dd>", ""))
+            parts.append("</dl>")
+        elif kind in (3, 4):
+            put(1, f"<div{attributes()}>{line(1, 40)}", "</div>")
+        elif kind in (5, 6):
+            tag = pick("section", "div", "div", "details")
+            parts.append(f"<{tag}{attributes()}>")
+            if tag == "details":
+                put(1, f"<summary>{line(1, 6)}", "</summary>")
+            for _ in range(int(rng.integers(1, 4))):
+                put(1, f"<{(t := pick('p', 'p', 'h3', 'div'))}{attributes()}>{line(2, 40)}", f"</{t}>")
+            parts.append(f"</{tag}>")
+        elif kind in (7, 8):
+            put(1, f"<p{attributes()}>{line(1, 40)}", "</p>")
+        elif kind == 9:
+            put(1, f"<{(t := pick('pre', 'address', 'blockquote'))}{attributes()}>{line(2, 25)}", f"</{t}>")
+        else:
+            tag = pick("ol", "ul")
+            parts.append(f"<{tag}{attributes()}>")
+            for _ in range(int(rng.integers(1, 5))):
+                put(1, f"<li{attributes()}>{line(1, 25)}", pick("</li>", ""))
+            parts.append(f"</{tag}>")
+
+    def outer_part() -> None:
+        """The same elements where they are no article: a part named as one of those that go."""
+        name = pick(*_OUTER)
+        tag = pick("div", "div", "section", name if name in ("header", "footer", "nav", "aside", "form") else "div")
+        attr = "" if tag == name else f' {pick("class", "class", "id")}="{name}{pick("", "", "-area", "-" + made_up(), " " + made_up())}"'
+        parts.append(f"<{tag}{attr}>")
+        if rng.random() < 0.3:
+            put(0, f"<{(t := pick('h2', 'h3', 'h4', 'p'))}>{line(1, 5)}", f"</{t}>")
+            parts.append("<ul>")
+            for _ in range(int(rng.integers(1, 5))):
+                put(0, f'<li><a href="/z">{_sentence(rng, 1, 8)}</a>', pick("</li>", ""))
+            parts.append(f"</ul></{tag}>")
+            return
+        for _ in range(int(rng.integers(1, 4))):
+            t = pick("p", "p", "div", "h3", "h4", "li", "dd", "span", "address", "figcaption", "section")
+            own = f' class="{pick(*_INNER[:40]) if rng.random() < 0.5 else made_up()}"' if rng.random() < 0.3 else ""
+            put(0, f"<{t}{own}>{line(1, 30)}", f"</{t}>" + ("<hr>" if t == "span" else ""))
+        parts.append(f"</{tag}>")
+
     def advert() -> None:
         if rng.random() < 0.5:
             put(0, f'<div class="{pick("ad", "ads", "advert", "banner", "sponsored", "promo")}">{_sentence(rng, 3, 30)}</div>')
@@ -304,6 +381,8 @@ def labelled_page(rng) -> tuple[str, list[int]]:
         menu(*pick_pair(rng, ("<nav>", "</nav>"), ("<nav>", "</nav>"), ('<div class="menu">', "</div>"), ('<div id="navbar">', "</div>"), ('<ul class="nav">', "</ul>")))
     if rng.random() < 0.5:
         advert()
+    if rng.random() < 0.3:
+        outer_part()
     if rng.random() < 0.1:
         put(0, f"<noscript>{pick('', '<p>')}{_sentence(rng, 3, 15)}", "</noscript>")
     if rng.random() < 0.25:
@@ -311,17 +390,24 @@ def labelled_page(rng) -> tuple[str, list[int]]:
     wrap = rng.random() < 0.3
     if wrap:
         parts.append(pick('<div class="wrapper">', '<div id="page">', "<main>", '<div class="container">'))
-    open_, close = pick_pair(rng, ("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div class="article-body">', "</div>"), ('<div id="post">', "</div>"), ('<section class="story entry-content">', "</section>"), ('<article class="post">', "</article>"))
+    open_, close = pick_pair(rng, ("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div class="article-body">', "</div>"), ('<div id="post">', "</div>"), ('<section class="story entry-content">', "</section>"), ('<article class="post">', "</article>"), ('<div class="post-content">', "</div>"), ('<div role="main">', "</div>"), ('<main id="content"><div class="text">', "</div></main>"), ('<div class="entry">', "</div>"), ('<div id="main"><div class="story">', "</div></div>"), (f"<article{attributes()}>", "</article>"))
     parts.append(open_)
+    varied = rng.random() < 0.6
     if rng.random() < 0.8:
         put(1, f"<h1>{_sentence(rng, 2, 12)}", "</h1>")
     for _ in range(int(rng.integers(1, 12))):
+        if varied and rng.random() < 0.5:
+            inner_part()
+            continue
+        if varied and rng.random() < 0.2:
+            outer_part()
+            continue
         r = rng.random()
         if r < 0.01:
             # a run of short paragraphs
-            line = _sentence(rng, 1, 6)
+            same = _sentence(rng, 1, 6)
             for _ in range(int(rng.integers(5, 60))):
-                put(1, f"<p>{line}", "</p>")
+                put(1, f"<p>{same}", "</p>")
         elif r < 0.72:
             formula = "<math><mi>x</mi><mo>=</mo><mn>2</mn></math> " if rng.random() < 0.05 else ""
             put(1, f"<p>{formula}{_sentence(rng, 1, 70)}", pick("</p>", "</p>", "</p>", "", "<br>"))
@@ -355,9 +441,9 @@ def labelled_page(rng) -> tuple[str, list[int]]:
     if not inner:
         parts.append(close)
     if rng.random() < 0.35:
-        parts.append(pick('<section id="comments">', '<div class="comments">', '<div class="comment-list">', '<ol class="comments">'))
+        parts.append(pick('<section id="comments">', '<div class="comments">', '<div class="comment-list">', '<ol class="comments">', '<div id="comments">', '<div id="responses">', '<section class="discussion">'))
         for _ in range(int(rng.integers(1, 5))):
-            put(0, f'<{pick("p", "div", "li")} class="comment">{_sentence(rng, 3, 50)}', "")
+            put(0, f'<{pick("p", "div", "li")}{pick(" class=comment", " class=comment", "", attributes())}>{_sentence(rng, 2, 50)}', "")
         parts.append("</section></div></ol>")
     if inner:
         parts.append(close)
@@ -367,6 +453,8 @@ def labelled_page(rng) -> tuple[str, list[int]]:
         aside_like(("form", "newsletter", "subscribe", "login", "search"))
     if rng.random() < 0.25:
         aside_like(("sidebar", "aside", "related", "widget"))
+    for _ in range(int(rng.integers(0, 3))):
+        outer_part()
     if rng.random() < 0.85:
         tag = pick("footer", "footer", "footer", 'div class="footer"', 'div id="footer"')
         parts.append(f"<{tag}>")
@@ -382,7 +470,7 @@ def pick_pair(rng, *options: tuple[str, str]) -> tuple[str, str]:
 
 
 @functools.lru_cache(maxsize=1)
-def trained(n_pages: int = 900, steps: int = 350, batch: int = 32) -> dict[str, np.ndarray]:
+def trained(n_pages: int = 1500, steps: int = 700, batch: int = 32) -> dict[str, np.ndarray]:
     """Parameters after Adam steps on the block labels; the same on every run."""
     rng = np.random.default_rng(7)
     made = [labelled_page(rng) for _ in range(n_pages)]

@@ -93,6 +93,57 @@ def test_held_out_generated_pages():
     assert np.mean(np.concatenate([(s > 0) == np.array(y) for s, (_, y) in zip(scores, made, strict=True)])) > 0.97
 
 
+#: Markup inside an article and the blocks that it gives.
+CONSTRUCTS = [
+    ("<h4>Small head</h4>", ["Small head"]),
+    ("<figure><img src=x><figcaption>A boat on the lake</figcaption></figure>", ["A boat on the lake"]),
+    ("<dl><dt>Boat</dt><dd>A thing that floats on water</dd></dl>", ["Boat", "A thing that floats on water"]),
+    ('<div class="note">Take care of the oars.</div>', ["Take care of the oars."]),
+    ('<section class="intro"><p>It begins at dawn by the lake.</p></section>', ["It begins at dawn by the lake."]),
+    ("<div>Plain division with words about water.</div>", ["Plain division with words about water."]),
+    ('<p class="promo-code">The code was strict.</p>', ["The code was strict."]),
+    ("<p>© The painter, 1890.</p>", ["© The painter, 1890."]),
+    ("<pre>some code here</pre>", ["some code here"]),
+    ("<ol><li>first thing to do<li>second thing</ol>", ["first thing to do", "second thing"]),
+    ("<table><tr><th>Year</th><td>1890</td></tr></table>", ["Year", "1890"]),
+    ("<blockquote>We went at night.</blockquote>", ["We went at night."]),
+    ('<p>a <img alt="x < y"> b</p>', ["a b"]),
+    ("<details><summary>More of it</summary><p>Here is more.</p></details>", ["More of it", "Here is more."]),
+    ('<p><a href="/a">A linked sentence stands here.</a></p>', ["A linked sentence stands here."]),
+]
+_STORY = "<h1>The lake at dawn</h1><p>One plain paragraph of the story that is long enough to read with care.</p>%s<p>The last paragraph ends the story here.</p>"
+#: Hand-written layouts; what surrounds the story is no main text.
+LAYOUTS = [
+    "<html><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a><li><a href=/b>News</a></ul></nav><article>@</article><aside class=sidebar><p>Other stories</p></aside><footer><p>© Site 2020</p></footer></body></html>",
+    '<body><div id="top-menu" class="menu"><a href=/>Home</a> <a href=/c>Contact</a></div><div id="content">@</div><div id="comments"><p>Nice story!</p><p>I agree with it</p></div><div id="footer">Imprint</div></body>',
+    '<body><main><div class="ad">Buy boats now!</div><section class="story">@</section><form><p>Subscribe here</p></form></main><footer><ul><li><a href=/>Home</a></li></ul></footer></body>',
+    '<body><div class="wrapper"><div class="header"><p>Daily paper</p></div><div class="post-content">@</div><div class="related"><h3>Read on</h3><ul><li><a href=/1>Another one</a></ul></div></div><div class="footer"><p>All rights</p></div></body>',
+    '<body><div class="cookie-notice"><p>We use cookies here.</p></div><nav><a href=/>Home</a></nav><article class="post"><div class="share"><p>Share this</p></div>@</article><section id="comments"><div class="comment">So true.</div></section></body>',
+    '<body><nav class="menu"><ul><li><a href=/>Start</a></ul></nav><div role="main">@<div class="newsletter"><p>Get our letter every week</p></div></div><aside><h3>Most read</h3><p>Something else</p></aside><footer>Contact us</footer></body>',
+]
+
+
+def test_flow_elements_of_articles_in_hand_written_layouts():
+    labeller = html_text.Labeller(html_text.trained())
+    ends = ["The lake at dawn", "One plain paragraph of the story that is long enough to read with care.", "The last paragraph ends the story here."]
+    right = total = extra = 0
+    for layout in LAYOUTS:
+        for markup, blocks in CONSTRUCTS:
+            got = html_text.main_texts([layout.replace("@", _STORY % markup)], labeller)[0].split("\n")
+            want = [*ends[:2], *blocks, ends[2]]
+            right += sum(b in got for b in want)
+            total += len(want)
+            extra += sum(b not in want for b in got)
+    assert right >= 0.98 * total
+    assert extra <= 0.05 * total
+
+
+def test_reader_allows_markup_signs_in_closed_quotes():
+    read = lambda page: [t for _, t, _ in html_text.blocks(page)]
+    assert read('<p>a <img alt="x < y"> b</p><p title=\'<b>"</b>\'>c<p data-x="1>2" >d') == ["a b", "c", "d"]
+    assert read('<p title="open>e</p><p class="x">f</p>') == ["e", "f"]
+
+
 def test_reader_on_broken_markup():
     b = html_text.blocks('x<p>a<p class="q>r">b &lt;i&gt; <script>var t="</p>"</script>c<!-- <p>no --><br>d</p>  e\n f &copy <td>g')
     assert [t for _, t, _ in b] == ["x", "a", "b <i> c d", "e f ©", "g"]
