@@ -50,15 +50,10 @@ def purged_sets(folds: DataFrame, j: int, q: int, r: int = 0) -> DataFrame:
 
 def purged(folds: DataFrame, j: int, q: int, r: int = 0) -> DataFrame:
     """(fold j, t_ix, unit_ix, is_val, is_train): a cell trains fold j unless held out, or within q periods
-    after and r units beside a held-out cell."""
-    held = folds.select("t_ix", "unit_ix", F.col("fold").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(j - 1))).alias("j"))
-    held = held.withColumn("h", (F.col("own") == F.col("j")).cast("int"))
-    back = Window.partitionBy("j", "unit_ix").orderBy("t_ix").rangeBetween(-q, 0)
-    out = held.withColumn("near", F.max("h").over(back))
-    if r:
-        beside = Window.partitionBy("j", "t_ix").orderBy("unit_ix").rangeBetween(-r, r)
-        out = out.withColumn("near", F.max("near").over(beside))
-    return out.select("j", "t_ix", "unit_ix", (F.col("h") == 1).alias("is_val"), (F.col("near") == 0).alias("is_train"))
+    after and r units beside a held-out cell. The windows see a cell once; only their result is copied by fold."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(j - 1)))
+    out = purged_sets(folds, j, q, r).select(each.alias("j"), "t_ix", "unit_ix", "fold", "trains")
+    return out.select("j", "t_ix", "unit_ix", (F.col("fold") == F.col("j")).alias("is_val"), F.array_contains("trains", F.col("j")).alias("is_train"))
 
 
 def fold_meta(masks: DataFrame) -> DataFrame:

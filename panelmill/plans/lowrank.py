@@ -179,6 +179,51 @@ def fit_factor_ridge_sweeps(spark, sf_dir):
     return R._out(out, "run", digits=5, objective=last, period_norm="ff", unit_norm="gg")
 
 
+# --- two steps of the debiasing weights' solver -------------------------------------------------------------------------
+
+_STEPS = 2
+
+
+def _weights_sql() -> list[str]:
+    """Conjugate gradients in the coordinates (B, A) of two blocks of rank 1; states b{k} by unit and a{k} by period."""
+    out = [
+        _SPACES,
+        "d AS MATERIALIZED (SELECT t_ix, unit_ix, x * 10 AS z, 1.0 + unit_ix % 2 + t_ix % 2 AS w, (t_ix + unit_ix) % 5 <> 0 AS train, u1, u2, v1, v2 FROM panel JOIN un USING (t_ix) JOIN vn USING (unit_ix))",
+        "size AS (SELECT count(*) / count(*) FILTER (train) AS alpha FROM d)",
+        "a_raw AS (SELECT t_ix, any_value(u1) AS u1, sum(w * v1) AS h FROM d GROUP BY 1)",
+        "b0 AS MATERIALIZED (SELECT unit_ix, 0.0 AS q0, 0.0 AS q1, sum(w * u1) AS r0, 0.0 AS r1, sum(w * u1) AS p0, 0.0 AS p1 FROM d GROUP BY 1)",
+        "a0 AS MATERIALIZED (SELECT t_ix, 0.0 AS q0, 0.0 AS q1, h - u1 * c AS r0, 0.0 AS r1, h - u1 * c AS p0, 0.0 AS p1 FROM a_raw CROSS JOIN (SELECT sum(u1 * h) AS c FROM a_raw))",
+    ]
+    for k in range(_STEPS):
+        out += [
+            f"s{k} AS MATERIALIZED (SELECT t_ix, unit_ix, z, u1, u2, v1, v2, alpha * (z * (u1 * b.p0 + v1 * a.p0) + u2 * b.p1 + v2 * a.p1) AS s FROM d JOIN b{k} b USING (unit_ix) JOIN a{k} a USING (t_ix) CROSS JOIN size WHERE train)",
+            f"hb{k} AS MATERIALIZED (SELECT unit_ix, sum(s * z * u1) AS h0, sum(s * u2) AS h1 FROM s{k} GROUP BY 1)",
+            f"hr{k} AS MATERIALIZED (SELECT t_ix, any_value(u1) AS u1, any_value(u2) AS u2, sum(s * z * v1) AS h0, sum(s * v2) AS h1 FROM s{k} GROUP BY 1)",
+            f"ha{k} AS MATERIALIZED (SELECT t_ix, h0 - u1 * c0 AS h0, h1 - u2 * c1 AS h1 FROM hr{k} CROSS JOIN (SELECT sum(u1 * h0) AS c0, sum(u2 * h1) AS c1 FROM hr{k}))",
+            f"st{k} AS MATERIALIZED (SELECT sum(r0 * r0 + r1 * r1) AS rr, sum(p0 * h0 + p1 * h1) AS ph FROM (SELECT r0, r1, p0, p1, h0, h1 FROM b{k} JOIN hb{k} USING (unit_ix) UNION ALL SELECT r0, r1, p0, p1, h0, h1 FROM a{k} JOIN ha{k} USING (t_ix)))",
+        ]
+        for side, key in (("b", "unit_ix"), ("a", "t_ix")):
+            out.append(f"{side}n{k} AS MATERIALIZED (SELECT {key}, q0 + rr / ph * p0 AS q0, q1 + rr / ph * p1 AS q1, r0 - rr / ph * h0 AS r0, r1 - rr / ph * h1 AS r1, p0, p1 FROM {side}{k} JOIN h{side}{k} USING ({key}) CROSS JOIN st{k})")
+        out.append(f"be{k} AS MATERIALIZED (SELECT (SELECT sum(x) FROM (SELECT sum(r0 * r0 + r1 * r1) AS x FROM bn{k} UNION ALL SELECT sum(r0 * r0 + r1 * r1) FROM an{k})) / rr AS beta FROM st{k})")
+        for side, key in (("b", "unit_ix"), ("a", "t_ix")):
+            out.append(f"{side}{k + 1} AS MATERIALIZED (SELECT {key}, q0, q1, r0, r1, r0 + beta * p0 AS p0, r1 + beta * p1 AS p1 FROM {side}n{k} CROSS JOIN be{k})")
+    return out
+
+
+@query(R._sql(f"SELECT {R._KEYS}, {R._r('z * (u1 * b.q0 + v1 * a.q0) + u2 * b.q1 + v2 * a.q1', 5)} AS psi FROM d JOIN b{_STEPS} b USING (unit_ix) JOIN a{_STEPS} a USING (t_ix)", "panel", *_weights_sql()))
+def riesz_weights_steps(spark, sf_dir):
+    """Two steps of the matrix-free solver without ridge: weights of one target of the first block, two blocks of rank 1."""
+    cells = _cells(spark, sf_dir)
+    z = F.array(F.col("x") * 10, F.lit(1.0))
+    u, v = _space(cells, "t_ix", F.col("t_ix"), "u"), _space(cells, "unit_ix", F.pmod(F.col("unit_ix"), F.lit(3)), "v")
+    long = cells.select("t_ix", "unit_ix", z.alias("z"), ((F.col("t_ix") + F.col("unit_ix")) % 5 != 0).alias("is_train"))
+    w = (1.0 + F.col("unit_ix") % 2 + F.col("t_ix") % 2).alias("w")
+    directions = cells.select(F.lit("target").alias("target"), F.lit(0).alias("block"), "t_ix", "unit_ix", w)
+    n, trained = long.agg(F.count("*"), F.count_if("is_train")).first()
+    psi, _ = W.riesz_weights(long, directions, ["target"], u, v, [0, 1], n / max(trained, 1), ridge=0.0, tol=0.0, most=_STEPS)
+    return R._out(psi, "unit_ix", "t_ix", digits=5, psi=F.col("psi")[0])
+
+
 # --- balanced folds over the whole panel ------------------------------------------------------------------------------
 
 _SCATTERED = f"SELECT t_ix, unit_ix, (row_number() OVER (ORDER BY md5('{7}:' || t_ix || ':' || unit_ix), t_ix, unit_ix) - 1) % 6 AS fold FROM panel"
