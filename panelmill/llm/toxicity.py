@@ -154,11 +154,12 @@ def shrunk(word: str, model: list) -> set[str]:
 
 
 def decode(steps: list[list[tuple[str, float]]], model: list) -> str:
-    """Viterbi over a lattice, states are the last two symbols."""
-    beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """Viterbi over a lattice, states are the last two symbols. A state keeps what it emitted last and the state before,
+    so a step costs the same however long the text; of equal ends the first in alphabetical order counts."""
+    beams: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for step in steps:
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in beams.items():
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, trail) in beams.items():
             for emit, price in step:
                 x, y, total = a, b, cost + price
                 for c in emit:
@@ -167,9 +168,19 @@ def decode(steps: list[list[tuple[str, float]]], model: list) -> str:
                     x, y = y, z
                 held = nxt.get((x, y))
                 if held is None or total < held[0]:
-                    nxt[x, y] = (total, text + emit)
+                    nxt[x, y] = (total, (trail, emit) if emit else trail)
         beams = nxt
-    return min((cost - model[a][b][0], text) for (a, b), (cost, text) in beams.items())[1]
+    ends = [(cost - model[a][b][0], trail) for (a, b), (cost, trail) in beams.items()]
+    least = min(cost for cost, _ in ends)
+    return min(_spelled(trail) for cost, trail in ends if cost == least)
+
+
+def _spelled(trail: tuple | None) -> str:
+    parts = []
+    while trail is not None:
+        trail, emit = trail
+        parts.append(emit)
+    return "".join(reversed(parts))
 
 
 class Restorer:
