@@ -14,9 +14,14 @@ All windows of a size share their walks from (step, word) on, so keys of all sta
 backward recursion over steps, vectorised over words:
 key_j(i) = [j sampled] x[i] + key_{j+1}(i + bit_j(x[i])).
 
-A hit is verified by semi-global edit distance over words: at most ``MAX_EDITS`` of the item's words.
-Items are read in blocks of ``ITEM_BLOCK`` rows, whose size bounds what a task is sent; each block meets
-all texts.
+Keys of frequent words select nothing, so an anchor is keyed only if its sampled words, by their frequency in
+the block of items, are expected to meet fewer than ``CANDIDATES`` windows a word of text, all anchors
+together; pieces cannot be left out. Before a hit becomes a candidate, the item's words are looked up around
+their places, rarest first, many hits at once: more of them missing than edits are allowed rule it out.
+
+A candidate is verified by semi-global edit distance over words, bit-parallel: at most ``MAX_EDITS`` of the
+item's words. Items are read in blocks of at most ``ITEM_BLOCK`` rows and ``ITEM_WORDS`` words (but one item at
+least), which bounds what a task is sent; each block meets all texts.
 """
 
 from __future__ import annotations
@@ -35,7 +40,10 @@ PART = 0.75
 SAMPLES = 4
 REPEATS = 3
 STRETCH = 1.4
+CANDIDATES = 0.02
 ITEM_BLOCK = 20_000
+ITEM_WORDS = 300_000
+HITS = 500_000
 SLICE = 200_000
 _LUT_BITS = 16
 
@@ -59,8 +67,9 @@ def pieces(n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def walk_keys(hashes: np.ndarray, size: int, repeat: int) -> np.ndarray:
-    """Key of the window that starts at each word (the walk may look at words past its end)."""
+def walk_keys(hashes: np.ndarray, size: int, repeat: int, rarity: np.ndarray | None = None):
+    """Key of the window that starts at each word (the walk may look at words past its end). With the ``rarity``
+    of each word, a 32-bit number: (keys, summed rarity of the places that each key samples, each place once)."""
     steps = max(1, round(STRETCH * size))
     rng = np.random.default_rng([size, repeat])
     edges = np.linspace(0, steps, min(SAMPLES, steps) + 1).astype(int)
@@ -71,6 +80,8 @@ def walk_keys(hashes: np.ndarray, size: int, repeat: int) -> np.ndarray:
     key = np.zeros(n + 1, np.uint32)
     move, other = np.empty(n, np.int32), np.empty(n, np.uint32)
     ahead, here = key[1:], key[:-1]
+    # twice the sum, plus one where the place itself is in it
+    total, spare = np.zeros(n + 1 if rarity is not None else 1, np.uint32), np.empty(n if rarity is not None else 0, np.uint32)
     bits = None
     for j in range(max(sampled), -1, -1):
         if bits is None or j % 32 == 31:
@@ -84,7 +95,15 @@ def walk_keys(hashes: np.ndarray, size: int, repeat: int) -> np.ndarray:
         if j in sampled:
             np.multiply(here, np.uint32(0x9E3779B1), out=here)
             np.bitwise_xor(here, symbol * np.uint32(2 * j + 0x85EBCA6B), out=here)
-    return here
+        if rarity is not None:
+            np.bitwise_xor(total[1:], total[:-1], out=spare)
+            np.bitwise_and(spare, move.view(np.uint32), out=spare)
+            np.bitwise_xor(total[:-1], spare, out=total[:-1])
+            np.bitwise_and(move.view(np.uint32), np.uint32(1), out=spare)
+            np.bitwise_and(total[:-1], ~spare, out=total[:-1])
+            if j in sampled:
+                total[:-1] += np.where(total[:-1] & np.uint32(1), np.uint32(0), 2 * rarity + np.uint32(1))
+    return here if rarity is None else (here, total[:-1] >> np.uint32(1))
 
 
 class Items:
@@ -94,10 +113,20 @@ class Items:
         w = item_words(texts)
         self.ids, self.times = ids, times or [1] * len(ids)
         self.words = [w.hashes[a:b] for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)]
+        self.known, which, often = np.unique(w.hashes, return_inverse=True, return_counts=True)
+        self.first, self.sizes = w.offsets[:-1], w.counts
+        self.most = (MAX_EDITS * w.counts).astype(np.int64)
+        # places of each item's words, rarest first, and the words there
+        self.places = np.lexsort((often[which], np.repeat(np.arange(len(ids)), w.counts))) if len(which) else np.empty(0, np.int64)
+        self.which = which[self.places].astype(np.int64)
+        self.places = (self.places - np.repeat(self.first, w.counts)).astype(np.int64)
         by_size: dict[int, list[int]] = {}
         for k, words in enumerate(self.words):
             if len(words):
                 by_size.setdefault(window_size(len(words)), []).append(k)
+        anchors = sum(len(self.words[k]) - size + 1 for size, own in by_size.items() for k in own)
+        needed = 1024 * (np.log2(max(anchors, 1) * REPEATS) - np.log2(CANDIDATES))
+        rarity = (1024 * np.log2(len(which) / often)).astype(np.uint32) if len(which) else np.empty(0, np.uint32)
         self.tables = []
         for size, own in sorted(by_size.items()):
             # all items of a size in one walk, kept apart by words that no text has
@@ -105,10 +134,14 @@ class Items:
             flat = np.concatenate([part for k in own for part in (self.words[k], pad)])
             counts = np.array([len(self.words[k]) - size + 1 for k in own])
             base = np.cumsum(counts + 3 * size - 1) - (counts + 3 * size - 1)
-            item = np.repeat(own, counts)
-            offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            at = np.minimum(np.searchsorted(self.known, flat), len(self.known) - 1)
+            rare = np.where(self.known[at] == flat, rarity[at], np.uint32(0))
+            every = np.repeat(own, counts).astype(np.int32)
+            offsets = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
             for repeat in range(REPEATS):
-                keys = walk_keys(flat, size, repeat)[np.repeat(base, counts) + offset]
+                keys, total = walk_keys(flat, size, repeat, rare)
+                told = total[np.repeat(base, counts) + offsets] >= needed
+                keys, item, offset = keys[(np.repeat(base, counts) + offsets)[told]], every[told], offsets[told]
                 by = np.argsort(keys, kind="stable")
                 lut = np.zeros(1 << min(32, max(_LUT_BITS, len(keys).bit_length() + 4)), bool)
                 lut[keys & np.uint32(len(lut) - 1)] = True
@@ -124,30 +157,52 @@ class Items:
             bits = max(_LUT_BITS, len(keys).bit_length() + 4)
             lut = np.zeros(1 << bits, bool)
             lut[keys & np.uint64((1 << bits) - 1)] = True
-            self.pieces.append((width, keys, [(k, o) for _, k, o in rows], lut))
+            self.pieces.append((width, keys, np.array([k for _, k, _ in rows], np.int32), np.array([o for _, _, o in rows], np.int32), lut))
 
-    def hits(self, w: Words):
-        """(text, item, expected first word of the item) of every key match and every whole piece."""
-        out = set()
+    def matches(self, w: Words):
+        """Arrays (word of the texts, item, word of the item) of all key matches and whole pieces, in runs of about
+        ``HITS``; one place of the texts is never cut."""
         for size, repeat, keys, item, offset, lut in self.tables:
-            if len(w.hashes) < 1:
-                break
-            mine = walk_keys(w.hashes, size, repeat)
-            near = np.flatnonzero(lut[mine & np.uint32(len(lut) - 1)])
-            low, high = np.searchsorted(keys, mine[near]), np.searchsorted(keys, mine[near], side="right")
-            met = high > low
-            text = np.searchsorted(w.offsets, near[met], side="right") - 1
-            for t, s, a, b in zip(text.tolist(), near[met].tolist(), low[met].tolist(), high[met].tolist(), strict=True):
-                out.update((t, k, s - o) for k, o in zip(item[a:b].tolist(), offset[a:b].tolist(), strict=True))
-        for width, keys, anchors, lut in self.pieces:
+            if len(w.hashes) and len(keys):
+                mine = walk_keys(w.hashes, size, repeat)
+                near = np.flatnonzero(lut[mine & np.uint32(len(lut) - 1)])
+                yield from _equal_keys(mine[near], near, keys, item, offset)
+        for width, keys, item, offset, lut in self.pieces:
             mine = rolling(w.hashes, width)
             near = np.flatnonzero(lut[mine & np.uint64(len(lut) - 1)])
-            low, high = np.searchsorted(keys, mine[near]), np.searchsorted(keys, mine[near], side="right")
-            text = np.searchsorted(w.offsets, near, side="right") - 1
-            met = (high > low) & (near + width <= w.offsets[text + 1])
-            for t, s, a, b in zip(text[met].tolist(), near[met].tolist(), low[met].tolist(), high[met].tolist(), strict=True):
-                for k, o in anchors[a:b]:
-                    out.add((t, k, s - o))
+            near = near[near + width <= w.offsets[np.searchsorted(w.offsets, near, side="right")]]
+            yield from _equal_keys(mine[near], near, keys, item, offset)
+
+    def hits(self, w: Words) -> set[tuple[int, int, int]]:
+        """(text, item, expected first word of the item) of every match around which enough of the item's words stand."""
+        n = len(w.hashes)
+        at = np.minimum(np.searchsorted(self.known, w.hashes), max(len(self.known) - 1, 0))
+        there = np.flatnonzero(self.known[at] == w.hashes) if len(self.known) else np.empty(0, np.int64)
+        stands = np.sort(at[there] * (n + 1) + there)
+        out = set()
+        for place, item, offset in self.matches(w):
+            pairs = np.unique(np.stack((item.astype(np.int64), place - offset, np.searchsorted(w.offsets, place, side="right") - 1)), axis=1)
+            item, start, text = pairs[:, self._enough(*pairs[:2], stands, n)]
+            out.update(zip(text.tolist(), item.tolist(), start.tolist(), strict=True))
+        return out
+
+    def _enough(self, item: np.ndarray, start: np.ndarray, stands: np.ndarray, n: int) -> np.ndarray:
+        """Which (item, first word) can be within the edits allowed: at most so many words of the item do not stand
+        within so many words of their place. ``stands``: sorted (known word) * (n + 1) + (place among n words)."""
+        out = np.zeros(len(item), bool)
+        alive, missing, j = np.arange(len(item)), np.zeros(len(item), np.int64), 0
+        while len(alive):
+            k = item[alive]
+            entry, most = self.first[k] + j, self.most[k]
+            word, place = self.which[entry] * (n + 1), start[alive] + self.places[entry]
+            low, high = word + np.clip(place - most, 0, n), word + np.clip(place + most, -1, n)
+            found = np.append(stands, np.iinfo(np.int64).max)[np.searchsorted(stands, low)] <= high
+            missing += ~found
+            j += 1
+            good = missing <= most
+            ends = self.sizes[k] == j
+            out[alive[good & ends]] = True
+            alive, missing = alive[good & ~ends], missing[good & ~ends]
         return out
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
@@ -166,45 +221,64 @@ class Items:
             first, last = int(w.offsets[t]), int(w.offsets[t + 1])
             a, b = max(first, start - 2 * most - 1), min(last, start + n + 2 * most + 1)
             part = w.hashes[a:b]
-            if np.isin(item, part).sum() < n - most:
-                continue
             edits, end = edit_distance(item, part)
             if edits <= most and ((t, k) not in best or edits < best[t, k][0]):
                 best[t, k] = (edits, max(a + end - n, first) - first)
         return [(t, k, s, len(self.words[k]), e) for (t, k), (e, s) in sorted(best.items())]
 
 
+def _equal_keys(mine: np.ndarray, place: np.ndarray, keys: np.ndarray, item: np.ndarray, offset: np.ndarray):
+    """(place, item, offset) of all pairs of equal keys, in runs of about ``HITS`` pairs."""
+    low, high = np.searchsorted(keys, mine), np.searchsorted(keys, mine, side="right")
+    met = high > low
+    place, low, many = place[met], low[met], (high - low)[met]
+    ends = np.cumsum(many)
+    a = 0
+    while a < len(place):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - many[a] + HITS, side="right")))
+        some = many[a:b]
+        row = np.repeat(low[a:b] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+        yield np.repeat(place[a:b], some), item[row], offset[row]
+        a = b
+
+
 def edit_distance(item: np.ndarray, part: np.ndarray) -> tuple[int, int]:
-    """Least edits between the item and any piece of ``part``, and the end of the first such piece."""
+    """Least edits between the item and any piece of ``part``, and the end of the first such piece.
+
+    The columns of the table of edits are bit vectors of their differences: one bit a word of the item."""
     n = len(item)
-    steps = np.arange(n + 1)
-    row, best, end = steps.copy(), n, 0
-    for j, word in enumerate(part):
-        new = np.empty(n + 1, np.int64)
-        new[0] = 0
-        new[1:] = np.minimum(row[:-1] + (item != word), row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps
-        if row[n] < best:
-            best, end = int(row[n]), j + 1
+    where: dict[int, int] = {}
+    for i, word in enumerate(item.tolist()):
+        where[word] = where.get(word, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << n >> 1
+    more, less = full, 0
+    edits, best, end = n, n, 0
+    for j, word in enumerate(part.tolist()):
+        same = where.get(word, 0)
+        across = (((same & more) + more) ^ more) | same
+        up, down = less | (full & ~(across | more)), more & across
+        edits += bool(up & top) - bool(down & top)
+        up, down, same = up << 1 & full, down << 1 & full, same | less
+        more, less = down | (full & ~(same | up)), up & same
+        if edits < best:
+            best, end = edits, j + 1
     return best, end
 
 
 def item_blocks(items: DataFrame):
-    """Items in blocks of a bounded number of rows, by item_id (nulls first) and text. Repeated rows are one, with their number."""
+    """Items in blocks of bounded rows and words, by item_id (nulls first) and text, read one part of the sorted table
+    at a time. Repeated rows are one, with their number."""
     items = items.select("item_id", text_or_empty().alias("text")).groupBy("item_id", "text").agg(F.count("*").alias("times"))
-    last = None
-    while True:
-        part = items
-        if last is not None:
-            same = F.col("item_id").eqNullSafe(F.lit(last[0])) & (F.col("text") > last[1])
-            part = items.where(same | (F.col("item_id").isNotNull() if last[0] is None else F.col("item_id") > last[0]))
-        rows = part.orderBy(F.col("item_id").asc_nulls_first(), "text").limit(ITEM_BLOCK).collect()
-        if not rows:
-            return
-        yield Items([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
-        last = rows[-1][:2]
-        if len(rows) < ITEM_BLOCK:
-            return
+    rows, words = [], 0
+    for row in items.orderBy(F.col("item_id").asc_nulls_first(), "text").toLocalIterator():
+        size = len(item_words([row[1]]).hashes)
+        if rows and (len(rows) == ITEM_BLOCK or words + size > ITEM_WORDS):
+            yield Items(*map(list, zip(*rows, strict=True)))
+            rows, words = [], 0
+        rows.append(tuple(row))
+        words += size
+    if rows:
+        yield Items(*map(list, zip(*rows, strict=True)))
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

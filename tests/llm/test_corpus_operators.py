@@ -232,7 +232,8 @@ def test_walks_alone_reach_the_target_recall(share):
     assert sum((k, k) in found for k in range(200)) >= decontaminate.TARGET * 200
 
 
-def test_walk_tables_hold_the_keys_of_every_item_alone():
+def test_walk_tables_hold_the_keys_of_every_item_alone(monkeypatch):
+    monkeypatch.setattr(decontaminate, "CANDIDATES", float("inf"))  # no anchor is left out
     rnd = random.Random(3)
     texts = [" ".join(f"v{rnd.randrange(99)}" for _ in range(n)) for n in (1, 2, 3, 7, 20, 21, 40, 300, 900)]
     items = decontaminate.Items(list(range(9)), texts)
@@ -243,6 +244,69 @@ def test_walk_tables_hold_the_keys_of_every_item_alone():
             assert key == decontaminate.walk_keys(np.concatenate((items.words[k][o:], pad)), size, repeat)[0]
 
 
+def frequent_words(rnd, n, of=2000):
+    """Words whose frequency falls with their rank."""
+    return rnd.choices([f"w{k}" for k in range(of)], [1 / (k + 1) for k in range(of)], k=n)
+
+
+def test_frequent_words_give_few_candidates_and_lose_no_item():
+    rnd = random.Random(5)
+    made = [frequent_words(rnd, 15) for _ in range(500)]
+    items = decontaminate.Items(list(range(500)), [" ".join(w) for w in made])
+    words = decontaminate.item_words([" ".join(frequent_words(rnd, 2000)) for _ in range(20)])
+    assert sum(len(place) for place, *_ in items.matches(words)) <= 0.05 * len(words.hashes)
+    assert len(items.hits(words)) <= 0.01 * len(words.hashes)
+    texts = []
+    for w in made:
+        w = list(w)
+        for _ in range(3):
+            kind, at = rnd.randrange(3), rnd.randrange(len(w))
+            w[at : at + (kind != 1)] = [] if kind == 0 else frequent_words(rnd, 1)
+        texts.append(" ".join(frequent_words(rnd, 30) + w + frequent_words(rnd, 30)))
+    assert {(k, k) for k in range(500)} <= {(t, k) for t, k, *_ in items.find(texts)}
+    items.pieces = []
+    assert sum(t == k for t, k, *_ in items.find(texts)) >= decontaminate.TARGET * 500
+
+
+def table_of_edits(item, part):
+    """Least edits between ``item`` and any piece of ``part``, and the first end of such a piece, cell by cell."""
+    above = [0] * (len(part) + 1)
+    for i, word in enumerate(item):
+        row = [i + 1]
+        for j, other in enumerate(part):
+            row.append(min(above[j] + (word != other), above[j + 1] + 1, row[j] + 1))
+        above = row
+    return min(above), above.index(min(above))
+
+
+def test_finds_equal_a_table_of_edits_over_all_texts_and_items():
+    rnd = random.Random(8)
+    made = [[f"v{rnd.randrange(6)}" for _ in range(rnd.randint(1, 14))] for _ in range(40)]
+    texts = [[f"v{rnd.randrange(7)}" for _ in range(rnd.randint(0, 60))] for _ in range(40)]
+    for w in made[::2]:
+        i, w = rnd.randrange(len(texts)), [x for x in w if rnd.random() > 0.1]
+        texts[i][rnd.randint(0, len(texts[i])) : 0] = w
+    items = decontaminate.Items(list(range(len(made))), [" ".join(w) for w in made])
+    found = {(t, k): e for t, k, _, _, e in items.find([" ".join(w) for w in texts])}
+    wanted = {(t, k): table_of_edits(w, text)[0] for t, text in enumerate(texts) for k, w in enumerate(made)}
+    assert found == {at: e for at, e in wanted.items() if e <= int(decontaminate.MAX_EDITS * len(made[at[1]]))}
+    assert len(found) > 40
+
+
+def test_edit_distance_equals_a_table_of_edits():
+    rnd = random.Random(9)
+    for _ in range(400):
+        item = [rnd.randrange(5) for _ in range(rnd.choice((1, 2, 5, 20, 70, 130)))]
+        part = [rnd.randrange(5) for _ in range(rnd.randrange(90))]
+        assert decontaminate.edit_distance(np.array(item), np.array(part)) == table_of_edits(item, part)
+
+
+def test_blocks_of_items_are_bounded_by_words(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_WORDS", 10)
+    items = spark.createDataFrame([(k, " ".join(f"a{k}b{j}" for j in range(n))) for k, n in enumerate((4, 6, 1, 25, 3, 0))], "item_id long, text string")
+    assert [[len(w) for w in block.words] for block in decontaminate.item_blocks(items)] == [[4, 6], [1], [25], [3, 0]]
+
+
 def test_edit_distance_by_hand():
     item = np.array([1, 2, 3, 4, 5])
     assert decontaminate.edit_distance(item, np.array([9, 1, 2, 3, 4, 5, 9])) == (0, 6)
