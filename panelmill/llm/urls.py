@@ -4,6 +4,10 @@ The training table is made by rule from short word lists: eight unwanted themes
 together to host names and paths in several patterns. Words that the two share (free, best, club) and plain
 words that hold an unwanted one's letters (roads, diabetes, essex) stand on either side, so the weights have
 to come from the theme. A quarter of the host names, with all their URLs, is held out and never trained on.
+
+The verdict's threshold is calibrated on words that the scoring model has not seen: the rows are cut in two by the
+word behind the host name, each half is scored by the other's model, and the bias is moved until at most
+``FALSE_BLOCKS`` of the plain rows would be blocked.
 """
 
 from __future__ import annotations
@@ -40,6 +44,7 @@ _THEMES = {
     "malware": "phish malware trojan exploit botnet virus hack keylogger",
 }
 _PLAIN = "library news science garden music school history travel recipes museum weather river city health sports kitchen books law poetry art film theatre chess hiking bakery farm forest birds astronomy physics maths language football cycling sailing knitting pottery photo gallery market council church village harbour bridge college teacher parents nature ocean mountain"
+_EVERYDAY = "times post herald tribune gazette journal pharmacy hospital clinic dentist medical nurse advent easter christmas credit union bank insurance savings mortgage rental estate lawyer court police army navy airport railway train bus taxi hotel hostel resort cruise beach island castle palace park zoo aquarium puppy kitten horse cattle dairy cheese coffee tea wine brewery pasta bread butter pepper spice grocery market fashion shoes jewelry furniture carpet paint plumbing roofing engine motor tyre bicycle tennis golf rugby hockey swimming yoga fitness marathon guitar piano violin orchestra opera ballet dance drama comedy cartoon novel essay grammar dictionary atlas globe planet galaxy telescope rocket robot laser chemistry biology geology fossil dinosaur insect butterfly orchid cactus tulip timber quarry copper silver diamond textile cotton woollen leather ceramic glass mirror candle lantern battery solar wind turbine"
 _TRAPS = "roads uploads headset saddle analysis essex sussex middlesex alphabet diabetes tibet better spillway pillow caterpillar railtrack soundtrack pokerface slotcar therapist adulthood seoul museo barxes craftclicks loaner debtor hackney crackers virusology pixelart bannerman"
 _SHARED = "free best online hot top fast super easy my the club shop zone world daily big new"
 _ENDS = ("example.com", "example.net", "example.org", "com", "net", "org", "info", "co.uk")
@@ -47,6 +52,7 @@ _PREFIXES = ("", "", "www.", "m.", "blog.")
 _PATHS = ("/", "/en/{n}", "/de/{n}.html", "/fr/{n}/", "/article/{n}", "/{w}/{n}", "/index.php", "/a/b/{n}", "/{w}.html", "")
 _SYLLABLES = "an ar co da de el fi ga ho il ka lo ma ne or pe ri sa to un ve wi yo zu the ion est ing th sh ch st nt nd ng ly tr pl ck er"
 HELD_OUT_SHARE = 4
+FALSE_BLOCKS = 0.05
 _DIGITS = str.maketrans("123456789", "000000000")
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -67,7 +73,8 @@ def matching_rule(host: str, path: str) -> tuple[str, str] | None:
 
 
 def labelled_urls(seed: int = 17) -> pd.DataFrame:
-    """The labelled table: url, name (of the host), theme, blocked, held_out. Held out are whole names, by CRC-32."""
+    """The labelled table: url, name (of the host), word (that the name is made around), theme, blocked, held_out. Held
+    out are whole names, by CRC-32."""
     rng = np.random.default_rng(seed)
 
     def pick(words):
@@ -82,32 +89,33 @@ def labelled_urls(seed: int = 17) -> pd.DataFrame:
         mark = pick(("-", "-", ""))
         return pick((word, word + mark + other, other + mark + word, f"{word}{mark}{other}-{pick(shared)}"))
 
-    names: dict[str, str] = {}
+    names: dict[str, tuple[str, str]] = {}  # theme and word
     for theme, words in bad.items():
         for word in words:
             for k in range(16):
-                names[joined(word + "s" * (k % 3 == 0 and word[-1] not in "sx"), words)] = theme
-    for word in plain + 4 * traps:
+                names[joined(word + "s" * (k % 3 == 0 and word[-1] not in "sx"), words)] = theme, word
+    for word in plain + _EVERYDAY.split() + 4 * traps:
         for _ in range(6):
-            names.setdefault(joined(word, plain), "plain")
+            names.setdefault(joined(word, plain), ("plain", word))
     for _ in range(1200):
-        names.setdefault("".join(pick(parts) for _ in range(int(rng.integers(2, 5)))), "plain")
+        name = "".join(pick(parts) for _ in range(int(rng.integers(2, 5))))
+        names.setdefault(name, ("plain", name))
 
     def url(name: str, path: str) -> str:
         return f"http{pick(('', 's'))}://{pick(_PREFIXES)}{name}.{pick(_ENDS)}{path}"
 
     rows = []
-    for name, theme in names.items():
+    for name, (theme, word) in names.items():
         held = zlib.crc32(name.encode()) % HELD_OUT_SHARE == 0
         for _ in range(2):
             words = plain if theme == "plain" else bad[theme]
-            rows.append((url(name, pick(_PATHS).format(n=rng.integers(1, 9999), w=pick(words if rng.random() < 0.3 else plain))), name, theme, int(theme != "plain"), held))
+            rows.append((url(name, pick(_PATHS).format(n=rng.integers(1, 9999), w=pick(words if rng.random() < 0.3 else plain))), name, word, theme, int(theme != "plain"), held))
         # a plain host whose path is of an unwanted theme
         if theme == "plain" and rng.random() < 0.15:
             theme = pick(list(bad))
             words = bad[theme]
-            rows.append((url(name, pick(("/{0}/{1}", "/{0}-{1}.html", "/x/{0}?{1}", "/{0}")).format(pick(words), pick(words + shared))), name, theme, 1, held))
-    return pd.DataFrame(rows, columns=["url", "name", "theme", "blocked", "held_out"])
+            rows.append((url(name, pick(("/{0}/{1}", "/{0}-{1}.html", "/x/{0}?{1}", "/{0}")).format(pick(words), pick(words + shared))), name, word, theme, 1, held))
+    return pd.DataFrame(rows, columns=["url", "name", "word", "theme", "blocked", "held_out"])
 
 
 def features(host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -121,26 +129,49 @@ def features(host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate([np.full(len(p), 1 / math.sqrt(max(len(p), 1))) for p in parts])
 
 
-@functools.lru_cache(maxsize=1)
-def trained(epochs: int = 500, rate: float = 60.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias, by full-batch gradient descent over the rows that are not held out, each class with
-    half of the weight."""
-    rows = labelled_urls()
-    rows = rows[~rows["held_out"]]
-    feats = [features(*split_url(u)) for u in rows["url"]]
+def fitted(rows: pd.DataFrame, epochs: int = 120, rate: float = 60.0, decay: float = 1e-5, momentum: float = 0.9) -> tuple[np.ndarray, float]:
+    """Weights and bias, by full-batch gradient descent with momentum over ``rows``, each class with half of the weight."""
+    flat, scale, owner = _flat_features(rows["url"])
     y = rows["blocked"].to_numpy(float)
-    flat, scale = np.concatenate([f for f, _ in feats]), np.concatenate([x for _, x in feats])
-    owner = np.repeat(np.arange(len(feats)), [len(f) for f, _ in feats])
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     w, bias = np.zeros(BUCKETS), 0.0
+    step, push = np.zeros(BUCKETS), 0.0
     for _ in range(epochs):
-        z = bias + np.bincount(owner, w[flat] * scale, len(feats))
+        z = bias + np.bincount(owner, w[flat] * scale, len(y))
         g = (1 / (1 + np.exp(-z)) - y) * share
-        w -= rate * (np.bincount(flat, g[owner] * scale, BUCKETS) + decay * w)
-        bias -= rate * 0.1 * float(g.sum())
+        step = momentum * step - rate * (np.bincount(flat, g[owner] * scale, BUCKETS) + decay * w)
+        push = momentum * push - rate * 0.1 * float(g.sum())
+        w += step
+        bias += push
     return w.astype(np.float32), bias
 
 
+def _flat_features(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-gram, weight, row) of all n-grams of all urls."""
+    feats = [features(*split_url(u)) for u in column]
+    return np.concatenate([f for f, _ in feats]), np.concatenate([x for _, x in feats]), np.repeat(np.arange(len(feats)), [len(f) for f, _ in feats])
+
+
+def calibrated(rows: pd.DataFrame) -> tuple[np.ndarray, float]:
+    """``fitted(rows)`` with the bias lowered, if need be, so that of plain rows around words that a model has not
+    seen at most ``FALSE_BLOCKS`` are blocked."""
+    second = rows["word"].map(lambda word: zlib.crc32(word.encode()) % 2 == 1)
+    seen = []
+    for half in (second, ~second):
+        w, bias = fitted(rows[half])
+        flat, scale, owner = _flat_features(rows[~half & (rows["blocked"] == 0)]["url"])
+        seen.append(bias + np.bincount(owner, w[flat] * scale))
+    w, bias = fitted(rows)
+    return w, bias - max(0.0, float(np.quantile(np.concatenate(seen), 1 - FALSE_BLOCKS, method="higher")))
+
+
+@functools.lru_cache(maxsize=1)
+def trained() -> tuple[np.ndarray, float]:
+    """Weights and bias from the rows that are not held out."""
+    rows = labelled_urls()
+    return calibrated(rows[~rows["held_out"]])
+
+
 class Judge:
     """Scores of hosts and paths; a worker remembers those it has met."""
 

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import frames
+import hosts
 import numpy as np
 import pytest
 
@@ -42,6 +43,30 @@ def test_held_out_host_names():
     assert truth[blocked].mean() >= 0.9 and blocked[truth].mean() >= 0.9
 
 
+def test_hosts_labelled_by_hand():
+    judge = urls.Judge(*urls.trained())
+    plain, unwanted = hosts.SEEN_PLAIN + hosts.FRESH_PLAIN, hosts.SEEN_UNWANTED + hosts.FRESH_UNWANTED
+    assert not set(urls.labelled_urls()["name"]) & {h.split(".")[0] for h in plain + unwanted}
+    assert np.mean([judge.score(h, "/") >= 0.5 for h in plain]) <= 0.08
+    assert np.mean([judge.score(h, "/") >= 0.5 for h in unwanted]) >= 0.9
+
+
+def test_threshold_is_met_on_words_that_a_model_has_not_seen():
+    rows = urls.labelled_urls()
+    rows = rows[~rows["held_out"]]
+    _, plain_bias = urls.fitted(rows)
+    _, bias = urls.calibrated(rows)
+    second = rows["word"].map(lambda w: zlib.crc32(w.encode()) % 2 == 1)
+    false = []
+    for half in (second, ~second):
+        w, b = urls.fitted(rows[half])
+        judge = urls.Judge(w, b + bias - plain_bias)
+        other = rows[~half & (rows["blocked"] == 0)]
+        assert not set(other["word"]) & set(rows[half]["word"])
+        false += [judge.score(*urls.split_url(u)) >= 0.5 for u in other["url"]]
+    assert np.mean(false) <= urls.FALSE_BLOCKS + 0.001
+
+
 def test_no_host_name_of_the_pages_was_learnt():
     names = set(urls.labelled_urls()["name"])
     pages = duckdb.sql("SELECT url FROM '/root/testdata/sf0.1/pages.parquet'").fetchall()
