@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 from panelmill.llm.common import arrow_schema, slices, table, text_or_empty, texts_of, written
 
 BLOCK = 2_000_000
-UNIT_TABLE_ROWS = 250_000
+UNIT_TABLE_ROWS = 100_000
 #: So many units are encoded as one text.
 JOINED = 1000
+#: So many units' tokens, groups and links are held as lists at once, before they go to the tables.
+LEARNT = 20 * JOINED
 #: Bits of an id in a pair's code, A's id above B's.
 BITS = 16
 # U+180E is white space to some versions of Unicode
@@ -188,6 +190,11 @@ class Aligner:
         return [ids if u[0] == " " else ids[2:] for u, ids in zip(units, made, strict=True)]
 
     def learn(self, new: list[str]) -> None:
+        """Units in the order of their numbers, ``LEARNT`` at a time."""
+        for at in range(0, len(new), LEARNT):
+            self._learn(new[at : at + LEARNT])
+
+    def _learn(self, new: list[str]) -> None:
         """Plain units, one space and then no white space, are encoded many at once: in both vocabularies each
         begins with the one token of it that starts with a space."""
         made: dict[str, tuple] = {}
@@ -294,6 +301,8 @@ def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 made = [[block], ids, [stats.tobytes()], [digests], [_packed(np.diff(bounds), held, times)], [pairs[0]], [pairs[1]]]
                 yield pa.RecordBatch.from_arrays([c if c is ids else pa.array(c, f.type) for c, f in zip(made, schema, strict=True)], schema=schema)
                 block += 1
+        # the worker lives on, and what follows needs its memory
+        own.clear()
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, BLOCKS)
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import frames
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -201,6 +202,27 @@ def test_transducer_on_ambiguous_bytes():
     assert machine.align([], []) == ([], [])
 
 
+def test_units_are_learnt_in_parts_and_forgotten_after_a_task(spark, monkeypatch):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    texts = [t or "" for _, t in frames.sample_texts(20)]
+    whole = alignment.Aligner(*paths).block(texts)
+    own, parts = alignment.Aligner(*paths), []
+    monkeypatch.setattr(alignment, "LEARNT", 50)
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda new: parts.append(len(new)) or learn(new))
+    for got, want in zip(own.block(texts), whole, strict=True):
+        assert np.array_equal(got, want)
+    assert max(parts) == 50 and sum(parts) == len(own.units)
+
+    def kept(batches):
+        for _ in batches:
+            yield pd.DataFrame({"n": [len(alignment.aligner(*paths).units)]})
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert alignment.aligned(df).count() == len(texts)
+    assert spark.range(4).repartition(4).mapInPandas(kept, "n long").agg({"n": "max"}).first()[0] == 0
+
+
 def test_alignment_of_an_empty_table(spark):
     assert alignment.aligned(frames.empty(spark)).count() == 0
 
