@@ -97,6 +97,21 @@ def _drop_all() -> None:
         shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
 
 
+#: Bits of ``perhaps_in``, 64 to a row that is broadcast.
+FILTER_BITS = 2**25
+
+
+def perhaps_in(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with a column ``_perhaps``, false only for rows whose ``columns`` equal those of no row of ``keys`` (null
+    equals null), so that only the others need a join. One hash of the keys sets one of ``FILTER_BITS`` bits; they are
+    broadcast, at most 8 MB however many keys there are, which only lets more rows through."""
+    bit = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    word, place = F.floor(bit / 64).alias("_word"), F.pmod(bit, F.lit(64)).cast("int")
+    words = keys.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("b")).groupBy("_word").agg(F.bit_or("b").alias("_bits"))
+    met = df.withColumn("_word", word).join(F.broadcast(words), "_word", "left")
+    return met.select(*df.columns, (F.getbit(F.coalesce("_bits", F.lit(0).cast("long")), place) == 1).alias("_perhaps"))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

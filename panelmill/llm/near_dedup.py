@@ -28,10 +28,10 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import drop_since, made, map_batches, slices, table, text_or_empty, texts_of, written
+from panelmill.llm.common import drop_since, made, map_batches, perhaps_in, slices, table, text_or_empty, texts_of, written
 from panelmill.llm.components import components
 from panelmill.llm.wordhash import Words, mix, rolling
 
@@ -45,7 +45,7 @@ BLOCK = 256
 HOT = 16_000_000
 SLICE = 250_000
 _MULT = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_SKETCH = "doc_id long, text_id string, n_shingles long, set_id string, bands array<long>, registers binary"
+_SKETCH = "doc_id long, text_id string, n_shingles long, set_id string, registers binary"
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
@@ -105,29 +105,23 @@ def _sketcher(width: int):
             sets = shingle_sets(texts[a:b], width)
             sizes = np.array([len(s) for s in sets])
             full = np.flatnonzero(sizes)
-            bands: list = [None] * len(sets)
             regs: list = [None] * len(sets)
             ids = [None] * len(sets)
             if len(full):
                 flat = np.concatenate(sets)
                 offsets = (np.cumsum(sizes) - sizes)[full]
                 r = registers(flat, offsets)
-                keyed = rolling_rows(r)
                 for row, i in enumerate(full.tolist()):
-                    bands[i], regs[i] = keyed[row], r[row].tobytes()
+                    regs[i] = r[row].tobytes()
                     ids[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).hexdigest()
-            yield batch.column("doc_id").slice(a, b - a), batch.column("text_id").slice(a, b - a), sizes, ids, bands, regs
+            yield batch.column("doc_id").slice(a, b - a), batch.column("text_id").slice(a, b - a), sizes, ids, regs
 
     return run
 
 
-def rolling_rows(r: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of each row."""
-    key = np.zeros((len(r), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-    wide = r.reshape(len(r), BANDS, ROWS).astype(np.uint64)
-    for k in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + wide[:, :, k])
-    return key.view(np.int64)
+def bands_of(registers: Column) -> Column:
+    """One 64-bit key for each band."""
+    return F.array(*[F.xxhash64(F.lit(b), F.substring(registers, 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])
 
 
 def _estimates(threshold: float):
@@ -241,19 +235,18 @@ def _winners(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sketches = written(map_batches(texts, _sketcher(width), _SKETCH).withColumn("row", F.monotonically_increasing_id()), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id")
     reps = written(
-        sketches.where("n_shingles > 0").groupBy("set_id").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min(first).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")),
+        sketches.where("n_shingles > 0").groupBy("set_id").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min(first).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")),
         "representatives",
     )
-    keyed = reps.select("rep", F.explode("bands").alias("band"))
-    slot = F.pmod(F.xxhash64("rep"), F.lit(CENTRES))
-    chosen = [F.min(F.when(slot == i, F.col("rep"))) for i in range(CENTRES)]
-    buckets = keyed.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("least"), F.array_compact(F.array(*chosen)).alias("centres")).where("size > 1")
-    members = written(keyed.join(buckets, "band").select("band", "rep", "least", "centres"), "buckets")
-    side = reps.select("rep", "n_shingles", "registers")
+    keyed = reps.select("rep", F.explode(bands_of(F.col("registers"))).alias("band"))
+    buckets = keyed.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1")
+    members = written(keyed.join(buckets, "band").select("band", "rep", "least"), "buckets")
     # the text of a set is one of its least (doc_id, text_id)
-    held = members.select("rep").distinct().join(reps.select("rep", "first.*"), "rep").alias("r")
-    held = held.join(texts.alias("t"), F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.text_id") == F.col("t.text_id"))).select("r.rep", "t.text")
-    profiles = written(map_batches(held, _make_sets(width), "rep long, items binary").dropDuplicates(["rep"]).join(side, "rep"), "profiles")
+    held = written(members.select("rep").distinct().join(reps.select("rep", "n_shingles", "registers", "first.doc_id", "first.text_id"), "rep"), "members")
+    near = perhaps_in(texts, held, "doc_id", "text_id").where("_perhaps").alias("t")
+    near = held.select("rep", "doc_id", "text_id").alias("r").join(near, F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.text_id") == F.col("t.text_id"))).select("r.rep", "t.text")
+    side = held.select("rep", "n_shingles", "registers")
+    profiles = written(map_batches(near, _make_sets(width), "rep long, items binary").dropDuplicates(["rep"]).join(side, "rep"), "profiles")
     sets = profiles.select("rep", "items")
 
     def links_of(met: DataFrame) -> DataFrame:
@@ -270,7 +263,9 @@ def _winners(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     comps = components(links_of(members.select("rep", F.col("least").alias("centre"))))
     # second round: a few more centres, only where they lie in another component
-    met = placed_in(comps).select("rep", "comp", F.explode("centres").alias("centre"))
+    slot = F.pmod(F.xxhash64("rep"), F.lit(CENTRES))
+    centres = members.groupBy("band").agg(F.array_compact(F.array(*[F.min(F.when(slot == i, F.col("rep"))) for i in range(CENTRES)])).alias("centres"))
+    met = placed_in(comps).join(centres, "band").select("rep", "comp", F.explode("centres").alias("centre"))
     met = met.join(comps.toDF("centre", "centre_comp"), "centre", "left").where(F.coalesce("centre_comp", "centre") != F.col("comp"))
     more = written(links_of(met.select("rep", "centre")), "links")
     if not more.isEmpty():
@@ -337,14 +332,16 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id")
     out = written(out.groupBy("doc_id", "text_id").agg(F.count("*").alias("rows"), F.min(first == F.col("winner")).alias("stays")).where("rows > 1 or not stays"), "near-duplicates")
     drop_since(spark, mark, out)
-    keyed = docs.withColumn("_text", F.md5(text_or_empty()))
     marked = out.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_met"), "stays")
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_met"))
-    alone = keyed.join(marked, on, "left_anti").select(docs.columns)
+    # texts that are surely unmarked do not travel
+    keyed = perhaps_in(docs.withColumn("_text", F.md5(text_or_empty())), out.withColumnRenamed("text_id", "_text"), "doc_id", "_text")
+    near = keyed.where("_perhaps")
+    alone = keyed.where("NOT _perhaps").select(docs.columns).unionByName(near.join(marked, on, "left_anti").select(docs.columns))
     repeated = marked.where("stays")
     if repeated.isEmpty():
         return alone
-    return alone.unionByName(keyed.join(repeated, on, "left_semi").dropDuplicates(["doc_id", "_text"]).select(docs.columns))
+    return alone.unionByName(near.join(repeated, on, "left_semi").dropDuplicates(["doc_id", "_text"]).select(docs.columns))
 
 
 def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ import frames
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from panelmill.llm import components, decontaminate, near_dedup, substring, toxicity
+from panelmill.llm import common, components, decontaminate, near_dedup, substring, toxicity
 
 
 def jaccard_sets(rows, width):
@@ -97,6 +98,22 @@ def test_stage_keeps_one_row_of_each_group(spark):
     assert got == Counter({(3, True): 1, (None, True): 1, (4, False): 2})
 
 
+def test_only_texts_that_may_be_asked_for_travel(spark, monkeypatch):
+    df = spark.createDataFrame([(k if k % 7 else None, f"t{k}") for k in range(2000)], "doc_id long, text string")
+    keys = df.where("doc_id is null or doc_id % 10 = 1")
+    met = common.perhaps_in(df, keys, "doc_id", "text")
+    assert met.where("_perhaps").join(keys, df.text == keys.text, "left_semi").count() == keys.count()
+    assert met.count() == 2000 and met.where("_perhaps").count() < 1.1 * keys.count()
+    # a filter that lets all pass changes nothing
+    docs = spark.createDataFrame(near_copies() + [(None, "only here " * 9), (5, None)], "doc_id long, text string")
+    want = Counter(near_dedup.without_near_duplicates(docs).collect())
+    monkeypatch.setattr(common, "FILTER_BITS", 64)
+    assert Counter(near_dedup.without_near_duplicates(docs).collect()) == want
+    # a band's key depends on its registers and its number only
+    r = spark.createDataFrame([(bytearray(range(240)),), (bytearray([1] * 240),)], "r binary").select(near_dedup.bands_of(F.col("r")).alias("b")).collect()
+    assert len(set(r[0].b) | set(r[1].b)) == 2 * near_dedup.BANDS
+
+
 def test_likelihood_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 1500).astype(np.uint64)
