@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmill.operators.checkpoints import written
 from panelmill.operators.quantiles import quantiles
 
 
@@ -74,7 +75,9 @@ def first_singular_share(panel: DataFrame, value: str) -> DataFrame:
 
 
 def residual_diagnostics(panel: DataFrame, residual: str, outcome: str) -> DataFrame:
-    """(lag, autocorr) with the residual's fit, average cross correlation and first singular share beside them."""
+    """(lag, autocorr) with the residual's fit, average cross correlation and first singular share beside them. The
+    panel is made once; what the result reads of it stays until the program ends."""
+    panel = written(panel.select("unit_ix", "t_ix", *dict.fromkeys((residual, outcome))), "residuals")
     one = residual_fit(panel, residual, outcome).crossJoin(average_cross_correlation(panel, residual)).crossJoin(first_singular_share(panel, residual))
     # one row beside six
     return autocorrelations(panel, residual).crossJoin(F.broadcast(one))

@@ -107,7 +107,15 @@ def leading(cells: DataFrame, rank: int, low: tuple[DataFrame, DataFrame, int] |
     """(left (t_ix, v), right (unit_ix, v), singular values) of the ``rank`` largest of a matrix that is the sum of
     cells (t_ix, unit_ix, x) and a low-rank part (f, g, columns), by block power iteration with ``extra`` more
     columns. It ends once the values move by at most ``tol`` of the largest. ``start`` (unit_ix, v) holds vectors that are
-    near the right ones already. A matrix of zeros, or no cells at all, gives no vectors."""
+    near the right ones already. A matrix of zeros, or no cells at all, gives no vectors. The cells are made once."""
+    own = written(cells.select("t_ix", "unit_ix", "x"), "power-cells")
+    out = _leading(own, rank, low, extra, tol, most, start)
+    drop_written(own)
+    return out
+
+
+def _leading(cells: DataFrame, rank: int, low: tuple[DataFrame, DataFrame, int] | None = None, extra: int = 8, tol: float = 1e-14, most: int = 60, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[float]]:
+    """``leading`` of cells that are cheap to read, as every step reads them twice."""
     size = rank + extra
     noise = [(F.xxhash64(F.lit(k), "unit_ix") / 2.0**63).alias(f"c{k}") for k in range(size)]
     units = cells.select("unit_ix") if low is None else cells.select("unit_ix").union(low[1].select("unit_ix"))
@@ -157,11 +165,12 @@ def leading(cells: DataFrame, rank: int, low: tuple[DataFrame, DataFrame, int] |
 
 def first_singular_share(cells: DataFrame) -> DataFrame:
     """(share): the largest squared singular value of cells (t_ix, unit_ix, x) over the sum of squares; 0 of none."""
-    total = cells.agg(F.sum(F.col("x") * F.col("x")).alias("total"))
-    left, right, s = leading(cells, 1)
-    drop_written(left, right)
-    top = s[0] ** 2 if s else 0.0
-    return total.select(F.when(F.col("total") > 0, F.lit(top) / F.col("total")).otherwise(0.0).alias("share"))
+    cells = written(cells.select("t_ix", "unit_ix", "x"), "power-cells")
+    total = cells.agg(F.sum(F.col("x") * F.col("x"))).first()[0]
+    left, right, s = _leading(cells, 1)
+    drop_written(left, right, cells)
+    share = float(s[0] ** 2 / total) if s and total and total > 0 else 0.0
+    return cells.sparkSession.range(1).select(F.lit(share).alias("share"))
 
 
 def soft_impute(cells: DataFrame, rank: int, rounds: int = 4) -> tuple[DataFrame, DataFrame, list[float]]:
@@ -343,6 +352,7 @@ def fit_factor_ridge(cells: DataFrame, f: DataFrame, g: DataFrame, block: list[i
     """
     r = len(block)
     pairs = [(a, b) for a in range(r) for b in range(a, r)]
+    cells = written(cells.select("t_ix", "unit_ix", "y", "z", "runs"), "ridge-cells")
     ends = {"t_ix": f.select("run", "t_ix"), "unit_ix": g.select("run", "unit_ix")}
     ends = {k: written(x, f"ridge-{k}") for k, x in ends.items()}
 
@@ -396,7 +406,7 @@ def fit_factor_ridge(cells: DataFrame, f: DataFrame, g: DataFrame, block: list[i
             active = [run for run in active if len(paths[run]) < 2 or paths[run][-2] - paths[run][-1] > tol * max(1.0, abs(paths[run][-2]))]
             if not active:
                 break
-    drop_written(*ends.values())
+    drop_written(cells, *ends.values())
     return f.select("run", "t_ix", "v"), g.select("run", "unit_ix", "v"), paths
 
 

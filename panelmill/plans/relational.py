@@ -15,6 +15,7 @@ from panelmill.operators import inference as I
 from panelmill.operators import linear as L
 from panelmill.operators import montecarlo as M
 from panelmill.operators import panel as P
+from panelmill.operators.checkpoints import written
 from panelmill.sources import tables as T
 
 QUERIES: dict = {}
@@ -768,7 +769,7 @@ _LAGS = " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS lag, avg(p / rr) AS a
 )
 def residual_diag(spark, sf_dir):
     """Autocorrelations, cross correlation, fit and singular share of the two-way residual."""
-    df = T.complete_shipments(spark, sf_dir).select("unit_ix", "t_ix", "y", F.col("y").alias("v"))
+    df = written(T.complete_shipments(spark, sf_dir).select("unit_ix", "t_ix", "y", F.col("y").alias("v")), "shipments")
     within = P.within_frame(df, ["v"]).join(df.select("unit_ix", "t_ix", "y"), ["unit_ix", "t_ix"])
     out = D.residual_diagnostics(within, "v", "y")
     return _out(out, "lag", **{c: c for c in ("autocorr", "avg_corr", "mean", "sd", "rmse", "variance", "r2", "share")})

@@ -1,5 +1,7 @@
 """Low-rank operators on tables against dense algebra."""
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -59,6 +61,29 @@ def test_leading_vectors_of_sparse_plus_low_rank(spark):
     assert W.first_singular_share(cells_of(spark, np.zeros((3, 2)))).first().share == 0.0
 
 
+def counted(df, folder):
+    """``df`` as it is, from one task that leaves a file in ``folder`` each time it is made."""
+
+    def run(batches):
+        (folder / uuid.uuid4().hex).touch()
+        yield from batches
+
+    return df.coalesce(1).mapInPandas(run, df.schema)
+
+
+def times_made(folder):
+    return len(list(folder.iterdir()))
+
+
+def test_singular_vectors_make_the_cells_once(spark, tmp_path):
+    x = np.random.default_rng(7).standard_normal((T, N))
+    for k, f in enumerate((lambda c: W.leading(c, 1)[0], W.first_singular_share)):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        f(counted(cells_of(spark, x), folder)).collect()
+        assert times_made(folder) == 1
+
+
 def test_soft_impute_equals_kernel(spark):
     rng = np.random.default_rng(3)
     y = np.outer(rng.standard_normal(T), rng.standard_normal(N)) + 0.1 * rng.standard_normal((T, N))
