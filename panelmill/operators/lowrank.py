@@ -242,6 +242,8 @@ def riesz_weights(cells: DataFrame, directions: DataFrame, targets: list[str], u
     at = [(j, k) for j in range(m) for k in range(r)]
     same = [(j, k, n) for j, k in at for n in range(r) if block[n] == block[k]]
     zero = _array([F.lit(0.0)] * (m * r))
+    # every step reads U
+    u, v = written(u.select("t_ix", "u"), "riesz-u"), written(v.select("unit_ix", "v"), "riesz-v")
     base = cells.join(u, "t_ix").join(v, "unit_ix").select("t_ix", "unit_ix", "is_train", _array([F.col("z")[b] * F.col("u")[k] for k, b in enumerate(block)]).alias("zu"), _array([F.col("z")[b] * F.col("v")[k] for k, b in enumerate(block)]).alias("zv"))
     base = written(base, "riesz-cells")
     train = base.where("is_train")
@@ -285,13 +287,13 @@ def riesz_weights(cells: DataFrame, directions: DataFrame, targets: list[str], u
         return _array([flat(name, j, k) * float(by[j]) for j, k in at])
 
     # right-hand side: P D, summed from the sparse directions
-    weight = directions.join(u, "t_ix").join(v, "unit_ix")
+    weight = written(directions.join(u, "t_ix").join(v, "unit_ix").select("target", "block", "t_ix", "unit_ix", "w", "u", "v"), "riesz-directions")
     mine = {(j, k): F.when((F.col("target") == targets[j]) & (F.col("block") == block[k]), F.col("w")).otherwise(0.0) for j, k in at}
     unit = weight.groupBy(F.lit(False).alias("period"), F.col("unit_ix").alias("ix")).agg(_array([F.sum(mine[j, k] * F.col("u")[k]) for j, k in at]).alias("h"))
     period = weight.groupBy(F.lit(True).alias("period"), F.col("t_ix").alias("ix")).agg(_array([F.sum(mine[j, k] * F.col("v")[k]) for j, k in at]).alias("h"))
     begun, read = projected(rows, unit.unionByName(period))
     state = written(begun.select("period", "ix", "u", zero.alias("q"), F.col("h").alias("r"), F.col("h").alias("p")), "riesz-state")
-    drop_written(read)
+    drop_written(read, weight, rows, v)
 
     # lambda by four power steps
     power, rayleigh = state.select("period", "ix", "u", "p"), np.zeros(m)
@@ -328,6 +330,7 @@ def riesz_weights(cells: DataFrame, directions: DataFrame, targets: list[str], u
         rr = rest
         state = table.select("period", "ix", "u", "q", "r", _array([flat("r", j, k) + flat("p", j, k) * float(b[j]) for j, k in at]).alias("p"))
     psi = met(state, "q", base).select("t_ix", "unit_ix", _array([level(j) for j in range(m)]).alias("psi"))
+    drop_written(u)
     report = spark.createDataFrame([(t, int(steps[j]), bool(done[j]), float(rayleigh[j])) for j, t in enumerate(targets)], "target string, iterations int, converged boolean, rayleigh double")
     return psi, report
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelmill.functions import scalars as S
 from panelmill.operators import folds as FD
 from panelmill.operators import lowrank as W
+from panelmill.operators.checkpoints import written
 from panelmill.plans import relational as R
 from panelmill.sources import tables as T
 
@@ -26,7 +27,8 @@ def query(sql: str):
 
 
 def _cells(spark, sf_dir) -> DataFrame:
-    return T.complete_shipments(spark, sf_dir)
+    """The shipments panel, made once for the many readers in each query."""
+    return written(T.complete_shipments(spark, sf_dir), "shipments")
 
 
 # --- projection of rank 0, 1 and 2: columns 1 and t - mean t, and 1 and (-1)^i less its mean, made orthonormal --------

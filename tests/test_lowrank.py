@@ -84,6 +84,21 @@ def test_singular_vectors_make_the_cells_once(spark, tmp_path):
         assert times_made(folder) == 1
 
 
+def test_weights_make_what_they_are_given_once(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    given = [tmp_path / k for k in ("cells", "directions", "u", "v")]
+    for folder in given:
+        folder.mkdir()
+    cells = cells_of(spark, np.ones((T, N)), None, z=np.ones((1, T, N)), is_train=np.ones((T, N), bool))
+    directions = cells.select(F.lit("d").alias("target"), F.lit(0).alias("block"), "t_ix", "unit_ix", (F.col("t_ix") + 1.0).alias("w"))
+    u, v = spaces(rng, 1)
+    frames = cells, directions, table_of(spark, u, "t_ix", "u"), table_of(spark, v, "unit_ix")
+    cells, directions, u, v = map(counted, frames, given)
+    psi, _ = W.riesz_weights(cells, directions, ["d"], u, v, [0], 1.0, most=2)
+    assert psi.count() == T * N
+    assert [times_made(f) for f in given] == [1, 1, 1, 1]
+
+
 def test_soft_impute_equals_kernel(spark):
     rng = np.random.default_rng(3)
     y = np.outer(rng.standard_normal(T), rng.standard_normal(N)) + 0.1 * rng.standard_normal((T, N))
