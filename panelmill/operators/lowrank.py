@@ -180,19 +180,23 @@ def soft_impute(cells: DataFrame, rank: int, rounds: int = 4) -> tuple[DataFrame
     The filled matrix is never made: it is the training cells' distance from the fit plus the fit itself. Other
     cells are zero before the first round.
     """
+    cells = written(cells.select("t_ix", "unit_ix", "x"), "impute-cells")
     low, s, old, now = None, [], [], cells
-    for _ in range(rounds + 1):
-        left, right, s = leading(now, rank, low, start=low and low[1])
+    for k in range(rounds + 1):
+        left, right, s = _leading(now, rank, low, start=low and low[1])
         root = np.diag(np.sqrt(s)) if s else np.zeros((0, 0))
         f = written(left.select("t_ix", times(F.col("v"), root).alias("v")), "impute-period")
         g = written(right.select("unit_ix", times(F.col("v"), root).alias("v")), "impute-unit")
         drop_written(left, right, *old)
-        if not s:
-            return f, g, s
+        if now is not cells:
+            drop_written(now)
+        if not s or k == rounds:
+            break
         low, old = (f, g, len(s)), [f, g]
         fit = cells.join(f, "t_ix", "left").join(g.withColumnRenamed("v", "w"), "unit_ix", "left")
         inner = _total([F.coalesce(F.col("v")[k] * F.col("w")[k], F.lit(0.0)) for k in range(len(s))])
-        now = fit.select("t_ix", "unit_ix", (F.col("x") - inner).alias("x"))
+        now = written(fit.select("t_ix", "unit_ix", (F.col("x") - inner).alias("x")), "impute-rest")
+    drop_written(cells)
     return f, g, s
 
 

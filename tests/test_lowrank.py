@@ -84,6 +84,12 @@ def test_singular_vectors_make_the_cells_once(spark, tmp_path):
         assert times_made(folder) == 1
 
 
+def test_imputation_makes_the_cells_once(spark, tmp_path):
+    x = np.outer(np.arange(1.0, T + 1), np.arange(2.0, N + 2))
+    f, g, _ = W.soft_impute(counted(cells_of(spark, x), tmp_path), 1, rounds=1)
+    assert np.allclose(dense(f, "t_ix") @ dense(g, "unit_ix").T, x) and times_made(tmp_path) == 1
+
+
 def test_weights_make_what_they_are_given_once(spark, tmp_path):
     rng = np.random.default_rng(8)
     given = [tmp_path / k for k in ("cells", "directions", "u", "v")]
