@@ -1,7 +1,8 @@
 """A corpus pipeline over ``documents``: toxicity, near duplicates, benchmark leaks, personal data, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as
-the next stage's ``docs``; all but the last return the columns of ``documents``.
+the next stage's ``docs``; all but the last return the columns of ``documents``. Stages may share executors and
+their Python workers, whose memory adds up, so each asks for small Arrow batches.
 """
 
 from __future__ import annotations
@@ -9,31 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelmill.llm import bpe, decontaminate, near_dedup, pii, toxicity
-from panelmill.llm.common import drop_since, drop_written, made, table, written
+from panelmill.llm.common import drop_since, drop_written, made, small_batches, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go; the model is trained on the stage's own input."""
+    small_batches(spark)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: 5-word shingles, similarity of 0.8 or more."""
+    small_batches(spark)
     return near_dedup.without_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to their kind."""
+    small_batches(spark)
     return pii.masked(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of what they decode to."""
+    small_batches(spark)
     return bpe.tokens(docs)
 
 

@@ -152,6 +152,18 @@ def map_batches(df: DataFrame, rows: Callable[..., Iterable[tuple]], ddl: str, o
     return df.mapInArrow(run, ddl)
 
 
+#: Bytes of an Arrow batch after ``small_batches``.
+BATCH_BYTES = 4_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end at about ``BATCH_BYTES``. By itself Spark ends them at 10,000 rows,
+    which may be a task's whole input; the task holds it as a batch, as Python texts and as a result, beside the
+    executor's buffers. Where batches end bears on one thing: as at the ends of files, toxicity's character model counts
+    no trigram across them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null is empty."""
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
