@@ -264,10 +264,11 @@ def _winners(docs: DataFrame, width: int, percent: int) -> DataFrame:
     comps = components(links_of(members.select("rep", F.col("least").alias("centre"))))
     # second round: a few more centres, only where they lie in another component
     slot = F.pmod(F.xxhash64("rep"), F.lit(CENTRES))
-    centres = members.groupBy("band").agg(F.array_compact(F.array(*[F.min(F.when(slot == i, F.col("rep"))) for i in range(CENTRES)])).alias("centres"))
-    met = placed_in(comps).join(centres, "band").select("rep", "comp", F.explode("centres").alias("centre"))
-    met = met.join(comps.toDF("centre", "centre_comp"), "centre", "left").where(F.coalesce("centre_comp", "centre") != F.col("comp"))
-    more = written(links_of(met.select("rep", "centre")), "links")
+    placed = placed_in(comps)
+    chosen = [F.when(slot == i, F.col("rep")) for i in range(CENTRES)]
+    centres = placed.groupBy("band").agg(F.array(*[F.struct(F.min(c).alias("rep"), F.min_by("comp", c).alias("comp")) for c in chosen]).alias("centres"))
+    met = placed.join(centres, "band").select("rep", "comp", F.explode("centres").alias("centre")).where("centre.comp != comp").select("rep", F.col("centre.rep").alias("centre"))
+    more = written(links_of(met), "links")
     if not more.isEmpty():
         comps = components(comps.unionByName(more))
     placed = placed_in(comps).select("band", "rep", "comp")

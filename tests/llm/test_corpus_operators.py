@@ -133,6 +133,23 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {k: 0 for k in range(1, 41)} | {100 + k: 100 for k in range(1, 30)}
 
 
+def test_components_equal_union_find_and_stars_take_one_round(spark, monkeypatch):
+    rnd = random.Random(7)
+    links = [(a, b) for a, b in ((rnd.randrange(150), rnd.randrange(150)) for _ in range(110)) if a != b]
+    top = {k: k for link in links for k in link}
+    for _ in top:
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    found = components.components(spark.createDataFrame(links + links[:20], "a long, b long")).collect()
+    assert Counter(map(tuple, found)) == Counter((a, b) for a, b in top.items() if a != b)
+    writes = []
+    monkeypatch.setattr(components, "written", lambda df, label: writes.append(label) or common.written(df, label))
+    star = components.components(spark.createDataFrame([(5, 5 + k) for k in range(1, 30)], "a long, b long"))
+    assert len(writes) == 2  # the links and one round, none to see that nothing changes any more
+    assert sorted(map(tuple, star.collect())) == [(5 + k, 5) for k in range(1, 30)]
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def naive_cut(rows):
     words = [(t or "").encode().split() for _, t in rows]
     seen = Counter(tuple(w[k : k + 35]) for w in words for k in range(len(w) - 34))
